@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_segments, decontamination, quality_classifier, secret_scan, token_counts
+from quern.llm import bpe_segments, decontamination, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
 from quern.llm._common import table
 
 
@@ -27,9 +27,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segments.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_secret_scan, op6_quality_classifier, op9_bpe_segments)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_secret_scan, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments)}
 ORACLES: dict[str, str] = {}
