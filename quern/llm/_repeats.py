@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._anchors import U64, runs, span_hash
+from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, pieces
 
 #: One passage: its document, where it starts, its text.
 Passage = tuple[int, int, bytes]
-FILTER_BITS = 26
 
 
 @dataclass(frozen=True)
@@ -50,20 +50,6 @@ class Unit:
         return h, sizes, *runs(h, sizes, self.n, self.k)
 
 
-def _bits(anchor: U64) -> tuple[U64, U64]:
-    return anchor >> np.uint64(64 - FILTER_BITS), anchor >> np.uint64(12) & np.uint64((1 << FILTER_BITS) - 1)
-
-
-def anchor_filter(anchors: DataFrame) -> U64:
-    """A bit set of fixed size that holds two bits for each anchor."""
-    at = F.array(F.shiftrightunsigned("anchor", 64 - FILTER_BITS), F.shiftrightunsigned("anchor", 12).bitwiseAND((1 << FILTER_BITS) - 1))
-    bits = anchors.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-    got = bits.agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()  # at most 2**FILTER_BITS / 64 rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def _recurring(docs: DataFrame, unit: Unit) -> DataFrame:
     """``anchor``: those in more than one run (or document), and those that may hold a repeat within a run."""
 
@@ -85,14 +71,12 @@ def _recurring(docs: DataFrame, unit: Unit) -> DataFrame:
 def _found(docs: DataFrame, unit: Unit) -> DataFrame:
     """``anchor, passage, doc_id, at, windows, twice``: the runs of recurring anchors."""
     anchors = _recurring(docs, unit)
-    bits = docs.sparkSession.sparkContext.broadcast(anchor_filter(anchors))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=256 << 10):
             h, sizes, text, at, size, anchor, twice = unit.runs(as_bytes(piece.column("text")))
-            a, b = _bits(anchor)
-            word = lambda x: bits.value[x >> np.uint64(6)] >> (x & np.uint64(63))
-            keep = np.flatnonzero(word(a) & word(b) & np.uint64(1))
+            keep = np.flatnonzero(holds(bits.value, anchor))
             text, at, size, anchor, twice = text[keep], at[keep], size[keep], anchor[keep], twice[keep]
             passage = span_hash(h, (np.cumsum(sizes) - sizes)[text] + at, size + unit.n - 1)
             ids = piece.column("doc_id").to_numpy()[text]

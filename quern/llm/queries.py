@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_segments, decontamination, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
+from quern.llm import bpe_segments, decontamination, jaccard_groups, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
 from quern.llm._common import table
 
 
@@ -39,5 +39,9 @@ def op9_bpe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_segments.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_secret_scan, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments)}
+def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_secret_scan, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups)}
 ORACLES: dict[str, str] = {}
