@@ -161,7 +161,7 @@ def classes_of(counts: DataFrame, own: int, buckets: int, known: int) -> Classes
     return c
 
 
-def train(docs: DataFrame, c: Classes, dim: int, batch: int = 8192, warm: int = 400_000) -> Model:
+def train(docs: DataFrame, c: Classes, dim: int, batch: int = 1024, warm: int = 400_000) -> Model:
     """One pass over all texts. Tasks start from one model, itself trained on the first ``warm`` tokens of one task."""
     spark = docs.sparkSession
     noise = np.maximum(c.weight, 0.5) / np.maximum(c.weight, 0.5).sum()

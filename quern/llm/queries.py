@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe_segments, decontamination, jaccard_groups, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
+from quern.llm import ann_tree, bpe_segments, decontamination, jaccard_groups, lm_logbilinear, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
 from quern.llm._common import table
 
 
+def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -23,6 +27,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_logbilinear.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +51,5 @@ def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_token_counts, op4_secret_scan, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_tree, op2_decontamination, op3_token_counts, op4_secret_scan, op5_lm_logbilinear, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups)}
 ORACLES: dict[str, str] = {}
