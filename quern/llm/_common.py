@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,17 +46,23 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Sees to it that ``checkpoint()`` has a folder: the cluster's, or one of our own where none is set (tests)."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for checkpoints, which all executors share, or one of our own where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read back, so that lost executors cost no recomputation."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint()
+    """The rows written as a table to the shared folder and read back: lost executors cost no recomputation of them.
+
+    The folder's ``quern`` tables can be removed when the session ends.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quern/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Kept(dict):
@@ -74,5 +82,12 @@ class Kept(dict):
         return value
 
 
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id long, text``; a plain selection where ids are long already, so that equal scans stay equal to the planner."""
+    if dict(docs.dtypes)["doc_id"] == "bigint":
+        return docs.select("doc_id", "text")
+    return docs.select(F.col("doc_id").cast("long"), "text")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm._anchors import U64, runs, span_hash
@@ -51,7 +52,7 @@ class Unit:
 
 
 def _recurring(docs: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor``: those in more than one run (or document), and those that may hold a repeat within a run."""
+    """``anchor, n``: those in more than one run (or document), and those that may hold a repeat within a run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=256 << 10):
@@ -65,13 +66,12 @@ def _recurring(docs: DataFrame, unit: Unit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(twice)], ["anchor", "twice"])
 
     found = docs.mapInArrow(find, "anchor long, twice boolean")
-    return cut(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor"))
+    return cut(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor", "n"))
 
 
-def _found(docs: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, passage, doc_id, at, windows, twice``: the runs of recurring anchors."""
-    anchors = _recurring(docs, unit)
-    bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors))
+def _found(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
+    """``anchor, passage, doc_id, at, windows, twice, n``: the runs of recurring anchors."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors.select("anchor")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=256 << 10):
@@ -83,7 +83,29 @@ def _found(docs: DataFrame, unit: Unit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twice)], ["anchor", "passage", "doc_id", "at", "windows", "twice"])
 
     found = docs.mapInArrow(find, "anchor long, passage long, doc_id long, at int, windows int, twice boolean")
-    return cut(found.join(anchors, "anchor"))
+    return found.join(anchors, "anchor")
+
+
+def _marked(found: DataFrame, unit: Unit, hot: int, heavy: bool) -> DataFrame:
+    """``anchor, doc_id, at, windows, copy, hot``: copies, and first occurrences whose anchor has other passages too.
+
+    All of an anchor's runs are looked at where the join has brought them together, by windows; those of ``heavy``
+    anchors, which may be too many for a task, by aggregates that combine before the shuffle and joins that Spark splits.
+    """
+    key = ["anchor", "passage"]
+    least = F.min(F.struct("doc_id", "at") if unit.within else F.struct("doc_id", F.lit(0).alias("at")))
+    own = F.max("twice") if unit.within else F.lit(False)
+    is_copy = F.struct("doc_id", "at") > F.col("first") if unit.within else F.col("doc_id") > F.col("first.doc_id")
+    if heavy:
+        found = cut(found)
+        out = found.join(found.groupBy(*key).agg(least.alias("first")), key).withColumn("copy", is_copy)
+        kinds = out.where("NOT copy").groupBy("anchor").agg(F.min("passage").alias("a"), F.max("passage").alias("b"), own.alias("own"), F.count("*").alias("kinds"))
+        out = out.join(kinds, "anchor")
+    else:
+        by = W.partitionBy("anchor")
+        out = found.withColumn("first", least.over(W.partitionBy(*key))).withColumn("copy", is_copy)
+        out = out.select("*", F.min("passage").over(by).alias("a"), F.max("passage").over(by).alias("b"), (own.over(by) if unit.within else own).alias("own"), F.sum(F.when(~F.col("copy"), 1).otherwise(0)).over(by).alias("kinds"))
+    return out.where("copy OR a <> b OR own").select("anchor", "doc_id", "at", "windows", "copy", (F.col("kinds") > hot).alias("hot"))
 
 
 def _shard(batches: Iterator[pa.RecordBatch], locate: Callable[[list[Passage]], list[list[int]]], n: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -92,10 +114,17 @@ def _shard(batches: Iterator[pa.RecordBatch], locate: Callable[[list[Passage]],
     held, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        found = [(row[0], i) for row, places in zip(rows, locate(rows), strict=True) for i in places]
+        docs, starts, ends = [], [], []
+        for row, places in zip(rows, locate(rows), strict=True):
+            for place in sorted(places):
+                if docs and docs[-1] == row[0] and starts[-1] <= place <= ends[-1]:
+                    ends[-1] = place + n
+                else:
+                    docs.append(row[0])
+                    starts.append(place)
+                    ends.append(place + n)
         rows.clear()
-        docs, places = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array([i + n for i in places], pa.int32())], ["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
 
     for batch in batches:
         for anchor, doc, at, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "at", "text")), strict=True):
@@ -108,21 +137,21 @@ def _shard(batches: Iterator[pa.RecordBatch], locate: Callable[[list[Passage]],
         yield flush()
 
 
-def removed(docs: DataFrame, unit: Unit, locate: Callable[[list[Passage]], list[list[int]]], hot: int, limit: int) -> DataFrame:
+def removed(docs: DataFrame, unit: Unit, locate: Callable[[list[Passage]], list[list[int]]], hot: int, limit: int, heavy: int = 100_000) -> DataFrame:
     """``doc_id, start, end``: stretches of symbols that are repeats. ``docs`` has ids and texts.
 
     ``locate`` gets passages and returns for each the places (in its document) of windows that repeat an earlier one.
     """
-    found = _found(docs, unit)
+    anchors = _recurring(docs, unit)
+    found = _found(docs, anchors, unit)
+    marked = _marked(found.where(F.col("n") <= heavy), unit, hot, heavy=False)
+    if anchors.where(F.col("n") > heavy).limit(1).count():
+        marked = marked.unionByName(_marked(found.where(F.col("n") > heavy), unit, hot, heavy=True))
+    marked = cut(marked)
     order = F.struct("doc_id", "at")
-    least = found.groupBy("anchor", "passage").agg(F.min(order if unit.within else F.struct("doc_id", F.lit(0).alias("at"))).alias("first"))
-    marked = found.join(least, ["anchor", "passage"])
-    is_copy = order > F.col("first") if unit.within else F.col("doc_id") > F.col("first.doc_id")
-    marked = cut(marked.select("anchor", "passage", "doc_id", "at", "windows", "twice", is_copy.alias("copy")))
     copies = marked.where("copy").select("doc_id", F.col("at").alias("start"), F.expr(f"at + windows + {unit.n - 1}").alias("end"))
     first = marked.where("NOT copy")
-    several = cut(first.groupBy("anchor").agg(F.min("passage").alias("a"), F.max("passage").alias("b"), F.max("twice").alias("twice"), F.count("*").alias("passages")).where("a <> b" + " OR twice" * unit.within).select("anchor", (F.col("passages") > hot).alias("hot")))
-    wanted = first.join(several, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "hot")).alias("runs"))
+    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "hot")).alias("runs"))
     n = unit.n
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +168,7 @@ def removed(docs: DataFrame, unit: Unit, locate: Callable[[list[Passage]], list[
     text = docs.join(wanted, "doc_id", "left").mapInArrow(passages, "anchor long, doc_id long, at int, text binary, hot boolean")
     sharded = text.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
     out = copies.unionByName(sharded.mapInArrow(lambda batches: _shard(batches, locate, n, limit), "doc_id long, start int, end int"))
-    if several.where("hot").limit(1).count():
+    if first.where("hot").limit(1).count():
         windows = text.where("hot")
         earliest = windows.groupBy("text").agg(F.min(order).alias("first"))
         again = order > F.col("first") if unit.within else F.col("doc_id") > F.col("first.doc_id")
@@ -148,8 +177,13 @@ def removed(docs: DataFrame, unit: Unit, locate: Callable[[list[Passage]], list[
 
 
 def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
-    """The documents, each with the list ``spans`` of its own stretches (null: none)."""
-    return docs.join(stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "doc_id", "left")
+    """The documents, each with the list ``spans`` of its own stretches (null: none).
+
+    Those with ids are joined as ``removed`` joins them, so that one exchange of their texts serves both.
+    """
+    spans = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = docs.where("doc_id IS NOT NULL").join(spans, "doc_id", "left")
+    return whole.unionByName(docs.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
 
 
 def kept(size: int, spans: list[dict] | None) -> np.ndarray | None:

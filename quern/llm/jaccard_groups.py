@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix, and the components of its links.
 
-1. Documents with equal shingle sets form a class; one of each class goes on. Two sets can only reach the threshold
-   if they share one of the ``p = n - ceil(t * n) + 1`` first tokens in an order that is the same for all. By hash,
-   the ``p`` least tokens of all sets are counted; sets without one that recurs are done.
+1. Documents with equal shingle sets form a class; one of each class goes on. Sets that reach the threshold share at
+   least ``m`` of their first tokens in any order that is the same for all, if ``m - 1`` more than the ``n - ceil(t * n)
+   + 1`` that must hold one are taken. By hash, so many least tokens of all sets are counted, with ``m`` growing with
+   the set; sets in which fewer than ``m`` recur are done.
 2. Tokens are counted over the sets that remain. In each, tokens of its own stand first in the order and can't be
    shared: with ``p`` of them the set is done, else the rest of its prefix is taken from its shared tokens.
 3. Similar sets are grouped by least hashes. Each group's purest set (fewest tokens of its own) is its pivot, members
@@ -31,7 +32,7 @@ from xxhash import xxh3_64_intdigest
 
 from quern.llm._anchors import BASE, mixed
 from quern.llm._bits import bit_set, holds
-from quern.llm._common import as_bytes, cut, pieces, space_words
+from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
 from quern.llm._components import components
 
 U64 = NDArray[np.uint64]
@@ -55,6 +56,17 @@ def prefix_size(n: int | NDArray, percent: int) -> int | NDArray:
     return n - -(-percent * n // 100) + 1
 
 
+def spare(n: int, percent: int) -> tuple[int, int, int]:
+    """Of ``n`` tokens, how many of a set's least ones are counted, how many are looked up, and how many must recur.
+
+    The first is one more than the second, as the counts asked for by larger partners round differently (thresholds
+    of half and more).
+    """
+    free = (100 - percent) * n // 100
+    must = max(1, free)
+    return free + must + 1, free + must, must
+
+
 def _lists(rows: list[U64]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
@@ -67,19 +79,23 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for piece in pieces(batches):
             sets = [shingles(t, n) for t in as_bytes(piece.column("text"))]
             keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), keys, _lists([s[: prefix_size(len(s), percent)] if len(s) else s for s in sets])], ["doc_id", "n_shingles", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), keys, _lists([s[: spare(len(s), percent)[0]] for s in sets])], ["doc_id", "n_shingles", "key", "prefix"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>")
 
 
 def _tokens(docs: DataFrame, bits: U64, n: int, percent: int) -> DataFrame:
-    """``doc_id, tokens``: the sets with a prefix token in the bit set."""
+    """``doc_id, tokens``: the sets enough of whose least tokens are in the bit set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             sets = [shingles(t, n) for t in as_bytes(piece.column("text"))]
-            keep = [i for i, s in enumerate(sets) if len(s) and holds(shared.value, s[: prefix_size(len(s), percent)]).any()]
+            keep = []
+            for i, s in enumerate(sets):
+                _, looked, must = spare(len(s), percent)
+                if len(s) and holds(shared.value, s[:looked]).sum() >= must:
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["doc_id", "tokens"])
 
     return docs.mapInArrow(run, "doc_id long, tokens array<long>")
@@ -149,7 +165,7 @@ def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, grou
 
     percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = ids_and_texts(docs)
     sets = cut(_sets(docs, n, percent))
     known = sets.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("id"))

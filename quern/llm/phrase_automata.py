@@ -18,10 +18,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quern.llm._common import as_bytes, pieces, space_words
+from quern.llm._common import as_bytes, ids_and_texts, pieces, space_words
 from quern.llm._repeats import Passage, Unit, kept, removed, with_spans
 
 
@@ -59,7 +58,7 @@ def report(docs: DataFrame, n: int = 20, k: int = 8, hot: int = 5000, limit: int
 
     k: words of an anchor; hot, limit: distinct passages of an anchor and bytes that a shard takes at a time.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = ids_and_texts(docs)
     unit = Unit(n, k, _words, _hashes, b" ".join, within=True)
     stretches = removed(docs.where("doc_id IS NOT NULL"), unit, lambda rows: locate(rows, n), hot, limit)
 

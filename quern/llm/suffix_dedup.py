@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from numpy.typing import NDArray
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm._anchors import mixed
-from quern.llm._common import as_bytes, pieces
+from quern.llm._common import as_bytes, ids_and_texts, pieces
 from quern.llm._repeats import Passage, Unit, kept, removed, with_spans
 
 Ints = NDArray[np.int64]
@@ -116,7 +115,7 @@ def report(docs: DataFrame, n: int = 50, k: int = 16, hot: int = 5000, limit: in
 
     k: bytes of an anchor; hot, limit: distinct passages of an anchor and bytes that a shard takes at a time.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = ids_and_texts(docs)
     unit = Unit(n, k, bytes, _hashes, bytes, within=False)
     stretches = removed(docs.where("doc_id IS NOT NULL"), unit, lambda rows: locate(rows, n), hot, limit)
 
