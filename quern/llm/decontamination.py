@@ -165,7 +165,7 @@ def _edited(docs: DataFrame, benchmark: DataFrame, n: int, max_bytes: int, spans
             marks = list(grams.value.scan(texts))
             if spans:
                 texts = [_without(t, hit) if hit.any() else t for t, (_, hit, _) in zip(texts, marks, strict=True)]
-                whole = pa.array([None if x is None else t.decode() for t, x in zip(texts, piece.column("text"), strict=True)], pa.string())
+                whole = pa.array([t.decode() if there else None for t, there in zip(texts, piece.column("text").is_valid().to_pylist(), strict=True)], pa.string())
                 yield piece.set_column(at, "text", whole)
             else:
                 yield piece.filter(pa.array([not _judged(n_words, int(hit.sum())) for n_words, hit, _ in marks], pa.bool_()))
