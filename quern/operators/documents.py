@@ -56,7 +56,7 @@ def audit(docs: DataFrame, files: DataFrame, top: int = 15) -> DataFrame:
     terms = glossary_terms(docs)
     found = uncovered(token_counts(docs), terms).groupBy("path").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "token"))), 1, top).alias("u"))
     # a term is explained where its first mention stands in a bold span with both full-width brackets
-    at = F.locate(F.lower("term"), F.lower("body"))
+    at = F.position(F.lower("term"), F.lower("body"))
     body = split_glossary(docs).select("path", "body")
     seen = terms.where(F.col("term").rlike("[A-Za-z]")).join(body, "path").withColumn("at", at).where("at > 0")
     bold_from = F.char_length(F.substring_index(F.substring("body", F.lit(1), F.col("at") - 1), "**", -1))
@@ -119,7 +119,8 @@ def candidates(meta: DataFrame) -> DataFrame:
     pmc = F.when(F.col("pmcid").isNotNull(), F.array(F.concat(F.lit("https://www.ebi.ac.uk/europepmc/webservices/rest/PMC/"), "pmcid", F.lit("/fullTextPDF"))))
     channels = [("arxiv", F.array_compact(F.array(arxiv_url("doi")))), ("unpaywall", F.col("unpaywall_urls")), ("europepmc", pmc), ("openalex", F.col("openalex_urls")), ("publisher", publisher_urls("doi", "alternative_id"))]
     none = F.array().cast("array<string>")
-    rows = F.flatten(F.array(*[F.transform(F.coalesce(urls, none), lambda u, name=name: F.struct(F.lit(name).alias("source"), u.alias("url"))) for name, urls in channels]))
+    named = lambda source, urls: F.transform(F.coalesce(urls, none), lambda u: F.struct(F.lit(source).alias("source"), u.alias("url")))
+    rows = F.flatten(F.array(*[named(source, urls) for source, urls in channels]))
     listed = meta.select("doi", F.posexplode(rows).alias("place", "c")).select("doi", "place", "c.source", "c.url")
     return listed.groupBy("doi", "url").agg(F.min_by(F.struct("place", "source"), "place").alias("f")).select("doi", "f.place", "f.source", "url")
 
