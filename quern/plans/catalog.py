@@ -139,7 +139,7 @@ def cer_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT o_orderkey AS k, string_split(o_orderpriority, '-') AS r, string_split(replace(o_orderpriority, '1-', '') || '-' || o_orderstatus, '-') AS h FROM orders),
+    """WITH p AS (SELECT o_orderkey AS k, string_split(replace(o_orderpriority, '-', ' '), ' ') AS r, string_split(replace(replace(o_orderpriority, '1-', '') || '-' || o_orderstatus, '-', ' '), ' ') AS h FROM orders),
  w AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM p),
  e AS (SELECT levenshtein(list_aggregate(list_transform(r, lambda x: chr((65 + list_position(v, x))::INT)), 'string_agg', ''), list_aggregate(list_transform(h, lambda x: chr((65 + list_position(v, x))::INT)), 'string_agg', '')) AS e, len(r) AS n FROM w)
  SELECT round_even(sum(e)::DOUBLE / sum(n), 6) AS rate, sum(e)::BIGINT AS errors, sum(n)::BIGINT AS total_tokens FROM e"""
