@@ -11,6 +11,8 @@ from numpy.typing import NDArray
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm._common import released
+
 BITS = 27
 U64 = NDArray[np.uint64]
 
@@ -20,7 +22,8 @@ def bit_set(keys: DataFrame, bits: int = BITS) -> U64:
     key = keys.columns[0]
     at = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(key, 60 - 2 * bits).bitwiseAND((1 << bits) - 1))
     words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-    got = words.agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
+    with released(keys.sparkSession):
+        got = words.agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return out.view(np.uint64)

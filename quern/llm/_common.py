@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +56,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gives its shuffle files back when it ends, rather than when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared folder and read back: lost executors cost no recomputation of them.
 
     The folder's ``quern`` tables can be removed when the session ends.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/quern/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quern/{uuid.uuid4().hex}"
+    with released(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Kept(dict):

@@ -4,8 +4,9 @@
    least ``m`` of their first tokens in any order that is the same for all, if ``m - 1`` more than the ``n - ceil(t * n)
    + 1`` that must hold one are taken. By hash, so many least tokens of all sets are counted, with ``m`` growing with
    the set; sets in which fewer than ``m`` recur are done.
-2. Tokens are counted over the sets that remain. In each, tokens of its own stand first in the order and can't be
-   shared: with ``p`` of them the set is done, else the rest of its prefix is taken from its shared tokens.
+2. Tokens are counted over the sets that remain and ordered from rare to frequent. In each set, tokens of its own stand
+   first and can't be shared: with ``p`` of them the set is done, else the rest of its prefix is taken from its rarest
+   shared tokens, so that passages which many documents hold bring no sets together by themselves.
 3. Similar sets are grouped by least hashes. Each group's purest set (fewest tokens of its own) is its pivot, members
    are compared with it, and the links make the first components.
 4. Components are cut into groups of about ``group`` sets. The matrix holds the tokens of each group's union. A set is
@@ -101,25 +102,14 @@ def _tokens(docs: DataFrame, bits: U64, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tokens array<long>")
 
 
-def _shared(tokens: DataFrame, bits: U64, percent: int) -> DataFrame:
-    """``id, n, own, tokens, prefix``: sets that can still meet another, with the tokens that recur and their first ones."""
-    known = tokens.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ns, owns, shared, prefixes = [], [], [], [], []
-            column = batch.column("tokens")
-            at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                s = values[at[i] : at[i + 1]]
-                both = s[holds(known.value, s)]
-                own = len(s) - len(both)
-                if (p := prefix_size(len(s), percent) - own) > 0 and len(both):
-                    for out, x in zip((ids, ns, owns, shared, prefixes), (doc, len(s), own, both, both[:p]), strict=True):
-                        out.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(owns, pa.int64()), _lists(shared), _lists(prefixes)], ["id", "n", "own", "tokens", "prefix"])
-
-    return tokens.mapInArrow(run, "id long, n long, own long, tokens array<long>, prefix array<long>")
+def _shared(tokens: DataFrame, percent: int) -> DataFrame:
+    """``id, n, own, tokens, prefix``: sets that can still meet another, with the tokens that recur, rarest first, and the first of them."""
+    rows = tokens.select(F.col("doc_id").alias("id"), F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    times = rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+    again = rows.join(times, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
+    again = again.select("id", "n", (F.col("n") - F.size("t")).alias("own"), F.transform("t", lambda t: t["token"]).alias("tokens"))
+    left = F.expr(f"int(n - ({percent} * n + 99) div 100 + 1 - own)")  # prefix_size, without the set's own tokens
+    return again.where(left > 0).withColumn("prefix", F.slice("tokens", F.lit(1), left))
 
 
 def _linked(a: str, b: str, percent: int) -> str:
@@ -173,8 +163,7 @@ def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, grou
     recur = least.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
     tokens = _tokens(docs.where("doc_id IS NOT NULL"), bit_set(recur), n, percent)
     tokens = cut(tokens.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    twice = tokens.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    sets_ = cut(_shared(tokens, bit_set(twice), percent))
+    sets_ = cut(_shared(tokens, percent))
     near = cut(_pivot_links(sets_, percent, rounds))
     grouped = sets_.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
     links = near.unionByName(_far_links(grouped, percent, group))
