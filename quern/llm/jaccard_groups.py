@@ -9,10 +9,11 @@
    shared tokens, so that passages which many documents hold bring no sets together by themselves.
 3. Similar sets are grouped by least hashes. Each group's purest set (fewest tokens of its own) is its pivot, members
    are compared with it, and the links make the first components.
-4. Components are cut into groups of about ``group`` sets. The matrix holds the tokens of each group's union. A set is
-   a query for the groups of smaller components with a prefix token in common; the overlap with the group's union
-   bounds that with any member, and only groups that reach the threshold are opened and compared member by member.
-   So every link between components is found, and the components of all links are those of the join.
+4. Sets with the same least hash make groups, cut to about ``group`` sets. The matrix holds the tokens of each group's
+   union. A set is a query for the groups that hold one of its prefix tokens in a set of a smaller component; the overlap
+   with the group's union bounds that with any member, and only groups that reach the threshold are opened and compared
+   with the members of smaller components. So every link between components is found, and the components of all links
+   are those of the join.
 
 Defined results: null and empty texts and texts without words have no set, link with nothing and are their own
 component; fewer words than ``n`` make one shingle; rows without an id have no component and link nothing; an id names
@@ -134,23 +135,25 @@ def _pivot_links(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
 
 def _far_links(sets: DataFrame, percent: int, group: int) -> DataFrame:
     """Links between the components of ``sets`` (with ``component``), by the token-group matrix."""
-    sizes = sets.groupBy("component").agg(F.count("*").alias("members"))
+    sets = sets.withColumn("bucket", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(0)))))
+    sizes = sets.groupBy("bucket").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / group)).cast("int")
-    sets = sets.join(sizes, "component").withColumn("part", part)
-    first = sets.select("id", "component", "part", F.explode("prefix").alias("token"))
+    sets = sets.join(sizes, "bucket").withColumn("part", part)
+    first = sets.select("id", "component", "bucket", "part", F.explode("prefix").alias("token"))
     mixed_ = first.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     first = cut(first.join(mixed_, "token"))
-    rows = first.select("token", F.col("component").alias("g_component"), F.col("part").alias("g_part")).distinct()
-    asked = first.select("token", F.col("id").alias("q"), F.col("component").alias("q_component")).join(rows, "token").where("q_component > g_component").select("q", "g_component", "g_part").distinct()
-    unions = sets.select(F.col("component").alias("g_component"), F.col("part").alias("g_part"), F.explode("tokens").alias("token")).distinct()
-    unions = unions.groupBy("g_component", "g_part").agg(F.collect_list("token").alias("union"))
-    own = sets.select(F.col("id").alias("q"), F.struct("n", "own", "tokens").alias("x"))
-    bounded = asked.join(own, "q").join(unions, ["g_component", "g_part"]).where(f"100 * size(array_intersect(x.tokens, union)) >= {percent} * x.n").select("q", "x", "g_component", "g_part")
-    members = sets.select(F.col("component").alias("g_component"), F.col("part").alias("g_part"), "id", "n", "own", "tokens").alias("m")
-    return bounded.join(members, ["g_component", "g_part"]).where(_linked("x", "m", percent)).select(F.col("q").alias("a"), F.col("m.id").alias("b"))
-
-
-def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 64) -> DataFrame:
+    here = [F.col("bucket").alias("g_bucket"), F.col("part").alias("g_part")]
+    rows = first.groupBy("token", *here).agg(F.min("component").alias("least"))
+    asked = first.select("token", F.col("id").alias("q"), F.col("component").alias("q_component")).join(rows, "token").where("q_component > least").select("q", "g_bucket", "g_part").distinct()
+    unions = sets.select(*here, F.explode("tokens").alias("token")).distinct()
+    unions = unions.groupBy("g_bucket", "g_part").agg(F.collect_list("token").alias("union"))
+    own = sets.select(F.col("id").alias("q"), F.struct("component", "n", "own", "tokens").alias("x"))
+    bounded = asked.join(own, "q").join(unions, ["g_bucket", "g_part"]).where(f"100 * size(array_intersect(x.tokens, union)) >= {percent} * x.n").select("q", "x", "g_bucket", "g_part")
+    members = sets.select(*here, "id", "component", "n", "own", "tokens").alias("m")
+    return bounded.join(members, ["g_bucket", "g_part"]).where(f"x.component > m.component AND {_linked('x', 'm', percent)}").select(F.col("q").alias("a"), F.col("m.id").alias("b"))
+
+
+def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (the least id in reach by links, its own included) of each document.
 
     percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
