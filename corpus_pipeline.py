@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each works on what the one before it kept.
 
-Documents that the quality classifier rejects go; of documents that the n-gram Jaccard join links one stays; documents
-that the benchmark contaminates go; secrets are replaced by a mark (and ``n_chars`` follows); what is left is encoded.
+Documents that the quality classifier rejects go; of documents that the Jaccard join of five-word shingles links at 0.80
+or more one stays; documents that the benchmark contaminates go; secrets are replaced by a mark (and ``n_chars``
+follows); what is left is encoded.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_groups.first_of_each(docs)
+    return jaccard_groups.first_of_each(docs, n=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
