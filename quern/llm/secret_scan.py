@@ -2,7 +2,9 @@
 
 Plain patterns give the base spans. Beyond them, a run of base64 or hex letters counts only if what it decodes to has
 the structure of a secret: an encoded private key whose nested lengths add up to the last byte, an OpenSSH private
-key block, or a signed token whose header and claims are JSON objects. Whatever does not parse is not reported.
+key block, or a signed token whose header and claims are JSON objects. Whatever does not parse is not reported. Keys are
+read over line breaks, written as such or as ``\\n`` and ``\\r\\n``; their own lengths tell where they end, which must be the
+end of a line or run. Tokens end with their third segment, whatever follows it.
 
 Kinds: ``assign``, ``access``, ``hex`` (base), then ``jwt``, ``pem``, ``der``, ``ssh``. Defined results: null texts
 count as empty; every row keeps one result, whatever its id; positions are code points, ends exclusive; other columns
@@ -16,7 +18,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,15 +29,21 @@ from quern.llm._common import pieces
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+))")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+#: A line break as it is or escaped, in JSON strings of JSON strings too.
+BREAK = r"(?:\r\n?|\n|\\+r\\+n|\\+[nr])"
+#: Where a key can begin, and the letters of a line with the break (or the escape of a slash) that leads on.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))(?=M[A-I][A-Za-z0-9+/_-]{2}|b3Bl)")
+BASE64_LINE = re.compile(rf"([A-Za-z0-9+/_-]+)(?:[\x20\t]*{BREAK}[\x20\t]*|\\+(?=/))?")
+HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?=30[0-9A-Fa-f]{2})")
+HEX_LINE = re.compile(rf"([0-9A-Fa-f]+)(?:[\x20\t]*{BREAK}[\x20\t]*)?")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 SSH_MAGIC = b"openssh-key-v1\x00"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]
+First = Callable[[int], bytes | None]
 
 
 def der_ends(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> list[tuple[int, int, int]] | None:
@@ -132,26 +140,88 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def der_size(first: First) -> int | None:
+    """The size that the first bytes of a private key give; None if no key begins with them."""
+    head = first(2)
+    if head is None or head[0] != 0x30 or head[1] == 0x80 or head[1] > 0x84:
+        return None
+    at = 2 + max(0, head[1] - 0x80)
+    head = first(at + 2)
+    if head is None or head[at] != 0x30 and head[at:] != b"\x02\x01":
+        return None
+    return at + (head[1] if at == 2 else int.from_bytes(head[2:at], "big"))
+
+
+def ssh_size(first: First) -> int | None:
+    """The size that the lengths inside an OpenSSH private key block give; None if it isn't one."""
+    if first(len(SSH_MAGIC)) != SSH_MAGIC:
+        return None
+    at, strings, counted = len(SSH_MAGIC), 3, False
+    while strings or not counted:
+        if (head := first(at + 4)) is None:
+            return None
+        size, at = int.from_bytes(head[at:], "big"), at + 4
+        if strings:
+            at, strings = at + size, strings - 1
+        elif 1 <= size <= 64:
+            strings, counted = size + 1, True
+        else:
+            return None
+    return at
+
+
+def letters(text: str, at: int, line: re.Pattern[str], n: int) -> tuple[str, int] | None:
+    """The first ``n`` letters from ``at`` on, joined over line breaks, and the end of the last; None if there are fewer."""
+    found, end = [], at
+    while n > 0 and n <= len(text) - at and (m := line.match(text, at)):
+        found.append(m[1][:n])
+        n, end, at = n - len(found[-1]), at + len(found[-1]), m.end()
+    return None if n > 0 else ("".join(found), end)
+
+
+def keys(text: str) -> Iterator[Span]:
+    """The private keys in runs of base64 and hex letters, wrapped or not."""
+    for begins, line, count, decode, least in (BASE64, BASE64_LINE, lambda n: -(-n * 4 // 3), decoded, 40), (HEX_ANY, HEX_LINE, lambda n: 2 * n, bytes.fromhex, 48):
+        last = 0
+        for m in begins.finditer(text):
+            start = m.start()
+
+            def first(n: int) -> bytes | None:
+                found = letters(text, start, line, count(n))  # noqa: B023
+                return decode(found[0])[:n] if found else None  # noqa: B023
+
+            if start < last:
+                continue
+            der = der_size(first)
+            size = ssh_size(first) if der is None else der
+            if size is None or count(size) < least or not (found := letters(text, start, line, count(size))):
+                continue
+            run, end = found
+            if line.match(text, end) or not (is_private_key if der else is_ssh_key)(decode(run)):
+                continue
+            if line is BASE64_LINE:
+                end += len(re.match("={0,2}", text[end : end + 2])[0])
+            yield start, 5 if der else 6, end
+            last = end
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """(start, kind, end) of what decodes to a key or token."""
     out: list[Span] = []
-    if "." in text and "eyJ" in text or "ey" in text and "." in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
+    if "." in text:
+        last = 0
+        for m in JWT.finditer(text):
+            if m.start() >= last and is_token(m[1], m[2]):
+                out.append((m.start(), 3, last := m.end(3)))
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
+            body = re.sub(r"\\+t|\\+(?=/)", " ", re.sub(BREAK, "\n", m[2]))
+            lines = [x for x in body.split("\n") if ":" not in x]
             data = decoded("".join("".join(lines).split()))
             if is_private_key(data) or is_ssh_key(data) or (":" in m[2] and "ENCRYPTED" in m[2] and len(data) >= 32):
                 out.append((m.start(), 4, m.end()))
     inside = [(a, b) for a, k, b in out if k == 4]
-    for m in BASE64.finditer(text):
-        data = decoded(m[0])
-        kind = 5 if data[:1] == b"\x30" and is_private_key(data) else 6 if is_ssh_key(data) else None
-        if kind and not any(a <= m.start() < b for a, b in inside):
-            out.append((m.start(), kind, m.end()))
-    for m in HEX_ANY.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0][:2] == "30" and is_private_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 5, m.end()))
+    out += [x for x in keys(text) if not any(a <= x[0] < b for a, b in inside)]
     return sorted(set(out))
 
 

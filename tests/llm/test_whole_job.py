@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+
 import corpus_pipeline
 from pyspark.sql import SparkSession
 
+from quern.llm import secret_scan
+
 from . import plain
 from .conftest import prose
 
@@ -18,3 +22,35 @@ def test_stage_links_five_words_at_080(spark: SparkSession, sf: str) -> None:
     got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf).collect()}
     assert got == {0, 1, 2, 4} == {d for d, _, c in plain.jaccard(docs, n=5, percent=80) if d == c}
     assert all(d == c for d, _, c in plain.jaccard(docs))
+
+
+def test_secrets_before_stops_in_wrapped_and_escaped_text() -> None:
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for header in (b'{"alg":"HS256"}', b'{\n "alg": "HS256"}', b'{\r\n "alg": "HS256"\r\n}', b'\n{"alg": "none"}'):
+        token = f"{part(header)}.{part(b'{"sub": "me"}')}.{'s' * 43}"
+        for before, after in (("", ""), ("It is ", ". Next"), ("www.", "."), ("(", ".)"), ("", ".Next line")):
+            text = before + token + after
+            assert secret_scan.confirmed_spans(text) == [(len(before), 3, len(before + token))], text
+    assert secret_scan.confirmed_spans("some.dotted-words.in-a.sentence of_words.and_so.on.") == []
+
+    numbers = b"".join(bytes([2, 40]) + bytes([k + 1] * 40) for k in range(8))
+    text_of = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = secret_scan.SSH_MAGIC + text_of(b"none") * 2 + text_of(b"") + (1).to_bytes(4, "big") + text_of(b"public" * 9) + text_of(b"private" * 30)
+    for tail in (b"", b"\x02\x01\x05", b"\x02\x02\x05\x06"):  # all lengths of the last base64 letters
+        body = bytes([2, 1, 0]) + numbers + tail
+        der = bytes([0x30, 0x82]) + len(body).to_bytes(2, "big") + body
+        for data, kind in ((der, 5), (ssh, 6)):
+            for run, kinds in ((base64.b64encode(data).decode(), kind), (base64.urlsafe_b64encode(data).decode(), kind), (data.hex(), 5 if kind == 5 else None)):
+                for width in (64, 76, 10**6):
+                    for newline in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " \n\t"):
+                        key = newline.join(run[i : i + width] for i in range(0, len(run), width))
+                        for before, after in (("", ""), ("my key" + newline, newline + "thanks"), ("k='", "'"), ("line" + newline + "M" + newline, newline)):
+                            want = [(len(before), kinds, len(before + key))] if kinds else []
+                            assert secret_scan.confirmed_spans(before + key + after) == want, (before, key, after)
+                        assert secret_scan.confirmed_spans(key[:-6]) == secret_scan.confirmed_spans("ab" + key) == []
+
+        for newline in ("\n", "\\n", "\\r\\n", "\\\\n"):
+            run = base64.b64encode(der).decode().replace("/", "\\/" if newline == "\\n" else "/")
+            pem = newline.join(["-----BEGIN RSA PRIVATE KEY-----", run, "-----END RSA PRIVATE KEY-----"])
+            assert secret_scan.confirmed_spans(f'{{"key": "{pem}{newline}"}}') == [(9, 4, 9 + len(pem))]
+            assert secret_scan.confirmed_spans(pem.replace("MII", "MIJ")) == []
