@@ -2,14 +2,15 @@
 
 The tree is fitted on a bounded sample and indexes every row: each vector goes down to the leaf of the nearest
 centres. A query walks the tree with a priority queue, best bin (largest inner product with the centre) first, and
-yields as many leaves as calibration found to reach the wanted recall on sample queries. Leaves are searched where
+yields as many leaves as calibration found to reach the wanted recall on sample queries, and more until they hold ``k``
+rows of other ids, by the numbers of rows indexed in each leaf. Leaves are searched where
 their vectors are: vectors and queries of a leaf meet in one group, large leaves and leaves asked by many queries being
 dealt out over several groups, and each group returns a query's best ``k``. Scores are inner products in double
 precision, summed in the same order for equal vectors.
 
 Defined results: vectors that are null, zero, of another length than the usual one, or hold null or non-finite
 components take no part, nor do rows without an id; a query's own id is no candidate; rows that repeat an id are
-candidates of their own; ties go to the smaller id; with fewer candidates all found are returned; an empty table gives
+candidates of their own, and one query, asked by each of their vectors: a candidate row counts once, by its best; ties go to the smaller id; with fewer candidates all found are returned; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -82,17 +83,18 @@ class Tree:
             todo += [(c, rows[own == i]) for i, c in enumerate(self.children[node]) if (own == i).any()]
         return out
 
-    def search(self, q: Floats, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
+    def search(self, q: Floats, visits: int, rows: NDArray[np.int64] | None = None, wanted: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and more until their ``rows`` add up to ``wanted``."""
         score = np.array(self.centres) @ q if not hasattr(self, "_stack") else self._stack @ q
-        heap, out = [(-score[0], 0)], []
-        while heap and len(out) < visits:
+        heap, out, seen = [(-score[0], 0)], [], 0
+        while heap and (len(out) < visits or seen < wanted):
             _, node = heapq.heappop(heap)
             if self.children[node]:
                 for c in self.children[node]:
                     heapq.heappush(heap, (-score[c], c))
             else:
                 out.append(self.leaf[node])
+                seen += 0 if rows is None else int(rows[self.leaf[node]])
         return out
 
     def calibrate(self, sample: Floats, k: int, recall: float, queries: int = 200) -> None:
@@ -156,6 +158,18 @@ def _best(keys: NDArray[np.int64], vectors: Floats, ids: NDArray[np.int64], quer
     return a[place < k], b[place < k], score[place < k]
 
 
+def _by_id(ids: NDArray[np.int64], keys: NDArray[np.int64], a: NDArray[np.int64], b: NDArray[np.int64], score: Floats, k: int) -> tuple:
+    """Each id's best ``k`` rows of what its vectors found, every row once."""
+    order = np.lexsort((-score, b, ids[a]))
+    a, b, score = a[order], b[order], score[order]
+    once = np.append(True, (np.diff(ids[a]) != 0) | (np.diff(b) != 0))[: len(a)]
+    a, b, score = a[once], b[once], score[once]
+    order = np.lexsort((b, keys[b], -score, ids[a]))
+    a, b, score = a[order], b[order], score[order]
+    place = np.arange(len(a)) - np.searchsorted(ids[a], ids[a])
+    return a[place < k], b[place < k], score[place < k]
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, sample: int = 20_000, leaf_size: int = 1000, max_leaves: int = 4096, part: int = 2000) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` of each row whose id is divisible by ``every``.
 
@@ -184,12 +198,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [shared.value.search(q, tree_visits) for q in _matrix(batch.column("vec"), dim)]
+                own = batch.column("own").to_pylist()
+                found = [shared.value.search(q, tree_visits, held_rows, k + n) for q, n in zip(_matrix(batch.column("vec"), dim), own, strict=True)]
                 yield batch.append_column("leaf", pa.array(found, pa.list_(pa.int32())))
 
     tree_visits = tree.visits
     indexed = cut(usable.mapInArrow(index, "vec_id long, vec array<float>, leaf int"))
-    asked = usable.where(F.col("vec_id") % every == 0).mapInArrow(visit, "vec_id long, vec array<float>, leaf array<int>")
+    held_rows = np.zeros(tree.leaves, np.int64)
+    for row in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # max_leaves rows at most
+        held_rows[row.leaf] = row.n
+    queries = usable.where(F.col("vec_id") % every == 0).groupBy("vec_id", "vec").agg(F.count("*").alias("n"))
+    queries = queries.join(queries.groupBy("vec_id").agg(F.sum("n").alias("own")), "vec_id").select("vec_id", "vec", "own")
+    asked = queries.mapInArrow(visit, "vec_id long, vec array<float>, own long, leaf array<int>")
     asked = cut(asked.select("vec_id", "vec", F.explode("leaf").alias("leaf")))
     parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
     dealt = F.broadcast(parts(indexed, "v").join(parts(asked, "q"), "leaf"))  # max_leaves rows at most
@@ -204,6 +224,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.9
             score = np.zeros(0)
         else:
             a, b, score = _best(keys, _matrix(left.column("vec").combine_chunks(), dim), ids, _matrix(right.column("vec").combine_chunks(), dim), k)
+            if len(np.unique(ids)) < len(ids):  # an id's other vectors, which meet the same rows here
+                a, b, score = _by_id(ids, keys, a, b, score, k)
         return pa.table({"query_id": ids[a], "vec_id": keys[b], "score": score})
 
     held = place(indexed, "v", "q").select("vec_id", "vec", *groups).groupBy(*groups)

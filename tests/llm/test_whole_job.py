@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import SparkSession
 
-from quern.llm import secret_scan
+from quern.llm import ann_tree, secret_scan
 
 from . import plain
 from .conftest import prose
@@ -54,3 +56,18 @@ def test_secrets_before_stops_in_wrapped_and_escaped_text() -> None:
             pem = newline.join(["-----BEGIN RSA PRIVATE KEY-----", run, "-----END RSA PRIVATE KEY-----"])
             assert secret_scan.confirmed_spans(f'{{"key": "{pem}{newline}"}}') == [(9, 4, 9 + len(pem))]
             assert secret_scan.confirmed_spans(pem.replace("MII", "MIJ")) == []
+
+
+def test_queries_in_small_leaves_find_k(spark: SparkSession) -> None:
+    """One big cluster of copies, which keeps the calibrated visits low, and many tiny ones; ids that stand twice."""
+    rng = np.random.default_rng(3)
+    hot = np.ones((4000, 8))
+    tiny = np.repeat(rng.normal(0, 5, (15, 8)), 4, axis=0) + rng.normal(0, 1e-3, (60, 8))
+    x = np.concatenate([hot, tiny])
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    rows += [rows[4000], (4020, rows[4001][1]), (8000, rows[7][1])]
+    found = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf_size=100, recall=0.5).collect()
+    assert Counter(r.query_id for r in found) == {i: 20 for i in [*range(0, len(x), 20), 8000]}
+    for query in (4000, 4020):
+        assert max(Counter(r.vec_id for r in found if r.query_id == query and r.vec_id not in (4000, 4040)).values()) == 1
+    assert all(r.query_id != r.vec_id for r in found)
