@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
 The tree is fitted on a bounded sample and indexes every row: each vector goes down to the leaf of the nearest
-centres. A query walks the tree with a priority queue, best bin (largest inner product with the centre) first, and
-yields as many leaves as calibration found to reach the wanted recall on sample queries, and more until they hold ``k``
-rows of other ids, by the numbers of rows indexed in each leaf. Leaves are searched where
-their vectors are: vectors and queries of a leaf meet in one group, large leaves and leaves asked by many queries being
-dealt out over several groups, and each group returns a query's best ``k``. Scores are inner products in double
+centres. A query walks the tree with a priority queue, best bin (largest inner product with the centre) first. It first
+opens as many leaves as hold ``k`` rows of other ids, which gives its floor, the score of the ``k``-th best so far. It
+then widens its visits to as many leaves as calibration found to reach the wanted recall on sample queries, less those
+whose bound (inner product with the centre, plus the query's length times the leaf's radius) lies below the floor.
+
+Leaves are searched where their vectors are: runs of leaves make cells of about ``cell`` vectors, a larger leaf is parted
+over several, and a query is sent once to each cell that holds leaves of its, with their numbers. A task streams a cell's
+vectors past the queries that came to it, ``block`` at a time, and keeps one running best ``k`` for each query over all
+its cells, so that a query's rows follow the number of tasks and not that of leaves. Scores are inner products in double
 precision, summed in the same order for equal vectors.
 
 Defined results: vectors that are null, zero, of another length than the usual one, or hold null or non-finite
 components take no part, nor do rows without an id; a query's own id is no candidate; rows that repeat an id are
-candidates of their own, and one query, asked by each of their vectors: a candidate row counts once, by its best; ties go to the smaller id; with fewer candidates all found are returned; an empty table gives
-no rows; other columns are ignored.
+candidates of their own, and one query, asked by each of their vectors: a candidate row counts once, by its best; ties
+go to the smaller id; with fewer candidates all found are returned; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from numpy.typing import NDArray
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm._common import cut
@@ -38,6 +44,7 @@ class Tree:
     centres: list[Floats] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
     leaf: list[int] = field(default_factory=list)
+    stack: Floats | None = None
     leaves: int = 0
     visits: int = 1
 
@@ -62,6 +69,7 @@ class Tree:
         for node, below in enumerate(tree.children):
             if not below:
                 tree.leaf[node], tree.leaves = tree.leaves, tree.leaves + 1
+        tree.stack = np.array(tree.centres)
         return tree
 
     def _add(self, centre: Floats) -> int:
@@ -70,40 +78,51 @@ class Tree:
         self.leaf.append(-1)
         return len(self.centres) - 1
 
-    def assign(self, x: Floats) -> NDArray[np.int32]:
-        """The leaf of each vector: down by the nearest centre."""
-        out = np.zeros(len(x), np.int32)
+    def assign(self, x: Floats) -> tuple[NDArray[np.int32], Floats]:
+        """The leaf of each vector, down by the nearest centre, and how far it is from the leaf's."""
+        out, far = np.zeros(len(x), np.int32), np.zeros(len(x))
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if not self.children[node]:
-                out[rows] = self.leaf[node]
+                out[rows], far[rows] = self.leaf[node], np.sqrt(((x[rows] - self.centres[node]) ** 2).sum(axis=1))
                 continue
-            own = _nearest(x[rows], np.array([self.centres[c] for c in self.children[node]]))
+            own = _nearest(x[rows], self.stack[self.children[node]])
             todo += [(c, rows[own == i]) for i, c in enumerate(self.children[node]) if (own == i).any()]
-        return out
+        return out, far
 
-    def search(self, q: Floats, visits: int, rows: NDArray[np.int64] | None = None, wanted: int = 0) -> list[int]:
-        """The first ``visits`` leaves, best bin first, and more until their ``rows`` add up to ``wanted``."""
-        score = np.array(self.centres) @ q if not hasattr(self, "_stack") else self._stack @ q
-        heap, out, seen = [(-score[0], 0)], [], 0
-        while heap and (len(out) < visits or seen < wanted):
+    def order(self, q: Floats) -> Iterator[tuple[int, float]]:
+        """Leaves, best bin first, each with the inner product with its centre."""
+        score = self.stack @ q
+        heap = [(-score[0], 0)]
+        while heap:
             _, node = heapq.heappop(heap)
             if self.children[node]:
                 for c in self.children[node]:
                     heapq.heappush(heap, (-score[c], c))
             else:
-                out.append(self.leaf[node])
-                seen += 0 if rows is None else int(rows[self.leaf[node]])
-        return out
+                yield self.leaf[node], float(score[node])
+
+    def search(self, q: Floats, rows: NDArray[np.int64], wanted: int) -> tuple[list[int], list[int], list[float]]:
+        """The first leaves whose ``rows`` add up to ``wanted``, then the other ones to visit, with their products."""
+        first, rest, products, seen = [], [], [], 0
+        for leaf, score in self.order(q):
+            if seen < wanted:
+                first.append(leaf)
+                seen += int(rows[leaf])
+            elif len(first) + len(rest) < self.visits:
+                rest.append(leaf)
+                products.append(score)
+            else:
+                break
+        return first, rest, products
 
     def calibrate(self, sample: Floats, k: int, recall: float, queries: int = 200) -> None:
         """Widens the visits until sample queries find ``recall`` of their ``k`` nearest in the sample."""
-        self._stack = np.array(self.centres)
         asked = sample[: min(queries, len(sample))]
         if not len(asked):
             return
-        leaf, scores = self.assign(sample), asked @ sample.T
+        leaf, scores = self.assign(sample)[0], asked @ sample.T
         np.fill_diagonal(scores, -np.inf)
         k = min(k, len(sample) - 1)
         if k < 1:
@@ -113,7 +132,7 @@ class Tree:
         # how many leaves a query must visit until it has seen the leaf of each of its nearest
         need = []
         for row, q in zip(near, asked, strict=True):
-            order = {at: i + 1 for i, at in enumerate(self.search(q, self.leaves))}
+            order = {at: i + 1 for i, (at, _) in enumerate(self.order(q))}
             need += [order[int(x)] for x in leaf[row]]
         self.visits = int(np.quantile(need, recall, method="higher"))
 
@@ -134,21 +153,24 @@ def _kmeans(x: Floats, k: int, rng: np.random.Generator, turns: int = 8) -> Floa
     return centres
 
 
-def _matrix(column: pa.ListArray, dim: int) -> Floats:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _matrix(column: pa.ListArray) -> Floats:
+    """Rows of equal length, none of them null."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
+    """``vec_id long, vec`` (float or double components, as they came) of the rows that take part."""
     ok = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec")).where("vec_id IS NOT NULL").where(ok)
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec")).where("vec_id IS NOT NULL").where(ok)
 
 
-def _best(keys: NDArray[np.int64], vectors: Floats, ids: NDArray[np.int64], queries: Floats, k: int) -> tuple:
-    """Each query's best ``k`` of the vectors that have another id: positions of queries and vectors, exact scores."""
+def _best(keys: NDArray[np.int64], vectors: Floats, ids: NDArray[np.int64], queries: Floats, k: int, low: Floats) -> tuple:
+    """Each query's best ``k`` of the vectors that have another id and reach its ``low``: positions of queries and vectors, exact scores."""
     rough = queries @ vectors.T
     rough[ids[:, None] == keys[None, :]] = -np.inf
     top = min(k, len(keys))
-    least = np.partition(rough, len(keys) - top, axis=1)[:, len(keys) - top]
+    least = np.maximum(np.partition(rough, len(keys) - top, axis=1)[:, len(keys) - top], low)
     slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
     a, b = np.nonzero((rough >= (least - slack)[:, None]) & np.isfinite(rough))
     score = (queries[a] * vectors[b]).sum(axis=1)
@@ -170,72 +192,171 @@ def _by_id(ids: NDArray[np.int64], keys: NDArray[np.int64], a: NDArray[np.int64]
     return a[place < k], b[place < k], score[place < k]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.97, sample: int = 20_000, leaf_size: int = 1000, max_leaves: int = 4096, part: int = 2000) -> DataFrame:
+class _Best:
+    """The running best ``k`` of each query id: positions are not kept, only ids and scores."""
+
+    def __init__(self, k: int, most: int) -> None:
+        self.k, self.most, self.parts, self.rows = k, most, [], 0
+
+    def add(self, query: NDArray[np.int64], vec: NDArray[np.int64], score: Floats) -> None:
+        self.parts.append((query, vec, score))
+        self.rows += len(query)
+
+    def shrink(self) -> pa.RecordBatch:
+        """Each query's best so far, which stay as the only part."""
+        query, vec, score = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.parts = [(query[keep], vec[keep], score[keep])]
+        self.rows = int(keep.sum())
+        return pa.RecordBatch.from_arrays([*map(pa.array, self.parts[0])], ["query_id", "vec_id", "score"])
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        """Gives the rows away once even the best alone are too many to hold."""
+        if self.rows > 2 * self.most:
+            out = self.shrink()
+            if self.rows > self.most:
+                self.parts, self.rows = [], 0
+                yield out
+
+
+def _cells(rows: NDArray[np.int64], cell: int, most: int) -> tuple[NDArray[np.int64], NDArray[np.int64]]:
+    """Each leaf's first cell and number of cells: small leaves share one, large ones have several; ``most`` or so in all."""
+    cell = max(cell, -(-int(rows.sum()) // most))
+    first, parts, at, held = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), 0, 0
+    for leaf, n in enumerate(rows.tolist()):
+        if held and held + n > cell:
+            at, held = at + 1, 0
+        first[leaf], parts[leaf] = at, max(1, -(-n // cell))
+        held += n
+        if n > cell:
+            at, held = at + int(parts[leaf]), 0
+    return first, parts
+
+
+def _found(indexed: DataFrame, asked: DataFrame, k: int, block: int, most: int = 1 << 20) -> DataFrame:
+    """``query_id, vec_id, score``: the best rows of each query in the leaves that it visits.
+
+    indexed: ``vec_id, vec, leaf, cell``; asked: ``vec_id, vec, cell, leaves`` (those of the cell)``, least`` (scores below
+    it are of no use).
+    """
+    counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # one row for each cell, a bounded number
+    queries = asked.join(F.broadcast(counts), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(0).alias("side"), F.lit(-1).alias("leaf"), "vec_id", "vec", "leaves", "least")
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    held = indexed.join(F.broadcast(counts), "cell").select("cell", part, F.lit(1).alias("side"), "leaf", "vec_id", "vec", F.lit(None).cast("array<int>").alias("leaves"), F.lit(None).cast("double").alias("least"))
+    rows = queries.unionByName(held).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "leaf")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = _Best(k, most), None
+        ids = queries = least = asks = None
+        for batch in (b for b in batches if b.num_rows):
+            cell, part, side, leaf = (batch.column(c).to_numpy() for c in ("cell", "part", "side", "leaf"))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0) | (np.diff(leaf) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
+                some = batch.slice(lo, hi - lo)
+                keys, x = some.column("vec_id").to_numpy(), _matrix(some.column("vec"))
+                if side[lo] == 0:
+                    new = [*some.column("leaves").to_pylist()]
+                    if at == (cell[lo], part[lo]):  # more of the same group, from another batch
+                        ids, queries, least, asks = np.append(ids, keys), np.concatenate([queries, x]), np.append(least, some.column("least").to_numpy()), asks + new
+                    else:
+                        at, ids, queries, least, asks = (cell[lo], part[lo]), keys, x, some.column("least").to_numpy(), new
+                    visits: dict[int, list[int]] = {}
+                    for i, leaves in enumerate(asks):
+                        for a in leaves:
+                            visits.setdefault(a, []).append(i)
+                    repeated = len(np.unique(ids)) < len(ids)
+                elif at == (cell[lo], part[lo]) and (who := visits.get(int(leaf[lo]))):
+                    who = np.array(who)
+                    step = max(1, (1 << 22) // len(who))
+                    for i in range(0, len(keys), step):
+                        own, vecs = keys[i : i + step], x[i : i + step]
+                        a, b, score = _best(own, vecs, ids[who], queries[who], k, least[who])
+                        if repeated:  # an id's other vectors, which meet the same rows here
+                            a, b, score = _by_id(ids[who], own, a, b, score, k)
+                        best.add(ids[who[a]], own[b], score)
+                        yield from best.full()
+        yield best.shrink()
+
+    return rows.mapInArrow(find, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, sample: int = 20_000, cell: int = 4096, max_cells: int = 20_000, block: int = 16_384) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` of each row whose id is divisible by ``every``.
 
-    sample bounds the vectors that fit and calibrate the tree, max_leaves the tree; part is what a group holds of
-    vectors and of queries, and recall what calibration must reach.
+    sample bounds the vectors that fit and calibrate the tree; it has about as many leaves as the square root of the
+    number of rows says (four sample vectors for each at least), so that walking the tree costs no more than searching a
+    leaf. cell, max_cells: vectors of a cell and the most cells there are (they grow beyond that); block: queries that a
+    task holds at a time; recall: what calibration must reach.
     """
     spark, usable = vectors.sparkSession, _usable(vectors)
     taken = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     lengths = np.array(taken.column("vec").combine_chunks().value_lengths().to_pylist(), np.int64)
-    none = "query_id long, rank int, vec_id long, score double"
     if not len(lengths):
-        return spark.createDataFrame([], none)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(np.bincount(lengths).argmax())
-    x = _matrix(taken.column("vec").combine_chunks().filter(pa.array(lengths == dim)), dim)
+    x = _matrix(taken.column("vec").combine_chunks().filter(pa.array(lengths == dim)))
     usable = usable.where(F.size("vec") == dim)
     total = usable.count()
-    tree = Tree.fit(x, int(min(max_leaves, max(1, total // leaf_size))))
+    tree = Tree.fit(x, max(1, min(round(total**0.5), len(x) // 4)))
     tree.calibrate(x, k, recall)
+    kind = dict(usable.dtypes)["vec"]
     shared = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.append_column("leaf", pa.array(shared.value.assign(_matrix(batch.column("vec"), dim)), pa.int32()))
+                leaf, far = shared.value.assign(_matrix(batch.column("vec")))
+                yield batch.append_column("leaf", pa.array(leaf, pa.int32())).append_column("far", pa.array(far))
+
+    indexed = cut(usable.mapInArrow(index, f"vec_id long, vec {kind}, leaf int, far double"))
+    rows, radius = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves)
+    for row in indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # a row for each leaf of the bounded tree
+        rows[row.leaf], radius[row.leaf] = row.n, row.far
+    first, parts = _cells(rows, cell, max_cells)
+    of_leaf = F.broadcast(spark.createDataFrame(pa.table({"leaf": pa.array(range(tree.leaves), pa.int32()), "first": first, "cells": parts})))
+    indexed = indexed.join(of_leaf, "leaf").select("vec_id", "vec", "leaf", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "cells")).alias("cell"))
+    queries = usable.where(F.col("vec_id") % every == 0).groupBy("vec_id", "vec").agg(F.count("*").alias("n"))
+    queries = queries.join(queries.groupBy("vec_id").agg(F.sum("n").alias("own")), "vec_id").select("vec_id", "vec", "own")
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = batch.column("own").to_pylist()
-                found = [shared.value.search(q, tree_visits, held_rows, k + n) for q, n in zip(_matrix(batch.column("vec"), dim), own, strict=True)]
-                yield batch.append_column("leaf", pa.array(found, pa.list_(pa.int32())))
-
-    tree_visits = tree.visits
-    indexed = cut(usable.mapInArrow(index, "vec_id long, vec array<float>, leaf int"))
-    held_rows = np.zeros(tree.leaves, np.int64)
-    for row in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # max_leaves rows at most
-        held_rows[row.leaf] = row.n
-    queries = usable.where(F.col("vec_id") % every == 0).groupBy("vec_id", "vec").agg(F.count("*").alias("n"))
-    queries = queries.join(queries.groupBy("vec_id").agg(F.sum("n").alias("own")), "vec_id").select("vec_id", "vec", "own")
-    asked = queries.mapInArrow(visit, "vec_id long, vec array<float>, own long, leaf array<int>")
-    asked = cut(asked.select("vec_id", "vec", F.explode("leaf").alias("leaf")))
-    parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
-    dealt = F.broadcast(parts(indexed, "v").join(parts(asked, "q"), "leaf"))  # max_leaves rows at most
-    place = lambda df, own, other: df.join(dealt, "leaf").select("*", F.pmod(F.xxhash64("vec_id"), own).cast("int").alias(f"{own}_part"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_part"))
-    groups = ["leaf", "v_part", "q_part"]
-
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = not left.num_rows or not right.num_rows
-        keys, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        if empty:
-            a = b = np.zeros(0, np.int64)
-            score = np.zeros(0)
-        else:
-            a, b, score = _best(keys, _matrix(left.column("vec").combine_chunks(), dim), ids, _matrix(right.column("vec").combine_chunks(), dim), k)
-            if len(np.unique(ids)) < len(ids):  # an id's other vectors, which meet the same rows here
-                a, b, score = _by_id(ids, keys, a, b, score, k)
-        return pa.table({"query_id": ids[a], "vec_id": keys[b], "score": score})
-
-    held = place(indexed, "v", "q").select("vec_id", "vec", *groups).groupBy(*groups)
-    wanted = place(asked, "q", "v").select("vec_id", "vec", *groups).groupBy(*groups)
-    found = held.cogroup(wanted).applyInArrow(find, "query_id long, vec_id long, score double")
-    best = F.row_number().over(_window()).cast("int")
-    return found.select("query_id", best.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
-
-
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                x, own = _matrix(batch.column("vec")), batch.column("own").to_pylist()
+                seen = [shared.value.search(q, rows, k + n) for q, n in zip(x, own, strict=True)]
+                bounds = [np.array(products) + np.sqrt(q @ q) * radius[rest] * (1 + 1e-9) + 1e-9 for q, (_, rest, products) in zip(x, seen, strict=True)]
+                lists = lambda values, kind: pa.array(values, pa.list_(kind))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), lists([s[0] for s in seen], pa.int32()), lists([s[1] for s in seen], pa.int32()), lists(bounds, pa.float64())], ["vec_id", "vec", "near", "more", "bounds"])
+
+    walked = cut(queries.mapInArrow(walk, f"vec_id long, vec {kind}, near array<int>, more array<int>, bounds array<double>"))
+
+    # all vectors of one id open the same leaves first, so that a row found then is not found again
+    nearby = walked.select("vec_id", F.explode("near").alias("leaf")).distinct().groupBy("vec_id").agg(F.collect_list("leaf").alias("near"))
+    walked = walked.drop("near").join(nearby, "vec_id")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and cell of what it visits, with the leaves there."""
+        for batch in batches:
+            at, cells, inside = [], [], []
+            for i, leaves in enumerate(batch.column("leaves").to_pylist()):
+                own: dict[int, list[int]] = {}
+                for leaf in leaves:
+                    for c in range(int(first[leaf]), int(first[leaf] + parts[leaf])):
+                        own.setdefault(c, []).append(leaf)
+                at += [i] * len(own)
+                cells += own
+                inside += own.values()
+            row = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("vec_id", "vec", "least")), pa.array(cells, pa.int64()), pa.array(inside, pa.list_(pa.int32()))], ["vec_id", "vec", "least", "cell", "leaves"])
+
+    asked = lambda q: cut(q.select("vec_id", "vec", "least", "leaves").mapInArrow(deal, f"vec_id long, vec {kind}, least double, cell long, leaves array<int>"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    low = float("-inf")
+    seeds = asked(walked.withColumnRenamed("near", "leaves").withColumn("least", F.lit(low)))
+    near = cut(_found(indexed, seeds, k, block).withColumn("rank", rank).where(F.col("rank") <= k))
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    rest = walked.join(floors, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(low)))
+    rest = rest.withColumn("leaves", F.expr("transform(filter(arrays_zip(more, bounds), x -> x.bounds >= least AND NOT array_contains(near, x.more)), x -> x.more)"))
+    found = near.drop("rank").unionByName(_found(indexed, asked(rest), k, block))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -51,7 +51,7 @@ def test_nearest_in_a_tree_of_many_leaves(spark: SparkSession) -> None:
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf_size=60, sample=1000, part=50)
+    got = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=1000, cell=50, block=50)
     assert recall(got, nearest([(i, v) for i, v in enumerate(x.astype(np.float64))])) >= 0.9
 
 

@@ -66,7 +66,7 @@ def test_queries_in_small_leaves_find_k(spark: SparkSession) -> None:
     x = np.concatenate([hot, tiny])
     rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
     rows += [rows[4000], (4020, rows[4001][1]), (8000, rows[7][1])]
-    found = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf_size=100, recall=0.5).collect()
+    found = ann_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell=100, recall=0.5).collect()
     assert Counter(r.query_id for r in found) == {i: 20 for i in [*range(0, len(x), 20), 8000]}
     for query in (4000, 4020):
         assert max(Counter(r.vec_id for r in found if r.query_id == query and r.vec_id not in (4000, 4040)).values()) == 1
