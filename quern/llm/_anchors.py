@@ -47,11 +47,11 @@ def least(x: U64, w: int) -> U64:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if w > have else x
 
 
-def runs(h: U64, sizes: NDArray[np.int64], n: int, k: int) -> tuple[NDArray[np.int64], NDArray[np.int64], NDArray[np.int64], U64, NDArray[np.bool_]]:
+def runs(h: U64, sizes: NDArray[np.int64], n: int, k: int, within: bool) -> tuple[NDArray[np.int64], NDArray[np.int64], NDArray[np.int64], U64, NDArray[np.bool_]]:
     """Runs of windows with one anchor, over texts of ``sizes`` symbols that stand one after the other in ``h``.
 
-    For each run: its text, where in the text it starts, how many windows it has, the anchor, and whether the anchor
-    may stand in it more than once, as it does where a window repeats within the run.
+    For each run: its text, where in the text it starts, how many windows it has, the anchor, and (if ``within``, else
+    False) whether the anchor may stand in it more than once, as it does where a window repeats within the run.
     """
     if len(h) < n:
         none = np.zeros(0, np.int64)
@@ -67,6 +67,8 @@ def runs(h: U64, sizes: NDArray[np.int64], n: int, k: int) -> tuple[NDArray[np.i
     new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(text)))
+    if not within:
+        return text[start], at[start], size, low[start], np.zeros(len(start), bool)
     # a gram is an anchor if one of the windows around it has nothing less: then their greatest least is the gram
     around = np.zeros(len(gram) + w - 1, np.uint64)
     around[place + w - 1] = low
@@ -75,12 +77,3 @@ def runs(h: U64, sizes: NDArray[np.int64], n: int, k: int) -> tuple[NDArray[np.i
     first, last = np.searchsorted(anchors, place[start]), np.searchsorted(anchors, place[start] + size + w - 2, "right") - 1
     twice = (size > w) | (pair[np.maximum(last, first)] > pair[np.minimum(first, len(pair) - 1)]) if len(anchors) else size > w
     return text[start], at[start], size, low[start], twice
-
-
-def span_hash(h: U64, starts: NDArray[np.int64], lengths: NDArray[np.int64]) -> U64:
-    """The hash of ``h[start:start + length]`` for each pair; equal symbols give equal hashes wherever they stand."""
-    power = powers(len(h))
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    back = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(h), inverse, np.uint64))])
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[1:])])
-    return mixed((total[starts + lengths] - total[starts]) * back[starts] + lengths.astype(np.uint64))

@@ -1,7 +1,7 @@
-"""A bit set of fixed size for 64-bit hashes, built by rows and sent to all tasks.
+"""A bit set for 64-bit hashes, built by rows and sent to all tasks.
 
-It never misses a hash that was put in. It fills up with ever more hashes and then lets more of the others through;
-whatever uses it must be exact without it.
+Its size follows the number of hashes up to ``2**MOST`` bits (64 MB). It never misses a hash that was put in. Beyond that
+size it fills up and lets more of the others through; whatever uses it must be exact without it.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from quern.llm._common import released
 
-BITS = 27
+LEAST, MOST = 20, 29
 U64 = NDArray[np.uint64]
 
 
-def bit_set(keys: DataFrame, bits: int = BITS) -> U64:
-    """The set of one long column; ``2**bits / 8`` bytes, whatever the number of rows."""
+def bit_set(keys: DataFrame) -> U64:
+    """The set of one long column, of about 16 bits for each row; rows are counted first, so they had better be a table."""
     key = keys.columns[0]
+    bits = min(MOST, max(LEAST, int(16 * keys.count()).bit_length()))
     at = F.array(F.shiftrightunsigned(key, 64 - bits), F.shiftrightunsigned(key, 60 - 2 * bits).bitwiseAND((1 << bits) - 1))
     words = keys.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
     with released(keys.sparkSession):

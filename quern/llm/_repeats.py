@@ -1,13 +1,8 @@
-"""What repeats in a corpus: the shared frame of the two substring operators.
-
-1. Every window of ``n`` symbols (bytes or words) is named by its anchor (see ``_anchors``). Anchors are counted over
-   all documents; windows whose anchor occurs once are done. The recurring anchors also set the bits of a filter of
-   fixed size, which spares most runs the next shuffle and passes more of them as it fills up, never fewer.
-2. Runs with a recurring anchor are grouped into distinct passages, equal symbol for symbol (by 128 bits of hashes),
-   each with its first occurrence; all windows of later ones are repeats.
-3. Distinct passages are dealt to shards by anchor, so equal windows meet in one shard. A shard takes a bounded number
-   of whole anchors at a time and finds the repeated windows among their passages by the operator's own method.
-4. Anchors with more than ``hot`` distinct passages skip the shards: their windows are grouped as rows.
+"""What recurs in a corpus: the shared frame of the two substring operators.
+
+Every window of ``n`` symbols (bytes or words) is named by its anchor (see ``_anchors``). Anchors are counted over all
+documents; windows whose anchor occurs once are done. The recurring anchors also set the bits of a filter of bounded
+size, which spares most runs the next shuffle and passes more of them as it fills up, never fewer.
 """
 
 from __future__ import annotations
@@ -18,168 +13,59 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm._anchors import U64, runs, span_hash
-from quern.llm._bits import bit_set, holds
+from quern.llm._anchors import U64, runs
 from quern.llm._common import as_bytes, cut, pieces
 
-#: One passage: its document, where it starts, its text.
-Passage = tuple[int, int, bytes]
+#: Bytes of text whose runs a task works out at a time.
+PIECE = 256 << 10
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What windows are made of, and what counts as a repeat.
-
-    read: a text's symbols; hashes: 64 bits for each; join: the text of consecutive symbols; within: whether a window
-    that starts earlier in the same document counts (else only smaller ids do).
-    """
+    """What windows are made of: a text's symbols, 64 bits for each, and whether a document repeats itself too."""
 
     n: int
     k: int
     read: Callable[[bytes], Sequence]
     hashes: Callable[[Sequence], U64]
-    join: Callable[[Sequence], bytes]
     within: bool
 
     def runs(self, texts: list[bytes]) -> tuple:
+        """The texts' symbols, all their hashes in a row, the texts' sizes, and the runs of windows with one anchor."""
         symbols = [self.read(t) for t in texts]
         sizes = np.array([len(s) for s in symbols], np.int64)
         h = np.concatenate([self.hashes(s) for s in symbols])
-        return h, sizes, *runs(h, sizes, self.n, self.k)
+        return symbols, h, sizes, *runs(h, sizes, self.n, self.k, self.within)
 
 
-def _recurring(docs: DataFrame, unit: Unit) -> DataFrame:
+def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
     """``anchor, n``: those in more than one run (or document), and those that may hold a repeat within a run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=256 << 10):
-            _, _, text, _, _, anchor, twice = unit.runs(as_bytes(piece.column("text")))
+        for piece in pieces(batches, limit=PIECE):
+            _, _, _, text, _, _, anchor, twice = unit.runs(as_bytes(piece.column("text")))
             if not unit.within:
                 order = np.lexsort((anchor, text))
                 anchor, text = anchor[order], text[order]
                 new = np.ones(len(anchor), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-                anchor, twice = anchor[new], np.zeros(int(new.sum()), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(twice)], ["anchor", "twice"])
+                anchor = anchor[new]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(twice)], ["anchor", "twice"])
 
+    if not unit.within:
+        return cut(docs.mapInArrow(find, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     found = docs.mapInArrow(find, "anchor long, twice boolean")
     return cut(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor", "n"))
 
 
-def _found(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, passage, doc_id, at, windows, twice, n``: the runs of recurring anchors."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors.select("anchor")))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=256 << 10):
-            h, sizes, text, at, size, anchor, twice = unit.runs(as_bytes(piece.column("text")))
-            keep = np.flatnonzero(holds(bits.value, anchor))
-            text, at, size, anchor, twice = text[keep], at[keep], size[keep], anchor[keep], twice[keep]
-            passage = span_hash(h, (np.cumsum(sizes) - sizes)[text] + at, size + unit.n - 1)
-            ids = piece.column("doc_id").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twice)], ["anchor", "passage", "doc_id", "at", "windows", "twice"])
-
-    found = docs.mapInArrow(find, "anchor long, passage long, doc_id long, at int, windows int, twice boolean")
-    return found.join(anchors, "anchor")
-
-
-def _marked(found: DataFrame, unit: Unit, hot: int, heavy: bool) -> DataFrame:
-    """``anchor, doc_id, at, windows, copy, hot``: copies, and first occurrences whose anchor has other passages too.
-
-    All of an anchor's runs are looked at where the join has brought them together, by windows; those of ``heavy``
-    anchors, which may be too many for a task, by aggregates that combine before the shuffle and joins that Spark splits.
-    """
-    key = ["anchor", "passage"]
-    least = F.min(F.struct("doc_id", "at") if unit.within else F.struct("doc_id", F.lit(0).alias("at")))
-    own = F.max("twice") if unit.within else F.lit(False)
-    is_copy = F.struct("doc_id", "at") > F.col("first") if unit.within else F.col("doc_id") > F.col("first.doc_id")
-    if heavy:
-        found = cut(found)
-        out = found.join(found.groupBy(*key).agg(least.alias("first")), key).withColumn("copy", is_copy)
-        kinds = out.where("NOT copy").groupBy("anchor").agg(F.min("passage").alias("a"), F.max("passage").alias("b"), own.alias("own"), F.count("*").alias("kinds"))
-        out = out.join(kinds, "anchor")
-    else:
-        by = W.partitionBy("anchor")
-        out = found.withColumn("first", least.over(W.partitionBy(*key))).withColumn("copy", is_copy)
-        out = out.select("*", F.min("passage").over(by).alias("a"), F.max("passage").over(by).alias("b"), (own.over(by) if unit.within else own).alias("own"), F.sum(F.when(~F.col("copy"), 1).otherwise(0)).over(by).alias("kinds"))
-    return out.where("copy OR a <> b OR own").select("anchor", "doc_id", "at", "windows", "copy", (F.col("kinds") > hot).alias("hot"))
-
-
-def _shard(batches: Iterator[pa.RecordBatch], locate: Callable[[list[Passage]], list[list[int]]], n: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Takes passages in order of anchor, whole anchors until ``limit`` bytes are there, and yields the repeated windows."""
-    rows: list[Passage] = []
-    held, last = 0, None
-
-    def flush() -> pa.RecordBatch:
-        docs, starts, ends = [], [], []
-        for row, places in zip(rows, locate(rows), strict=True):
-            for place in sorted(places):
-                if docs and docs[-1] == row[0] and starts[-1] <= place <= ends[-1]:
-                    ends[-1] = place + n
-                else:
-                    docs.append(row[0])
-                    starts.append(place)
-                    ends.append(place + n)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
-
-    for batch in batches:
-        for anchor, doc, at, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "at", "text")), strict=True):
-            if held >= limit and anchor != last:
-                yield flush()
-                held = 0
-            rows.append((doc, at, text))
-            held, last = held + len(text), anchor
-    if rows:
-        yield flush()
-
-
-def removed(docs: DataFrame, unit: Unit, locate: Callable[[list[Passage]], list[list[int]]], hot: int, limit: int, heavy: int = 100_000) -> DataFrame:
-    """``doc_id, start, end``: stretches of symbols that are repeats. ``docs`` has ids and texts.
-
-    ``locate`` gets passages and returns for each the places (in its document) of windows that repeat an earlier one.
-    """
-    anchors = _recurring(docs, unit)
-    found = _found(docs, anchors, unit)
-    marked = _marked(found.where(F.col("n") <= heavy), unit, hot, heavy=False)
-    if anchors.where(F.col("n") > heavy).limit(1).count():
-        marked = marked.unionByName(_marked(found.where(F.col("n") > heavy), unit, hot, heavy=True))
-    marked = cut(marked)
-    order = F.struct("doc_id", "at")
-    copies = marked.where("copy").select("doc_id", F.col("at").alias("start"), F.expr(f"at + windows + {unit.n - 1}").alias("end"))
-    first = marked.where("NOT copy")
-    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "hot")).alias("runs"))
-    n = unit.n
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=256 << 10):
-            out = []
-            for doc, text, own in zip(piece.column("doc_id").to_pylist(), as_bytes(piece.column("text")), piece.column("runs").to_pylist(), strict=True):
-                symbols = unit.read(text) if own else ()
-                for r in own or []:
-                    for i in range(r["at"], r["at"] + r["windows"]) if r["hot"] else [r["at"]]:
-                        out.append((r["anchor"], doc, i, unit.join(symbols[i : i + n if r["hot"] else i + r["windows"] + n - 1]), r["hot"]))
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["anchor", "doc_id", "at", "text", "hot"])
-
-    text = docs.join(wanted, "doc_id", "left").mapInArrow(passages, "anchor long, doc_id long, at int, text binary, hot boolean")
-    sharded = text.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
-    out = copies.unionByName(sharded.mapInArrow(lambda batches: _shard(batches, locate, n, limit), "doc_id long, start int, end int"))
-    if first.where("hot").limit(1).count():
-        windows = text.where("hot")
-        earliest = windows.groupBy("text").agg(F.min(order).alias("first"))
-        again = order > F.col("first") if unit.within else F.col("doc_id") > F.col("first.doc_id")
-        out = out.unionByName(windows.join(earliest, "text").where(again).select("doc_id", F.col("at").alias("start"), F.expr(f"at + {n}").alias("end")))
-    return out
-
-
 def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     """The documents, each with the list ``spans`` of its own stretches (null: none).
 
-    Those with ids are joined as ``removed`` joins them, so that one exchange of their texts serves both.
+    Those with ids are joined as the operators join them before, so that one exchange of their texts serves both.
     """
     spans = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = docs.where("doc_id IS NOT NULL").join(spans, "doc_id", "left")

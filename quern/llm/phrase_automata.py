@@ -1,66 +1,208 @@
 """Substring de-duplication by sharded Aho-Corasick automata over words.
 
-Recurring passages are confirmed over all documents and dealt to shards (see ``_repeats``). A shard numbers the words
-of its passages, confirms the windows that recur among them, compiles these into an automaton over word numbers and
-streams the passages through it; each window that it locates after the first occurrence is a repeat.
+1. Windows of ``n`` words are named by anchors, and those whose anchor recurs are hashed (see ``_repeats``). Windows are
+   grouped by anchor and hash: those in more than one place are the recurring phrases, each with its first place.
+2. Phrases are dealt to shards by anchor, about ``phrases`` of them in each; the words come from the first place's
+   document. A shard numbers its words and compiles its phrases into one automaton over word numbers.
+3. All documents stream through: each run of windows that may be phrases goes to the shard of its anchor, first places
+   and copies alike, and the automaton locates every occurrence, word for word. Occurrences after the first are repeats.
+
+Phrases of one anchor beyond ``phrases`` are parted over several shards, each of which sees the anchor's runs; shards
+that more than ``stream`` runs would reach are copied, and each copy sees its part of the runs. So neither many phrases
+nor many occurrences of one passage meet in one task.
 
 Defined results: null texts have no words; rows without an id take no part and keep all words; an id names one text,
-and rows that repeat both count as one document and get equal results; texts of under ``n`` words keep everything;
-other columns are ignored.
+and rows that repeat both count as one document and get equal results; rows with one id and different texts count as one
+document too, in which equal places go together, and each row loses the stretches found in either text; texts of under
+``n`` words keep everything; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from numpy.typing import NDArray
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quern.llm._common import as_bytes, ids_and_texts, pieces, space_words
-from quern.llm._repeats import Passage, Unit, kept, removed, with_spans
+from quern.llm._anchors import U64, grams, mixed
+from quern.llm._bits import bit_set, holds
+from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
+from quern.llm._repeats import PIECE, Unit, kept, recurring, with_spans
+
+Place = tuple[int, int]
 
 
 def _words(text: bytes) -> list[bytes]:
     return space_words(text, lower=False)
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
+def _hashes(words: list[bytes]) -> U64:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def locate(rows: list[Passage], n: int) -> list[list[int]]:
-    """For each passage the places of windows of ``n`` words that start earlier, by an automaton of the windows that recur."""
-    numbers: dict[bytes, int] = {}
-    passages = [(doc, at, tuple([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")])) for doc, at, text in rows]
-    seen: dict[tuple[int, ...], tuple[int, int]] = {}
-    again: set[tuple[int, ...]] = set()
-    for doc, at, ids in passages:
-        for i in range(len(ids) - n + 1):
-            window = ids[i : i + n]
-            if (first := seen.setdefault(window, (doc, at + i))) != (doc, at + i):
-                again.add(window)
-                seen[window] = min(first, (doc, at + i))
-    if not again:
-        return [[] for _ in rows]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window in again:
-        automaton.add_word(window, seen[window])
-    automaton.make_automaton()
-    return [[at + end - n + 1 for end, first in automaton.iter(ids) if first < (doc, at + end - n + 1)] for doc, at, ids in passages]
-
-
-def report(docs: DataFrame, n: int = 20, k: int = 8, hot: int = 5000, limit: int = 1 << 20, texts: bool = False) -> DataFrame:
+class Automaton:
+    """The windows of some passages, each with its first place, over the numbers of their words."""
+
+    def __init__(self, passages: list[tuple[Place, bytes]], n: int) -> None:
+        self.n, self.numbers = n, {}
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for (doc, at), text in passages:
+            ids = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split(b" ")])
+            for i in range(len(ids) - n + 1):
+                self.found.add_word(ids[i : i + n], (doc, at + i))
+        self.found.make_automaton()
+
+    def repeats(self, doc: int, at: int, text: bytes) -> list[tuple[int, int]]:
+        """The stretches of words, in the document's order, that windows of an earlier place cover."""
+        if not len(self.found):
+            return []
+        get, n = self.numbers.get, self.n
+        out: list[tuple[int, int]] = []
+        for end, first in self.found.iter(tuple([get(w, 0) for w in text.split(b" ")])):
+            start = at + end - n + 1
+            if first < (doc, start):
+                if out and start <= out[-1][1]:
+                    out[-1] = out[-1][0], start + n
+                else:
+                    out.append((start, start + n))
+        return out
+
+
+def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
+    """0, 1, ... for each of the sizes in turn."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
+    """``anchor, window, doc_id, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors.select("anchor")))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, limit=PIECE):
+            _, h, sizes, text, at, size, anchor, _ = unit.runs(as_bytes(piece.column("text")))
+            keep = holds(bits.value, anchor)
+            text, at, size, anchor = text[keep], at[keep], size[keep], anchor[keep]
+            if not len(size):
+                continue
+            at, text, anchor = np.repeat(at, size) + _spread(size), np.repeat(text, size), np.repeat(anchor, size)
+            window = mixed(grams(h, unit.n))[(np.cumsum(sizes) - sizes)[text] + at]
+            order = np.lexsort((at, window, text))
+            at, text, anchor, window = at[order], text[order], anchor[order], window[order]
+            first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1])))
+            cols = [anchor[first].view(np.int64), window[first].view(np.int64), piece.column("doc_id").to_numpy()[text[first]], at[first].astype(np.int32), np.diff(np.append(first, len(at)))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["anchor", "window", "doc_id", "at", "times"])
+
+    return docs.mapInArrow(find, "anchor long, window long, doc_id long, at int, times long")
+
+
+@dataclass(frozen=True)
+class Shards:
+    """The shards of each bucket of anchors: in how many parts its phrases come, and how many copies of these there are."""
+
+    parts: NDArray[np.int64]
+    copies: NDArray[np.int64]
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "base", np.cumsum(self.parts * self.copies) - self.parts * self.copies)
+
+    def of_passage(self, bucket: int, salt: int) -> range:
+        """All copies of one part."""
+        first = int(self.base[bucket] + salt % self.parts[bucket] * self.copies[bucket])
+        return range(first, first + int(self.copies[bucket]))
+
+    def of_run(self, bucket: int, salt: int) -> range:
+        """One copy of all parts."""
+        first, step, n = int(self.base[bucket] + salt % self.copies[bucket]), int(self.copies[bucket]), int(self.parts[bucket])
+        return range(first, first + step * n, step)
+
+
+def _passages(firsts: list[dict]) -> Iterator[tuple[int, int, int]]:
+    """Bucket, start and last window of the passages that a document's first places make: neighbours with one anchor."""
+    last: tuple[int, int, int, int] | None = None
+    for anchor, at, bucket in sorted((f["anchor"], f["at"], f["bucket"]) for f in firsts):
+        if last and (anchor, at) == (last[0], last[3] + 1):
+            last = (*last[:3], at)
+        else:
+            if last:
+                yield last[1:]
+            last = (anchor, bucket, at, at)
+    if last:
+        yield last[1:]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Takes shards one after the other, their passages first: compiles these, then streams the runs through."""
+    shard, automaton = None, None
+    passages: list[tuple[Place, bytes]] = []
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for own, run, doc, at, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "run", "doc_id", "at", "text")), strict=True):
+            if own != shard:
+                shard, automaton, passages = own, None, []
+            if not run:
+                passages.append(((doc, at), text))
+                continue
+            if automaton is None:
+                automaton, passages = Automaton(passages, n), []
+            out += [(doc, a, b) for a, b in automaton.repeats(doc, at, text)]
+        cols = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "end"])
+
+
+def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataFrame:
+    """``doc_id, start, end``: stretches of words that are repeats. ``docs`` has ids and texts."""
+    unit = Unit(n, k, _words, _hashes, within=True)
+    found = _windows(docs, recurring(docs, unit), unit).groupBy("anchor", "window")
+    recur = cut(found.agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"), F.sum("times").alias("times")).where("times > 1"))
+    count = max(1, -(-recur.count() // phrases))
+    bucket = F.pmod("anchor", F.lit(count)).cast("int").alias("bucket")
+    parts, copies = np.ones(count, np.int64), np.ones(count, np.int64)
+    for row in recur.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect():  # a row for each ``phrases`` of them
+        parts[row.bucket], copies[row.bucket] = -(-row.n // (2 * phrases)), -(-row.times // stream)
+    shared = docs.sparkSession.sparkContext.broadcast((bit_set(recur.select("window")), Shards(parts, copies)))
+    wanted = recur.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", bucket)).alias("firsts"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``shard, run, doc_id, at, text``: passages of the document's first places, and its runs of possible phrases."""
+        bits, shards = shared.value
+        for piece in pieces(batches, limit=PIECE):
+            symbols, h, sizes, text, at, size, anchor, _ = unit.runs(as_bytes(piece.column("text")))
+            ids = piece.column("doc_id").to_pylist()
+            out: list[tuple[int, bool, int, int, bytes]] = []
+            for words, doc, firsts in zip(symbols, ids, piece.column("firsts").to_pylist(), strict=True):
+                for b, i, j in _passages(firsts or []):
+                    passage = b" ".join(words[i : j + n])
+                    out += [(shard, False, doc, i, passage) for shard in shards.of_passage(b, doc + i)]
+            if len(size):
+                place, run = np.repeat(at, size) + _spread(size), np.repeat(np.arange(len(size)), size)
+                held = np.flatnonzero(holds(bits, mixed(grams(h, n))[(np.cumsum(sizes) - sizes)[text[run]] + place]))
+                new = np.append(True, (run[held][1:] != run[held][:-1]) | (np.diff(held) > 1))[: len(held)]
+                begin, end = held[new], held[np.append(new[1:], True)[: len(held)]]
+                buckets = anchor[run[begin]].view(np.int64) % count
+                for b, t, i, j in zip(buckets.tolist(), text[run[begin]].tolist(), place[begin].tolist(), place[end].tolist(), strict=True):
+                    words = b" ".join(symbols[t][i : j + n])
+                    out += [(shard, True, ids[t], i, words) for shard in shards.of_run(b, ids[t] + i)]
+            cols = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "run", "doc_id", "at", "text"])
+
+    rows = docs.join(wanted, "doc_id", "left").mapInArrow(deal, "shard long, run boolean, doc_id long, at int, text binary")
+    return rows.repartition("shard").sortWithinPartitions("shard", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, start int, end int")
+
+
+def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stream: int = 400_000, texts: bool = False) -> DataFrame:
     """Words, repeats removed and the digest of what is kept for each document (with ``texts``, the kept words too).
 
-    k: words of an anchor; hot, limit: distinct passages of an anchor and bytes that a shard takes at a time.
+    k: words of an anchor; phrases: windows that an automaton holds, about; stream: windows that pass one automaton, about.
     """
     docs = ids_and_texts(docs)
-    unit = Unit(n, k, _words, _hashes, b" ".join, within=True)
-    stretches = removed(docs.where("doc_id IS NOT NULL"), unit, lambda rows: locate(rows, n), hot, limit)
+    stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, phrases, stream)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):

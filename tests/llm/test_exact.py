@@ -46,7 +46,9 @@ CASES = {
     "decontamination": (lambda d: decontamination.report(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string")), lambda d: plain.contamination(d, ITEMS), 6),
     "decontamination by join": (lambda d: decontamination.report(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string"), max_bytes=0), lambda d: plain.contamination(d, ITEMS), 6),
     "suffix_dedup, hot anchors": (lambda d: suffix_dedup.report(d, hot=1), plain.byte_repeats, 5),
-    "phrase_automata, hot anchors": (lambda d: phrase_automata.report(d, hot=1), plain.word_repeats, 4),
+    "suffix_dedup, heavy anchors": (lambda d: suffix_dedup.report(d, heavy=1), plain.byte_repeats, 5),
+    "phrase_automata, parted shards": (lambda d: phrase_automata.report(d, phrases=3), plain.word_repeats, 4),
+    "phrase_automata, copied shards": (lambda d: phrase_automata.report(d, phrases=40, stream=10), plain.word_repeats, 4),
     "suffix_dedup, small shards": (lambda d: suffix_dedup.report(d, limit=100), plain.byte_repeats, 5),
     "jaccard_groups, small groups": (lambda d: jaccard_groups.report(d, group=2, rounds=1), plain.jaccard, 3),
 }
