@@ -3,7 +3,8 @@
 1. Windows of ``n`` words are named by anchors, and those whose anchor recurs are hashed (see ``_repeats``). Windows are
    grouped by anchor and hash: those in more than one place are the recurring phrases, each with its first place.
 2. Phrases are dealt to shards by anchor, about ``phrases`` of them in each; the words come from the first place's
-   document. A shard numbers its words and compiles its phrases into one automaton over word numbers.
+   document. A shard takes its anchors in groups, numbers a group's words and compiles its phrases into one automaton
+   over word numbers.
 3. All documents stream through: each run of windows that may be phrases goes to the shard of its anchor, first places
    and copies alike, and the automaton locates every occurrence, word for word. Occurrences after the first are repeats.
 
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.typing import NDArray
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,10 @@ from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
 from quern.llm._repeats import PIECE, Unit, kept, recurring, with_spans
 
-Place = tuple[int, int]
+#: The letter of what is no word of an automaton, and the first number whose letter would be half a pair.
+NO_WORD, SURROGATES = "\0", 0xD7FF
+#: A shard's anchors in groups, an automaton for each, so that its nodes stay in a processor's cache.
+GROUPS = 20
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -48,31 +53,45 @@ def _hashes(words: list[bytes]) -> U64:
 
 
 class Automaton:
-    """The windows of some passages, each with its first place, over the numbers of their words."""
-
-    def __init__(self, passages: list[tuple[Place, bytes]], n: int) -> None:
-        self.n, self.numbers = n, {}
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for (doc, at), text in passages:
-            ids = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split(b" ")])
-            for i in range(len(ids) - n + 1):
-                self.found.add_word(ids[i : i + n], (doc, at + i))
+    """The windows of some passages, each with its first place, over the numbers of their words.
+
+    A word's number is written as a letter, so that texts are strings to the automaton; what stands for no word of the
+    passages, and between texts, is in no window.
+    """
+
+    def __init__(self, passages: list[tuple[int, int, bytes]], n: int) -> None:
+        self.n, self.letters = n, {}
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        docs, places = [], []
+        for doc, at, text in passages:
+            letters = self._written(text)
+            for i in range(len(letters) - n + 1):
+                self.found.add_word(letters[i : i + n], len(docs))
+                docs.append(doc)
+                places.append(at + i)
+        self.docs, self.places = np.array(docs, np.int64), np.array(places, np.int64)
         self.found.make_automaton()
 
-    def repeats(self, doc: int, at: int, text: bytes) -> list[tuple[int, int]]:
-        """The stretches of words, in the document's order, that windows of an earlier place cover."""
+    def _written(self, text: bytes) -> str:
+        letters = self.letters
+        return "".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (1 if len(letters) < SURROGATES else 2049))) for w in text.split(b" ")])
+
+    def repeats(self, docs: list[int], places: list[int], texts: list[bytes]) -> tuple[NDArray, NDArray, NDArray]:
+        """The document, start and end of stretches of words that windows of an earlier place cover, for runs by document and place."""
         if not len(self.found):
-            return []
-        get, n = self.numbers.get, self.n
-        out: list[tuple[int, int]] = []
-        for end, first in self.found.iter(tuple([get(w, 0) for w in text.split(b" ")])):
-            start = at + end - n + 1
-            if first < (doc, start):
-                if out and start <= out[-1][1]:
-                    out[-1] = out[-1][0], start + n
-                else:
-                    out.append((start, start + n))
-        return out
+            return (np.zeros(0, np.int64),) * 3
+        get, n = self.letters.get, self.n
+        written = ["".join([get(w, NO_WORD) for w in t.split(b" ")]) for t in texts]
+        begins = np.cumsum([0, *(len(w) + 1 for w in written[:-1])])
+        hits = np.array([*self.found.iter(NO_WORD.join(written))], np.int64).reshape(-1, 2)
+        run = np.searchsorted(begins, hits[:, 0], "right") - 1
+        doc, start = np.array(docs, np.int64)[run], np.array(places, np.int64)[run] + hits[:, 0] - begins[run] - n + 1
+        first_doc, first_at = self.docs[hits[:, 1]], self.places[hits[:, 1]]
+        later = (first_doc < doc) | (first_doc == doc) & (first_at < start)
+        doc, start, run = doc[later], start[later], run[later]
+        new = np.append(True, (run[1:] != run[:-1]) | (start[1:] > start[:-1] + n))[: len(run)]
+        last = np.append(new[1:], True)[: len(run)]
+        return doc[new], start[new], start[last] + n
 
 
 def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
@@ -81,7 +100,10 @@ def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
 
 
 def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, window, doc_id, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it."""
+    """``anchor, window, doc_id, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it.
+
+    31 bits of the anchor are enough to deal them out.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors.select("anchor")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +118,10 @@ def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             order = np.lexsort((at, window, text))
             at, text, anchor, window = at[order], text[order], anchor[order], window[order]
             first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1])))
-            cols = [anchor[first].view(np.int64), window[first].view(np.int64), piece.column("doc_id").to_numpy()[text[first]], at[first].astype(np.int32), np.diff(np.append(first, len(at)))]
+            cols = [(anchor[first] >> np.uint64(33)).astype(np.int32), window[first].view(np.int64), piece.column("doc_id").to_numpy()[text[first]], at[first].astype(np.int32), np.diff(np.append(first, len(at)))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["anchor", "window", "doc_id", "at", "times"])
 
-    return docs.mapInArrow(find, "anchor long, window long, doc_id long, at int, times long")
+    return docs.mapInArrow(find, "anchor int, window long, doc_id long, at int, times long")
 
 
 @dataclass(frozen=True)
@@ -123,37 +145,37 @@ class Shards:
         return range(first, first + step * n, step)
 
 
-def _passages(firsts: list[dict]) -> Iterator[tuple[int, int, int]]:
-    """Bucket, start and last window of the passages that a document's first places make: neighbours with one anchor."""
-    last: tuple[int, int, int, int] | None = None
-    for anchor, at, bucket in sorted((f["anchor"], f["at"], f["bucket"]) for f in firsts):
-        if last and (anchor, at) == (last[0], last[3] + 1):
-            last = (*last[:3], at)
-        else:
-            if last:
-                yield last[1:]
-            last = (anchor, bucket, at, at)
-    if last:
-        yield last[1:]
+def _passages(firsts: pa.ListArray, n: int) -> tuple[NDArray, NDArray, NDArray, NDArray, NDArray]:
+    """Document, bucket, anchor, start and end of the passages that documents' first places make: neighbours with one anchor."""
+    rows = firsts.flatten()
+    doc = np.repeat(np.arange(len(firsts)), pc.fill_null(pc.list_value_length(firsts), 0).to_numpy(zero_copy_only=False))
+    anchor, at, bucket = (rows.field(c).to_numpy() for c in ("anchor", "at", "bucket"))
+    order = np.lexsort((at, anchor, doc))
+    doc, anchor, at, bucket = doc[order], anchor[order], at[order], bucket[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))[: len(at)]
+    last = np.append(new[1:], True)[: len(at)]
+    return doc[new], bucket[new], anchor[new], at[new], at[last] + n
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Takes shards one after the other, their passages first: compiles these, then streams the runs through."""
-    shard, automaton = None, None
-    passages: list[tuple[Place, bytes]] = []
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for own, run, doc, at, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "run", "doc_id", "at", "text")), strict=True):
-            if own != shard:
-                shard, automaton, passages = own, None, []
-            if not run:
-                passages.append(((doc, at), text))
+    """Takes a shard's groups of anchors one after the other, their passages first: compiles these, then streams the runs through."""
+    at, automaton = None, None
+    passages: list[tuple[int, int, bytes]] = []
+    for batch in (b for b in batches if b.num_rows):
+        shard, group, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "group", "run"))
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (group[1:] != group[:-1]) | (run[1:] != run[:-1])) + 1
+        cols = [batch.column(c).to_pylist() for c in ("doc_id", "at", "text")]
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+            rows = [c[lo:hi] for c in cols]
+            if (shard[lo], group[lo]) != at:
+                at, automaton, passages = (shard[lo], group[lo]), None, []
+            if not run[lo]:
+                passages += zip(*rows, strict=True)
                 continue
             if automaton is None:
                 automaton, passages = Automaton(passages, n), []
-            out += [(doc, a, b) for a, b in automaton.repeats(doc, at, text)]
-        cols = zip(*out, strict=True) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "end"])
+            doc, start, end = automaton.repeats(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start", "end"])
 
 
 def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataFrame:
@@ -170,30 +192,29 @@ def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataF
     wanted = recur.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", bucket)).alias("firsts"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``shard, run, doc_id, at, text``: passages of the document's first places, and its runs of possible phrases."""
+        """``shard, group, run, doc_id, at, text``: passages of the document's first places, and its runs of possible phrases."""
         bits, shards = shared.value
         for piece in pieces(batches, limit=PIECE):
             symbols, h, sizes, text, at, size, anchor, _ = unit.runs(as_bytes(piece.column("text")))
             ids = piece.column("doc_id").to_pylist()
-            out: list[tuple[int, bool, int, int, bytes]] = []
-            for words, doc, firsts in zip(symbols, ids, piece.column("firsts").to_pylist(), strict=True):
-                for b, i, j in _passages(firsts or []):
-                    passage = b" ".join(words[i : j + n])
-                    out += [(shard, False, doc, i, passage) for shard in shards.of_passage(b, doc + i)]
+            out: list[tuple[int, int, bool, int, int, bytes]] = []
+            for d, b, a, i, j in zip(*(x.tolist() for x in _passages(piece.column("firsts"), n)), strict=True):
+                words = b" ".join(symbols[d][i:j])
+                out += [(shard, a // count % GROUPS, False, ids[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
             if len(size):
                 place, run = np.repeat(at, size) + _spread(size), np.repeat(np.arange(len(size)), size)
                 held = np.flatnonzero(holds(bits, mixed(grams(h, n))[(np.cumsum(sizes) - sizes)[text[run]] + place]))
                 new = np.append(True, (run[held][1:] != run[held][:-1]) | (np.diff(held) > 1))[: len(held)]
                 begin, end = held[new], held[np.append(new[1:], True)[: len(held)]]
-                buckets = anchor[run[begin]].view(np.int64) % count
-                for b, t, i, j in zip(buckets.tolist(), text[run[begin]].tolist(), place[begin].tolist(), place[end].tolist(), strict=True):
-                    words = b" ".join(symbols[t][i : j + n])
-                    out += [(shard, True, ids[t], i, words) for shard in shards.of_run(b, ids[t] + i)]
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "run", "doc_id", "at", "text"])
-
-    rows = docs.join(wanted, "doc_id", "left").mapInArrow(deal, "shard long, run boolean, doc_id long, at int, text binary")
-    return rows.repartition("shard").sortWithinPartitions("shard", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, start int, end int")
+                short = (anchor[run[begin]] >> np.uint64(33)).astype(np.int64)
+                for a, d, i, j in zip(short.tolist(), text[run[begin]].tolist(), place[begin].tolist(), (place[end] + n).tolist(), strict=True):
+                    words = b" ".join(symbols[d][i:j])
+                    out += [(shard, a // count % GROUPS, True, ids[d], i, words) for shard in shards.of_run(a % count, ids[d] + i)]
+            cols = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "group", "run", "doc_id", "at", "text"])
+
+    rows = docs.join(wanted, "doc_id", "left").mapInArrow(deal, "shard long, group int, run boolean, doc_id long, at int, text binary")
+    return rows.repartition("shard").sortWithinPartitions("shard", "group", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, start int, end int")
 
 
 def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stream: int = 400_000, texts: bool = False) -> DataFrame:
