@@ -1,26 +1,49 @@
 """Running sums over an order of any length.
 
-A window without a partition key would bring all rows to one task. Here rows are dealt by ranges of the key (rows with
-equal keys stay together), each range sums its own rows, the few range totals are summed among themselves, and each row
-adds the total of the ranges before its own.
+A window without a partition key would bring all rows to one task. Here rows are dealt by ranges of the key, each range
+sums its own rows, the few range totals are summed among themselves, and each row adds the total of the ranges before its
+own. A row's range follows from its key and a list of bounds alone: the bounds are every so-manieth of the keys with the
+least hashes, so that all branches of a plan, and all attempts of a task, put a row into the same range.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Keys looked at for each range.
+PER_RANGE = 20
+
+
+def _bounds(keys: DataFrame, ranges: int, step: int) -> DataFrame:
+    """One row: ``_fine``, the sorted bounds in lists of ``step``, and ``_coarse``, the first of each list but the first."""
+    some = keys.orderBy(F.xxhash64("_key"), "_key").limit(PER_RANGE * ranges)  # the tasks' own least go to the driver, no more
+    found = some.agg(F.sort_array(F.collect_list("_key")).alias("all")).select(F.filter("all", lambda x, i: (i + 1) % PER_RANGE == 0).alias("b"))
+    lists = F.greatest(F.ceil(F.size("b") / step), F.lit(1)).cast("int")
+    found = found.select(F.transform(F.sequence(F.lit(0), lists - 1), lambda i: F.slice("b", i * step + 1, F.lit(step))).alias("_fine"))
+    return found.select("_fine", F.transform(F.slice("_fine", F.lit(2), F.size("_fine")), lambda x: x[0]).alias("_coarse"))
+
+
+def _range(step: int) -> Column:
+    """How many bounds are at most the row's key: first among the lists, then in one of them."""
+    upto = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col("_key")))
+    at = upto(F.col("_coarse"))
+    return at * step + upto(F.element_at("_fine", at + 1))
+
 
 def running(df: DataFrame, key: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """``df`` (one row for each ``key`` within ``by``) with ``sums``: the total of a column over keys less than the row's.
 
-    The ranges are Spark's own range partitions; their number follows ``spark.sql.shuffle.partitions``.
+    The number of ranges is that of ``spark.sql.shuffle.partitions``.
     """
     by = by or []
-    dealt = df.repartitionByRange(*by, key).withColumn("_range", F.spark_partition_id())
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, isqrt(ranges))
+    keyed = df.withColumn("_key", F.struct(*by, key) if by else F.col(key))
+    dealt = keyed.join(F.broadcast(_bounds(keyed.select("_key"), ranges, step))).withColumn("_range", _range(step)).drop("_key", "_fine", "_coarse")
     inside = W.partitionBy(*by, "_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     own = dealt.select("*", *[zero(F.sum(c).over(inside)).alias(f"_own_{name}") for name, c in sums.items()])
@@ -31,14 +54,7 @@ def running(df: DataFrame, key: str, sums: dict[str, str], by: list[str] | None
     return out.select(*df.columns, *[(F.col(f"_own_{name}") + F.col(f"_before_{name}")).alias(name) for name in sums])
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key in the order, by a map-side aggregate."""
-    rest = [c for c in df.columns if c not in keys]
-    by = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_first"))
-    return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    """Rows of all frames, columns by name, those that a frame lacks null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in an order that no two rows share."""
+    rows = df.select(F.struct(*order).alias("_order"), F.struct(*df.columns).alias("_row"), F.lit(1).cast("long").alias("_one"))
+    return running(rows, "_order", {name: "_one"}).select("_row.*", name)

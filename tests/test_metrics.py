@@ -124,3 +124,35 @@ def test_auroc_against_all_pairs(spark: SparkSession) -> None:
     pos, neg = [(i * 7 % 13) / 10 for i in range(60)], [(i * 5 % 11) / 10 for i in range(80)]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert math.isclose(one(verification.auroc(pairs(spark, pos, neg)))[0], want, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("parts", [8, 200])
+def test_order_of_a_million_scores(spark: SparkSession, parts: int) -> None:
+    """Running sums agree with numpy whatever the number of ranges, and from run to run."""
+    import numpy as np
+
+    n = 1_000_000
+    s = spark.range(n, numPartitions=8).select((F.xxhash64("id") % 3 == 0).alias("is_pos"), (F.xxhash64("id", F.lit(1)) / 2.0**63).alias("score"))
+    rows = s.toPandas()
+    score, pos = rows.score.to_numpy(), rows.is_pos.to_numpy()
+    below = np.argsort(np.argsort(score))
+    p, m = int(pos.sum()), int((~pos).sum())
+    want = ((below[pos] + 1).sum() - p * (p + 1) / 2) / (p * m)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {one(verification.auroc(s)) for _ in range(2 if parts == 8 else 1)}
+        if parts > 8:
+            assert got == {(round(want, 6),)}
+            return
+        (point,) = [tuple(r) for r in verification.det_points(s).where("point = 20").collect()]
+        rate = one(verification.eer(s))
+        shares = {r.share: r.value for r in signals.lower_quantiles(s, "score").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {(round(want, 6),)}
+    t = np.quantile(score, 0.001 + 19 * 0.998 / 39)
+    assert point[1:] == (round(float((score[~pos] >= t).mean()), 6), round(float((score[pos] < t).mean()), 6))
+    ordered = np.sort(score)
+    assert shares == {q: ordered[min(int(n * q), n - 1)] for q in (0.0, 0.25, 0.5, 0.75, 1.0)}
+    assert math.isclose(rate[0], (float((score[~pos] >= rate[1]).mean()) + float((score[pos] < rate[1]).mean())) / 2, abs_tol=3e-6)
