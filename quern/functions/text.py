@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ PLAIN_WORDS = (
     "etc", "vs", "web", "os", "linux", "python", "r", "who", "faq", "cc",
     "by", "nc", "nd", "gps", "the", "and", "for", "a",
 )
+#: Fixed patterns: what Markdown's prose is freed from, and its words.
+NOISE = (r"https?://\S+", r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)", r"`[^`]*`")
+LATIN_WORD = r"([A-Za-z][A-Za-z0-9\-']{2,})"
+#: Fixed patterns: what may stand before a DOI, and a DOI.
+DOI_URL, DOI_MARK, DOI = r"(?i)^(https?://)?(dx\.)?doi\.org/", r"(?i)^\s*doi\s*:\s*", r"^10\.\d{4,9}/\S+$"
 #: Fixed patterns of captions.
 TABLE_CAPTION = r"(?i)^\s*Table\s*\.?\s*(\d+)"
-PREFIXED_CAPTION = r"(?i)^\s*(?:\d{1,3}\s+)?(Extended\s+Data|Supplementary|Supp\.?|SI)\s*\.?\s*(Figure|Fig\.?|Scheme|Chart|Plate|Graph)\s*\.?\s*([A-Za-z]?\d+)"
-FIGURE_CAPTION = r"(?i)^\s*(?:\d{1,3}\s+)?(Figure|Fig\.?|Scheme|Chart|Plate|Graph)\s*\.?\s*(\d+)"
+FIGURE_CAPTION = r"(?i)^\s*(?:\d{1,3}\s+)?(?:(Extended\s+Data|Supplementary|Supp\.?|SI)\s*\.?\s*(Figure|Fig\.?|Scheme|Chart|Plate|Graph)\s*\.?\s*([A-Za-z]?\d+)|(Figure|Fig\.?|Scheme|Chart|Plate|Graph)\s*\.?\s*(\d+))"
 
 
 def blank_trimmed(x: Column | str) -> Column:
@@ -41,8 +47,8 @@ def without_tags(x: Column | str) -> Column:
 
 def normal_doi(x: Column | str) -> Column:
     """The bare DOI; null if it isn't one."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(col(x)), r"(?i)^(https?://)?(dx\.)?doi\.org/", ""), r"(?i)^\s*doi\s*:\s*", ""))
-    return F.when(bare.rlike(r"^10\.\d{4,9}/\S+$"), bare)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(col(x)), DOI_URL, ""), DOI_MARK, ""))
+    return F.when(bare.rlike(DOI), bare)
 
 
 def strict_doi(x: Column | str) -> Column:
@@ -60,28 +66,37 @@ def url_forms(x: Column | str) -> Column:
     return F.array_compact(F.array(url, F.when(hal & ~bare.endswith("/document"), F.concat(bare, F.lit("/document"))), F.when(pmc & ~bare.endswith("/pdf"), F.concat(bare, F.lit("/pdf/")))))
 
 
+#: Fixed forms: the prefixes of a DOI (lower-cased) and the address of its PDF; ``{doi}``, ``{suffix}`` (after the first slash).
+PUBLISHERS = (
+    (r"^10\.(1007|1186|3758|10696|10083)/", "https://link.springer.com/content/pdf/{doi}.pdf"),
+    (r"^10\.1038/", "https://www.nature.com/articles/{suffix}.pdf"),
+    (r"^10\.1073/", "https://www.pnas.org/doi/pdf/{doi}"),
+    (r"^10\.1002/", "https://onlinelibrary.wiley.com/doi/pdfdirect/{doi}?download=true"),
+    (r"^10\.1145/", "https://dl.acm.org/doi/pdf/{doi}"),
+)
+#: Fixed forms: a family of journals by name and number, and addresses made of a fitting alternative id.
+PEERJ, PEERJ_URL = r"^10\.7717/(peerj(?:-[a-z]+)?)[.\-](\d+)$", "https://peerj.com/articles/{slug}.pdf"
+BY_ID = (
+    (r"^10\.1016/", r"^(?!10\.)\S{10,}$", "https://www.sciencedirect.com/science/article/pii/{id}/pdfft?isDTMRedir=true&download=true"),
+    (r"^10\.1109/", r"^\d+$", "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber={id}"),
+)
+
+
 def publisher_urls(doi: Column | str, alternatives: Column | str | None = None) -> Column:
     """Where publishers keep a DOI's PDF, by the DOI's prefix; two of them by the first fitting alternative id."""
     d = F.lower(F.trim(col(doi)))
-    alts = F.coalesce(col(alternatives), F.array().cast("array<string>")) if alternatives is not None else F.array().cast("array<string>")
-    first = lambda test: F.try_element_at(F.filter(alts, test), F.lit(1))
-    made = lambda when, *parts: F.when(when, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
-    family, number = (F.regexp_extract(d, r"^10\.7717/(peerj(?:-[a-z]+)?)[.\-](\d+)$", i) for i in (1, 2))
+    none = F.array().cast("array<string>")
+    alts = F.coalesce(col(alternatives), none) if alternatives is not None else none
+    filled = lambda form, **parts: F.concat(*[parts.get(x, F.lit(x)) for x in re.split(r"[{}]", form) if x])
+    urls = [F.when(d.rlike(prefix), filled(form, doi=d, suffix=F.regexp_replace(d, "^[^/]*/", ""))) for prefix, form in PUBLISHERS]
+    family, number = (F.regexp_extract(d, PEERJ, i) for i in (1, 2))
     slug = F.when(family == "peerj", number).otherwise(F.concat(F.substring(family, 7, 100), F.lit("-"), number))
-    return F.array_distinct(
-        F.array_compact(
-            F.array(
-                made(d.rlike(r"^10\.(1007|1186|3758|10696|10083)/"), "https://link.springer.com/content/pdf/", d, ".pdf"),
-                made(d.startswith("10.1038/"), "https://www.nature.com/articles/", F.regexp_replace(d, "^[^/]*/", ""), ".pdf"),
-                made(d.startswith("10.1073/"), "https://www.pnas.org/doi/pdf/", d),
-                made(d.startswith("10.1002/"), "https://onlinelibrary.wiley.com/doi/pdfdirect/", d, "?download=true"),
-                made(d.startswith("10.1145/"), "https://dl.acm.org/doi/pdf/", d),
-                made(family != "", "https://peerj.com/articles/", slug, ".pdf"),
-                made(d.startswith("10.1016/"), "https://www.sciencedirect.com/science/article/pii/", first(lambda v: v.rlike(r"^\S{10,}$") & ~v.startswith("10.")), "/pdfft?isDTMRedir=true&download=true"),
-                made(d.startswith("10.1109/"), "https://ieeexplore.ieee.org/stamp/stamp.jsp?tp=&arnumber=", first(lambda v: v.rlike(r"^\d+$"))),
-            )
-        )
-    )
+    urls.append(F.when(family != "", filled(PEERJ_URL, slug=slug)))
+    first = lambda fits: F.try_element_at(F.filter(alts, lambda v: v.rlike(fits)), F.lit(1))
+    for prefix, fits, form in BY_ID:
+        one = first(fits)
+        urls.append(F.when(d.rlike(prefix) & one.isNotNull(), filled(form, id=one)))
+    return F.array_distinct(F.array_compact(F.array(*urls)))
 
 
 def arxiv_url(doi: Column | str) -> Column:
@@ -118,25 +133,26 @@ def shown_number(x: Column | str) -> Column:
 def without_noise(x: Column | str) -> Column:
     """Markdown without addresses, images, links and inline code."""
     out = col(x)
-    for pattern in (r"https?://\S+", r"!\[[^\]]*\]\([^)]*\)", r"\[[^\]]*\]\([^)]*\)", r"`[^`]*`"):
+    for pattern in NOISE:
         out = F.regexp_replace(out, pattern, " ")
     return out
 
 
 def latin_words(x: Column | str) -> Column:
     """Words of three letters and more that start with a Latin letter, lower-cased, in order."""
-    return F.transform(F.regexp_extract_all(col(x), F.lit(r"([A-Za-z][A-Za-z0-9\-']{2,})"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(col(x), F.lit(LATIN_WORD), F.lit(1)), F.lower)
 
 
 def caption_label(x: Column | str) -> Column:
     """The label of a table or figure caption (``Table 1``, ``Fig 2``, ``Extended Data Fig 3``); null for other text."""
     text = col(x)
-    part = lambda p, i: F.regexp_extract(text, p, i)
+    group = lambda i: F.regexp_extract(text, FIGURE_CAPTION, i)
     dotless = lambda c: F.rtrim(c, F.lit("."))
-    prefixed = F.concat_ws(" ", F.regexp_replace(dotless(part(PREFIXED_CAPTION, 1)), r"\s+", " "), dotless(part(PREFIXED_CAPTION, 2)), part(PREFIXED_CAPTION, 3))
-    kind = dotless(part(FIGURE_CAPTION, 1))
-    plain = F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 20)), F.lit(" "), part(FIGURE_CAPTION, 2))
-    return F.when(text.rlike(TABLE_CAPTION), F.concat(F.lit("Table "), part(TABLE_CAPTION, 1))).when(text.rlike(PREFIXED_CAPTION), prefixed).when(text.rlike(FIGURE_CAPTION), plain)
+    prefixed = F.concat_ws(" ", F.regexp_replace(dotless(group(1)), r"\s+", " "), dotless(group(2)), group(3))
+    kind = dotless(group(4))
+    plain = F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 20)), F.lit(" "), group(5))
+    table = F.concat(F.lit("Table "), F.regexp_extract(text, TABLE_CAPTION, 1))
+    return F.when(text.rlike(TABLE_CAPTION), table).when(text.rlike(FIGURE_CAPTION), F.when(group(1) != "", prefixed).otherwise(plain))
 
 
 def article_text(xml: Column | str) -> Column:
@@ -160,10 +176,15 @@ def figure_links(xml: Column | str) -> Column:
     return F.filter(F.transform(figures, lambda f: F.regexp_extract(f, 'xlink:href="([^"]+)"', 1)), lambda h: h != "")
 
 
+#: Fixed patterns: IPv4 and IPv6 hosts that are private, local, reserved or mapped to such.
+LOCAL_V4 = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\."
+PUBLIC_V6, LOCAL_V6 = r"(?i)^\[?[23][0-9a-f]{3}:", r"(?i)^\[?(2001:(0{0,4}|0{0,2}1[0-9a-f]|0{0,2}2[0-9a-f]|0?db8):|2002:|3fff:)"
+
+
 def local_address(host: Column | str) -> Column:
-    """Whether a literal IPv4 host is private, local or reserved, and so no public source."""
+    """Whether a literal host is private, local or reserved, and so no public source."""
     h = col(host)
-    return h.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^(22[4-9]|2[3-5]\d)\.|^localhost$|^\[?::1\]?$")
+    return h.rlike(LOCAL_V4) | (h == "localhost") | (h.contains(":") & (~h.rlike(PUBLIC_V6) | h.rlike(LOCAL_V6)))
 
 
 def fetchable(url: Column | str) -> Column:

@@ -1,16 +1,20 @@
 """Figures and outlines of laid-out pages, from tables of boxes.
 
 Boxes are columns ``x0, y0, x1, y1`` in points, with ``doc_id, page``. Two steps depend on the order of boxes, gathering
-drawings and dropping nested regions; they run by page, whose boxes are few. The rest are joins by page.
+drawings and dropping nested regions; they run by page, whose boxes are few, on rows dealt and sorted by page. Boxes that
+tie in the order are told apart by all their coordinates. The rest are joins by page.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.functions.text import FIGURE_CAPTION, PREFIXED_CAPTION, TABLE_CAPTION, caption_label
+from quern.functions.text import FIGURE_CAPTION, TABLE_CAPTION, caption_label
 
 #: Fixed limits in points.
 MIN_SIDE, MIN_AREA, MAX_ASPECT, GAP, BELOW, ABOVE = 40, 3000, 15, 30, 260, 130
@@ -50,7 +54,7 @@ def parts_two(t: Box, a: Box, b: Box) -> bool:
 def gathered(boxes: list[Box], texts: list[Box], gap: float = GAP) -> list[Box]:
     """Boxes from top to bottom, each joined to the first cluster within ``gap`` that no text parts from it."""
     clusters: list[Box] = []
-    for b in sorted(boxes, key=lambda b: (b[1], b[0])):
+    for b in sorted(boxes, key=lambda b: (b[1], b[0], b[3], b[2])):
         for i, c in enumerate(clusters):
             near = max(c[0], b[0] - gap) < min(c[2], b[2] + gap) and max(c[1], b[1] - gap) < min(c[3], b[3] + gap)
             if near and not any(parts_two(t, c, b) for t in texts):
@@ -65,36 +69,63 @@ def not_nested(boxes: list[Box], share: float = 0.85) -> list[Box]:
     """Boxes by descending area without those that lie in a kept one for ``share`` of their area."""
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
     kept: list[Box] = []
-    for b in sorted(boxes, key=lambda b: -area(b)):
+    for b in sorted(boxes, key=lambda b: (-area(b), b)):
         inside = (max(0, min(b[2], k[2]) - max(b[0], k[0])) * max(0, min(b[3], k[3]) - max(b[1], k[1])) for k in kept)
         if all(i < share * max(area(b), 1e-6) for i in inside):
             kept.append(b)
     return kept
 
 
+def _by_page(rows: DataFrame, of_page: Callable[[list[str], list[Box]], list[Box]]) -> DataFrame:
+    """``doc_id, page, region, x0..``: what each page's boxes (rows with ``kind``) become, numbered; streamed page by page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kinds, boxes = None, [], []
+
+        def flush() -> list[tuple]:
+            return [(*last, i, *map(float, b)) for i, b in enumerate(of_page(kinds, boxes))] if last else []
+
+        for batch in batches:
+            out: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in (*PAGE, "kind", *BOX)]
+            for doc, page, kind, *box in zip(*cols, strict=True):
+                if (doc, page) != last:
+                    out += flush()
+                    last, kinds, boxes = (doc, page), [], []
+                kinds.append(kind)
+                boxes.append(tuple(box))
+            yield _regions(out)
+        yield _regions(flush())
+
+    return rows.select(*PAGE, "kind", *BOX).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, "doc_id long, page int, region int, x0 double, y0 double, x1 double, y1 double")
+
+
+def _regions(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], [*PAGE, "region", *BOX])
+
+
+def _clusters(kinds: list[str], boxes: list[Box]) -> list[Box]:
+    of = lambda kind: [b for k, b in zip(kinds, boxes, strict=True) if k == kind]
+    return gathered(of("drawing"), of("text"))
+
+
 def regions(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``doc_id, page, region, x0.., cover``: candidate figure regions. ``boxes`` have ``kind`` (image, drawing), ``pages`` width and height."""
+    """``doc_id, page, region, x0.., cover``: candidate figure regions. ``boxes`` have ``kind`` (image, drawing), ``pages`` width and height.
+
+    Pages without drawings have nothing to gather, pages with one candidate nothing nested: both stay out of Python.
+    """
     texts = blocks.where("x1 - x0 >= 5 AND y1 - y0 >= 5")
     drawn = boxes.where("kind = 'drawing'").select(*PAGE, *BOX, F.lit("drawing").alias("kind"))
     marks = texts.where("y1 - y0 >= 20 AND x1 - x0 >= 30").select(*PAGE, *BOX, F.lit("text").alias("kind")).join(drawn.select(*PAGE).distinct(), PAGE, "left_semi")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {k: [tuple(r) for r in g[BOX].to_numpy()] for k, g in pdf.groupby("kind")}
-        out = pd.DataFrame(gathered(rows.get("drawing", []), rows.get("text", [])), columns=BOX)
-        return out.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0])[PAGE + BOX]
-
-    schema = "doc_id long, page int, x0 double, y0 double, x1 double, y1 double"
     images = boxes.where("kind = 'image'").select(*PAGE, *BOX)
-    found = drawn.unionByName(marks).groupBy(*PAGE).applyInPandas(cluster, schema).unionByName(images)
+    found = _by_page(drawn.unionByName(marks), _clusters).select(*PAGE, *BOX).unionByName(images)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     fits = (w >= MIN_SIDE) & (h >= MIN_SIDE) & (w * h >= MIN_AREA) & (F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0)) <= MAX_ASPECT) & ~((w > 0.97 * F.col("width")) & (h > 0.97 * F.col("height")))
     found = found.join(pages.select(*PAGE, "width", "height"), PAGE).where(fits).select(*PAGE, *BOX)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(not_nested([tuple(r) for r in pdf[BOX].to_numpy()]), columns=BOX)
-        return out.assign(doc_id=pdf.doc_id.iloc[0], page=pdf.page.iloc[0], region=range(len(out)))[[*PAGE, "region", *BOX]]
-
-    kept = found.groupBy(*PAGE).applyInPandas(keep, f"doc_id long, page int, region int, {schema.split('int, ', 1)[1]}")
+    found = found.select("*", F.count("*").over(W.partitionBy(*PAGE)).alias("n"))
+    several = _by_page(found.where("n > 1").withColumn("kind", F.lit("region")), lambda _, boxes: not_nested(boxes))
+    kept = found.where("n = 1").select(*PAGE, F.lit(0).alias("region"), *BOX).unionByName(several).repartition(*PAGE)
     key = [*PAGE, "region"]
     covered = lambda other: kept.select(*key, *[F.col(c).alias(f"r{c}") for c in BOX]).join(_named(other.select(*PAGE, *BOX), "o"), PAGE).groupBy(*key).agg(F.sum(_overlap("r", "o")).alias("a"))
     image, text = covered(images).withColumnRenamed("a", "image"), covered(texts).withColumnRenamed("a", "words")
@@ -173,7 +204,7 @@ def outline(blocks: DataFrame, most: int = 400) -> DataFrame:
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     b = blocks.withColumn("text", text).where("text <> ''").join(size, "doc_id")
     n = F.char_length("text")
-    bold = F.col("all_bold") & n.between(5, 90) & ~F.col("text").rlike("[.。;，,]$") & ~F.col("text").rlike(FIGURE_CAPTION) & ~F.col("text").rlike(PREFIXED_CAPTION) & ~F.col("text").rlike(TABLE_CAPTION)
+    bold = F.col("all_bold") & n.between(5, 90) & ~F.col("text").rlike("[.。;，,]$") & ~F.col("text").rlike(FIGURE_CAPTION) & ~F.col("text").rlike(TABLE_CAPTION)
     large = F.col("max_size") >= 1.25 * F.col("body")
     kept = b.where((n >= 3) & (large | bold))
     line = F.concat(F.format_string("[Page %d | %.1fpt", F.col("page") + 1, F.col("max_size")), F.when(large, F.lit("] ")).otherwise(F.lit(" bold] ")), F.substring("text", 1, 150))
@@ -190,3 +221,8 @@ def warnings(docs: DataFrame) -> DataFrame:
     """``doc_id, warnings`` from ``chars, pages, figures, captions`` of documents."""
     w = F.array_compact(F.array(F.when(F.col("chars") < 120 * F.col("pages"), "little-text"), F.when(F.col("figures") == 0, "no-figures"), F.when(F.col("captions") > F.col("figures"), "captions-without-figures")))
     return docs.select("doc_id", w.alias("warnings"))
+
+
+def captioned_figures(heads: DataFrame) -> DataFrame:
+    """``doc_id, n``: how many figures (not tables) the captions of each document name, every label once."""
+    return heads.groupBy("doc_id").agg(F.count_distinct(F.when(~F.col("is_table"), F.col("label"))).alias("n"))

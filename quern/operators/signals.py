@@ -57,12 +57,10 @@ def lower_quantiles(values: DataFrame, column: str, shares: tuple[float, ...] =
 
 
 def audit_summary(rows: DataFrame) -> DataFrame:
-    """``n_files, n_flagged, n_errors`` and the paths of the first 50 flagged and 10 failed files, of rows with ``flags`` and ``error``."""
-    top = lambda test, n: F.slice(F.sort_array(F.collect_list(F.when(test, F.col("path")))), 1, n)
-    flagged = rows.where("flags IS NOT NULL").select("path", F.lit("flag").alias("why")).orderBy("path").limit(50)
-    failed = rows.where("error IS NOT NULL").select("path", F.lit("error").alias("why")).orderBy("path").limit(10)
-    some = flagged.unionByName(failed).agg(top(F.col("why") == "flag", 50).alias("flagged"), top(F.col("why") == "error", 10).alias("errors"))
-    return rows.agg(F.count("*").alias("n_files"), F.count("flags").alias("n_flagged"), F.count("error").alias("n_errors")).join(some)
+    """``n_audio, n_flagged, n_errors``, the first 50 flagged files with their flags and 10 failed ones with their error, of rows ``path, flags, error``."""
+    flagged = rows.where("flags IS NOT NULL").select("path", "flags").orderBy("path").limit(50).agg(F.sort_array(F.collect_list(F.struct("path", "flags"))).alias("flagged"))
+    failed = rows.where("error IS NOT NULL").select("path", "error").orderBy("path").limit(10).agg(F.sort_array(F.collect_list(F.struct("path", "error"))).alias("errors"))
+    return rows.agg(F.count("*").alias("n_audio"), F.count("flags").alias("n_flagged"), F.count("error").alias("n_errors")).join(flagged).join(failed)  # one row each
 
 
 def features(signals: DataFrame, wanted: tuple[str, ...] = ("duration", "peak_freq", "bandwidth", "spectral", "f0")) -> DataFrame:
@@ -113,18 +111,23 @@ def trim_range(text: str) -> tuple[float, float]:
 
 
 def converted(signals: DataFrame, sr: int = 16000, trim: str | None = None, normalize: bool = False) -> DataFrame:
-    """``path, sr, samples, wav`` (the bytes of a 16-bit file): trimmed, resampled, and scaled to a peak of 0.99 if asked."""
+    """``path, sr, samples, wav`` (the bytes of a 16-bit file): trimmed, resampled, and scaled to a peak of 0.99 if asked.
+
+    Signals may have ``channels``, whose samples then alternate; they are kept.
+    """
     span = trim_range(trim) if trim else None
+    many = F.coalesce("channels", F.lit(1)) if "channels" in signals.columns else F.lit(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 x = np.asarray(row["samples"] or [], np.float64)
+                x = x.reshape(-1, row["many"]) if len(x) % row["many"] == 0 else x[:, None]
                 if span:
                     x = x[int(span[0] * row["sr"]) : int(span[1] * row["sr"])]
-                x = kernels.resampled(x, row["sr"], sr)
-                if normalize and len(x) and np.abs(x).max() > 0:
+                x = np.stack([kernels.resampled(c, row["sr"], sr) for c in x.T], axis=1)
+                if normalize and x.size and np.abs(x).max() > 0:
                     x = x / np.abs(x).max() * 0.99
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([sr], pa.int32()), pa.array([x.astype(np.float32)], pa.list_(pa.float32())), pa.array([wav16(sr, x)], pa.binary())], ["path", "sr", "samples", "wav"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([sr], pa.int32()), pa.array([x.reshape(-1).astype(np.float32)], pa.list_(pa.float32())), pa.array([wav16(sr, x)], pa.binary())], ["path", "sr", "samples", "wav"])
 
-    return signals.where("sr IS NOT NULL").select("path", "sr", "samples").mapInArrow(run, "path string, sr int, samples array<float>, wav binary")
+    return signals.where("sr IS NOT NULL").select("path", "sr", "samples", many.cast("int").alias("many")).mapInArrow(run, "path string, sr int, samples array<float>, wav binary")

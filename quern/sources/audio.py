@@ -87,10 +87,11 @@ def pcm(data: bytes, sr: int | None, dtype: str) -> tuple[int, np.ndarray]:
     return sr, (np.frombuffer(data[: len(data) // size * size], kind) / most).astype(np.float32)[:, None]
 
 
-def read(spark: SparkSession, path: str, pcm_sr: int | None = None, pcm_dtype: str = "int16", header_only: bool = False, limit: int = LIMIT, pattern: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, pcm_sr: int | None = None, pcm_dtype: str = "int16", header_only: bool = False, limit: int = LIMIT, pattern: str | None = None, channels: bool = False) -> DataFrame:
     """``path, sr, channels, frames, width, samples`` (the mean of the channels)``, error`` of the audio files below a path.
 
-    Files over ``limit`` bytes are not read and become error rows; ``header_only`` leaves ``samples`` null.
+    Files over ``limit`` bytes are not read and become error rows; ``header_only`` leaves ``samples`` null. With
+    ``channels`` the samples of all channels stay, one after the other for each frame.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
@@ -107,13 +108,13 @@ def read(spark: SparkSession, path: str, pcm_sr: int | None = None, pcm_dtype: s
                         sr, x = pcm(row["content"], pcm_sr, pcm_dtype)
                         out |= {"sr": sr, "channels": 1, "frames": len(x), "width": 2 if pcm_dtype == "int16" else 4}
                     elif row["_ending"] == "wav":
-                        sr, channels, frames, width, _, _ = header(row["content"])
-                        out |= {"sr": sr, "channels": channels, "frames": frames, "width": width}
+                        sr, many, frames, width, _, _ = header(row["content"])
+                        out |= {"sr": sr, "channels": many, "frames": frames, "width": width}
                         x = None if header_only else samples(row["content"])[1]
                     else:
                         raise ValueError(f"no decoder for .{row['_ending']}")
                     if not header_only:
-                        out["samples"] = x.mean(axis=1)
+                        out["samples"] = x.reshape(-1) if channels else x.mean(axis=1)
                 except Exception as e:  # a bad file is a row of the result
                     out["error"] = f"{type(e).__name__}: {e}"
                 names = ["path", "sr", "channels", "frames", "width", "samples", "error"]

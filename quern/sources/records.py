@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import subprocess
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.text import safe_name
+
 #: The fields of a record; metrics and settings keep their literal text.
 RECORD = "schema_version int, name string, timestamp string, metrics map<string,string>, config map<string,string>, git struct<commit:string,dirty:boolean>, notes string, split_fingerprint struct<file:string,sha256:string>, data_fingerprint struct<sha256:string,n_files:int,mode:string>"
 
@@ -20,9 +26,68 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("metrics IS NOT NULL AND NOT startswith(file, 'SUMMARY') AND NOT startswith(file, 'metrics_result')").drop("_corrupt_record")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Adds records to a folder of JSON files."""
-    rows.write.mode("append").json(path)
+#: What a record is written as; metrics and settings are JSON text here and JSON values in the file.
+VERSION = 1
+
+
+def registered(runs: DataFrame, git: tuple[str | None, bool | None] = (None, None)) -> DataFrame:
+    """``file, json`` of rows ``name, metrics, config, timestamp`` (and, if there, ``notes, split_fingerprint, data_fingerprint``).
+
+    metrics and config are JSON texts, timestamp is one of Spark's. Metrics that are no JSON object, or an empty one, are
+    an error, as are settings that don't parse. The file is named by the safe name and the time to a thousandth of a
+    second; rows that would share a name are an error when they are written.
+    """
+    kind = "map<string,variant>"
+    checked = lambda c, test, why: F.when(F.coalesce(test, F.lit(False)), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(why), F.coalesce(F.col(c), F.lit("null")))).cast("string"))
+    parsed = lambda c: F.from_json(F.col(c), kind)
+    metrics = checked("metrics", F.size(F.map_keys(parsed("metrics"))) > 0, "metrics must be a JSON object that is not empty: ")
+    config = checked("config", F.try_parse_json("config").isNotNull(), "settings must be JSON: ")
+    rows = runs.withColumn("config", F.coalesce("config", F.lit("{}"))).select("*", safe_name("name").alias("_name"), metrics.alias("_metrics"), config.alias("_config"))
+    optional = [F.col(c).alias(c) for c in ("split_fingerprint", "data_fingerprint") if c in runs.columns]
+    notes = F.coalesce("notes", F.lit("")) if "notes" in runs.columns else F.lit("")
+    state = F.struct(F.lit(git[0]).cast("string").alias("commit"), F.lit(git[1]).cast("boolean").alias("dirty"))
+    record = F.struct(F.lit(VERSION).alias("schema_version"), F.col("_name").alias("name"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.parse_json("_metrics").alias("metrics"), F.parse_json("_config").alias("config"), state.alias("git"), notes.alias("notes"), *optional)
+    file = F.concat("_name", F.lit("_"), F.date_format("timestamp", "yyyy-MM-dd'T'HHmmssSSS"), F.lit(".json"))
+    return rows.select(file.alias("file"), F.to_json(record).alias("json"))
+
+
+def append(rows: DataFrame, folder: str) -> None:
+    """Adds ``file, json`` rows to a folder that all executors share, a file each; files that are there already are an error."""
+    write_files(rows.select("file", F.encode("json", "UTF-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
+
+
+def write_files(rows: DataFrame, folder: str, replace: bool = False) -> DataFrame:
+    """``file, size`` of ``file, content`` (binary) rows, which are written below a folder that all executors share when this is run.
+
+    Each file is there whole or not at all.
+    Tasks write under names of their own and then rename, so that a task that is run again does no harm. Without
+    ``replace`` a file of other content that is there already is an error.
+    """
+    root = safe_path(folder, ".")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                path = safe_path(root, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                own = f"{path}.{uuid.uuid4().hex}.part"
+                with open(own, "wb") as f:
+                    f.write(content)
+                try:
+                    if replace:
+                        os.replace(own, path)
+                        continue
+                    os.link(own, path)  # fails if the file is there
+                except FileExistsError:
+                    with open(path, "rb") as f:
+                        if f.read() != content:
+                            raise
+                finally:
+                    if os.path.exists(own):
+                        os.unlink(own)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([len(c) for c in batch.column("content").to_pylist()], pa.int64())], ["file", "size"])
+
+    return rows.select("file", "content").mapInArrow(write, "file string, size long")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -35,14 +100,38 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def _lines(files: DataFrame) -> DataFrame:
+    return files.select(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")).alias("line"))
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
-    """``sha256`` (16 digits)``, n_files`` of rows ``path, size, modified``, by their lines in order of path; contents are not read.
+    """``sha256`` (16 digits)``, n_files, mode`` of rows ``path, size, modified`` (whole seconds): SHA-256 over all their lines, sorted.
+
+    The value needs one hash over one stream: lines are sorted by ranges, and one task reads the ranges in turn and
+    holds a batch of them at a time. ``tree_fingerprint`` is for more files than one task should read.
+    """
+    lines = _lines(files).sort("line")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = hashlib.sha256(), 0
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                whole.update(("\n" if n else "").encode() + line.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()[:16]]), pa.array([n], pa.int64())], ["sha256", "n_files"])
+
+    found = lines.coalesce(1).mapInArrow(digest, "sha256 string, n_files long")
+    none = files.sparkSession.createDataFrame([(hashlib.sha256(b"").hexdigest()[:16], 0)], "sha256 string, n_files long")  # where not even a task runs
+    return found.unionByName(none).agg(F.max_by("sha256", "n_files").alias("sha256"), F.max("n_files").alias("n_files")).withColumn("mode", F.lit("stat-fingerprint"))
+
+
+def tree_fingerprint(files: DataFrame) -> DataFrame:
+    """``sha256`` (16 digits)``, n_files`` like ``fingerprint``, but of hashes of hashes: another value, for any number of files.
 
     Lines are hashed one by one and the hashes together by ranges of 65,536 values of the path's hash, so that no task
     holds more than a range's lines.
     """
-    line = F.sha2(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")), 256)
-    parts = files.select("path", line.alias("h"), F.shiftrightunsigned(F.xxhash64("path"), 48).alias("part"))
+    parts = _lines(files).select(F.sha2("line", 256).alias("h"), F.shiftrightunsigned(F.xxhash64("line"), 48).alias("part"))
     parts = parts.groupBy("part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
     whole = parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
     return whole.select(F.substring("sha256", 1, 16).alias("sha256"), "n_files")
@@ -60,9 +149,9 @@ def safe_path(root: str, name: str) -> str:
 
 
 def git_state(folder: str = ".") -> tuple[str | None, bool | None]:
-    """Commit and whether files changed, on the driver; nulls if git can't tell."""
+    """Commit (short) and whether files changed, on the driver; nulls if git can't tell."""
     try:
         run = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, timeout=10, check=True).stdout.strip()
-        return run("rev-parse", "HEAD"), bool(run("status", "--porcelain"))
+        return run("rev-parse", "--short", "HEAD"), bool(run("status", "--porcelain"))
     except (OSError, subprocess.SubprocessError):
         return None, None

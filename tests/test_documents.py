@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
@@ -38,7 +39,8 @@ def test_dois_and_names(spark: SparkSession) -> None:
 
 def test_addresses(spark: SparkSession) -> None:
     assert value(spark, text.fetchable("x"), x="https://example.org/a.pdf")
-    for bad in ("ftp://example.org/a", "http://127.0.0.1/", "http://192.168.1.4/x", "https://10.0.0.1/", "nothing"):
+    assert value(spark, text.fetchable("x"), x="http://[2606:4700::1111]/a")
+    for bad in ("ftp://example.org/a", "http://127.0.0.1/", "http://192.168.1.4/x", "https://10.0.0.1/", "nothing", "http://[::1]/", "http://[fc00::1]/", "http://[fe80::1]/", "http://[::ffff:10.0.0.1]/", "http://[2001:db8::1]/", "http://[ff02::1]/"):
         assert not value(spark, text.fetchable("x"), x=bad)
     assert value(spark, text.whole_pdf("x"), x=bytearray(b"%PDF-1.4" + bytes(30_000)))
     assert not value(spark, text.whole_pdf("x"), x=bytearray(b"%PDF-1.4"))
@@ -84,6 +86,17 @@ def test_metadata(spark: SparkSession) -> None:
     assert got["d3"].title is None
     urls = [(r.source, r.url) for r in documents.candidates(meta).where("doi = 'd1'").orderBy("place").collect()]
     assert urls == [("unpaywall", "u1"), ("unpaywall", "u2")]
+    # the first registry's title keeps the second out; what the access services call the work stays apart
+    assert (got["d1"].journal, got["d1"].publisher, got["d2"].publisher) == (None, None, "P")
+    one = {"crossref": {"message": {"publisher": "C"}}, "datacite": datacite, "unpaywall": {"title": "U", "journal_name": "J", "best_oa_location": {"url": "u"}}, "openalex": {"open_access": {"oa_url": "o"}, "best_oa_location": {"pdf_url": "https://hal.science/x"}}, "europepmc": {"resultList": {"result": [{"pmcid": "PMC1"}]}}}
+    whole = documents.metadata(spark.createDataFrame([("10.48550/arXiv.1", k, json.dumps(v)) for k, v in one.items()], responses.schema))
+    w = whole.first()
+    assert (w.title, w.publisher, w.unpaywall_title, w.unpaywall_journal, w.openalex_oa_url, w.pmcid) == ("D", "C", "U", "J", "o", "PMC1")
+    feeds = spark.createDataFrame([("10.48550/arXiv.1", 0, "<feed/>"), ("10.48550/arXiv.1", 1, "<id>http://arxiv.org/abs/2001.1v2</id><id>https://arxiv.org/abs/2001.1</id>")], "doi string, variant int, body string")
+    found = [(r.source, r.url) for r in documents.candidates(whole, documents.title_candidates(feeds)).orderBy("place").collect()]
+    assert found == [("arxiv", "https://arxiv.org/pdf/1"), ("unpaywall", "u"), ("openalex", "https://hal.science/x"), ("openalex", "https://hal.science/x/document"), ("openalex", "o"), ("europepmc", "https://www.ebi.ac.uk/europepmc/webservices/rest/PMC/PMC1/fullTextPDF"), ("preprint", "https://arxiv.org/pdf/2001.1")]
+    titled = spark.createDataFrame([("a", " one two  three four five six seven eight nine ten eleven"), ("b", "short")], "doi string, title string")
+    assert [tuple(r) for r in documents.title_queries(titled).orderBy("variant").collect()] == [("a", 0, "one two three four five six seven eight nine ten eleven"), ("a", 1, "one two three four five six seven eight nine ten")]
     tried = spark.createDataFrame([("d1", 0, "a", "x", False), ("d1", 1, "b", "y", True), ("d1", 2, "c", "z", True)], "doi string, place int, source string, url string, ok boolean")
     assert tuple(documents.first_success(tried).first()) == ("d1", "b", "y")
 
@@ -102,14 +115,52 @@ def test_records(spark: SparkSession, tmp_path: Path) -> None:
     assert [tuple(r) for r in tracker.metric_keys(rows).collect()] == [("eer", 3), ("n", 3)]
     issues = sorted((r.issue, r.file) for r in tracker.provenance(rows).collect())
     assert issues == [("changed-tree", "r2.json"), ("conflicting-runs", "r0.json"), ("conflicting-runs", "r1.json"), ("no-data-hash", "r2.json"), ("no-split-hash", "r2.json")]
-    lines = tracker.markdown(tracker.summary_table(rows, ["eer", "n"]), ["time", "name"]).orderBy("line_no").collect()
-    assert lines[0].line == "| name | time | eer | n | config |" and "| run | 2026-01-03 | 0.5000 | 2 | lr=0.1 |" in [r.line for r in lines] and len(lines) == 5
+    lines = [r.line for r in tracker.report(rows, check=True).orderBy("line_no").collect()]
+    assert lines[:5] == ["# 实验结果汇总（3 条，核心指标：eer, n）", "", "| 实验 | 时间 | eer | n | 配置摘要 |", "|---|---|---|---|---|", "| run | 2026-01-03 | 0.5000 | 2 | lr=0.1 |"]
+    assert lines[7:10] == ["", "## 可追溯性审计", ""] and lines[10].startswith("- ℹ️ `run` 同名同切分有 2 次") and len(lines) == 14
+    clean = rows.where("file = 'r0.json'")
+    assert [r.line for r in tracker.report(clean, check=True).orderBy("line_no").collect()][-1] == "- ✅ 未发现可追溯性问题"
+
+
+def test_runs_without_a_split(spark: SparkSession) -> None:
+    """No split is a split too: two such runs that differ are at odds."""
+    rows = spark.createDataFrame([("a", None, {"m": "1"}), ("a", None, {"m": "2"}), ("b", None, {"m": "1"}), ("b", "s", {"m": "2"})], "name string, split string, metrics map<string,string>")
+    assert [tuple(r) for r in tracker.duplicate_runs(rows).collect()] == [("a", None, 2, 2)]
+
+
+def test_lines_within_a_minute(spark: SparkSession) -> None:
+    rows = spark.createDataFrame([("b", "2026-01-01T10:00:59", "x"), ("a", "2026-01-01T10:00:30", "z"), ("c", "2026-01-01T10:00:30", "y")], "name string, timestamp string, file string")
+    rows = rows.withColumn("metrics", F.create_map(F.lit("m"), F.lit("1"))).withColumn("config", F.lit(None).cast("map<string,string>"))
+    table = tracker.summary_table(rows, ["m"])
+    got = [r.line for r in tracker.markdown(table, ["timestamp", "file"], {"name": "n", "time": "t"}).orderBy("line_no").collect()]
+    assert got == ["| n | t |", "|---|---|", "| c | 2026-01-01T10:00 |", "| a | 2026-01-01T10:00 |", "| b | 2026-01-01T10:00 |"]
+
+
+def test_registered_records(spark: SparkSession, tmp_path: Path) -> None:
+    runs = spark.createDataFrame([("a b/c", '{"eer": 0.25, "n": 2}', '{"lr": 0.1}', "2026-01-02 03:04:05.678")], "name string, metrics string, config string, timestamp string")
+    runs = runs.withColumn("timestamp", F.to_timestamp("timestamp"))
+    records.append(records.registered(runs, ("abc", True)), str(tmp_path))
+    (file,) = tmp_path.iterdir()
+    assert file.name == "a_b_c_2026-01-02T030405678.json"
+    got = json.loads(file.read_text())
+    assert (got["metrics"], got["config"], got["git"], got["timestamp"], got["schema_version"]) == ({"eer": 0.25, "n": 2}, {"lr": 0.1}, {"commit": "abc", "dirty": True}, "2026-01-02T03:04:05", 1)
+    assert records.records(spark, str(tmp_path)).first().metrics == {"eer": "0.25", "n": "2"}
+    records.append(records.registered(runs, ("abc", True)), str(tmp_path))  # the same again does no harm
+    with pytest.raises(Exception, match="FileExists"):
+        records.append(records.registered(runs, ("other", True)), str(tmp_path))
+    for bad in ("{}", "[1]", "no", None):
+        with pytest.raises(Exception, match="metrics must be"):
+            records.registered(runs.withColumn("metrics", F.lit(bad).cast("string"))).collect()
 
 
 def test_fingerprints_and_paths(spark: SparkSession, tmp_path: Path) -> None:
     files = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "path string, size long, modified long")
     first = tuple(records.fingerprint(files).first())
-    assert first == tuple(records.fingerprint(files.orderBy(F.desc("path"))).first()) and first[1] == 2 and len(first[0]) == 16
+    assert first == (hashlib.sha256(b"a|1|10\nb|2|20").hexdigest()[:16], 2, "stat-fingerprint")
+    assert first == tuple(records.fingerprint(files.orderBy(F.desc("path"))).first())
+    assert tuple(records.fingerprint(files.where("false")).first())[:2] == (hashlib.sha256(b"").hexdigest()[:16], 0)
+    tree = tuple(records.tree_fingerprint(files).first())
+    assert tree == tuple(records.tree_fingerprint(files.orderBy(F.desc("path"))).first()) and tree[1] == 2 and len(tree[0]) == 16
     assert first != tuple(records.fingerprint(files.withColumn("size", F.col("size") + 1)).first())
     (tmp_path / "x.txt").write_text("abc")
     assert records.content_hashes(spark, str(tmp_path)).first().sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
@@ -151,3 +202,32 @@ def test_stream_of_levels(spark: SparkSession, tmp_path: Path) -> None:
     q.awaitTermination(120)
     streamed, batch = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}, {tuple(r) for r in levels.windowed_rms(rows).collect()}
     assert len(batch) == 20 and streamed < batch and len(streamed) >= 14
+
+
+def test_image_paths(spark: SparkSession) -> None:
+    docs = spark.createDataFrame([("d", "![a](./img/a.png) ![b](img/../img/b.png) ![c](../c.png) ![e](img//e.png)")], "path string, text string")
+    files = spark.createDataFrame([("d", "img/a.png"), ("d", "img/b.png"), ("d", "./img/e.png")], "path string, file string")
+    assert [r.ref for r in documents.missing_images(docs, files).collect()] == ["../c.png"]
+
+
+def test_covered_words(spark: SparkSession) -> None:
+    """By every pair of word and term, each way."""
+    words = ["mel", "melody", "caramel", "codec", "code", "deco", "filter", "the", "abc", "bca", "spectrogram", "gram", "a-b'c"]
+    terms = ["Mel", "codec", "ra", "ilt", "the spectrogram of it", "x", "abca"]
+    tokens = spark.createDataFrame([(p, w) for p in "pq" for w in words], "path string, token string")
+    got = {tuple(r) for r in documents.uncovered(tokens, spark.createDataFrame([("p", t) for t in terms], "path string, term string")).collect()}
+    low = [t.lower() for t in terms]
+    want = {("p", w) for w in words if w not in text.PLAIN_WORDS and not any(t in w or w in t for t in low)}
+    assert got == want | {("q", w) for w in words if w not in text.PLAIN_WORDS}
+
+
+def test_articles(spark: SparkSession) -> None:
+    body = {"title": "<i>T</i> x", "authorString": "A B, C D,", "journalInfo": {"journal": {"title": "J"}, "yearOfPublication": 2020}, "pmid": "7"}
+    got = documents.article_metadata(spark.createDataFrame([("PMC1", None, json.dumps(body))], "pmcid string, doi string, body string")).first()
+    assert (got.title, got.authors, got.journal, got.year, got.pmid, got.download_source) == ("T x", ["A B", "C D"], "J", "2020", "7", "EuropePMC fullTextXML + PMC CDN images (PMC1)")
+    texts = spark.createDataFrame([("PMC1", "short"), ("PMC2", "x" * 5000)], "pmcid string, text string")
+    images = spark.createDataFrame([("PMC1", f"a/{i}.jpg", None) for i in range(6)] + [("PMC2", "b.jpg", "u")], "pmcid string, href string, url string")
+    got = {r.pmcid: r.warnings for r in documents.article_warnings(texts, images).collect()}
+    assert got == {"PMC1": ["6 images missing: 0.jpg, 1.jpg, 2.jpg, 3.jpg, 4.jpg, ...", "short text"], "PMC2": []}
+    pictures = spark.createDataFrame([(1, 0, bytearray(b"a")), (1, 1, bytearray(b"a")), (1, 2, bytearray(b"b")), (2, 0, bytearray(b"a"))], "doc_id int, place int, content binary")
+    assert sorted((r.doc_id, r.place) for r in documents.distinct_images(pictures).collect()) == [(1, 0), (1, 2), (2, 0)]
