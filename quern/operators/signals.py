@@ -28,20 +28,41 @@ def frame_rms(signals: DataFrame, frame_ms: int = 50) -> DataFrame:
     return s.select("path", F.posexplode(frames).alias("frame", "x")).select("path", "frame", F.sqrt(_mean_square(F.col("x"))).alias("rms"))
 
 
-def quality(signals: DataFrame, min_sec: float = 0.2, max_sec: float = 120.0, clip_ratio: float = 0.01, silence_ratio: float = 0.8) -> DataFrame:
+def quality(signals: DataFrame, **limits: float) -> DataFrame:
     """``path, duration, peak, clip_ratio, silence_ratio, mean_rms, flags`` (null if none, in fixed order); all limits are strict.
 
-    Signals without samples get nulls, as headers alone do.
+    limits: ``min_sec`` 0.2, ``max_sec`` 120, ``clip_ratio`` 0.01, ``silence_ratio`` 0.8. Signals without samples get
+    nulls, as headers alone do.
     """
     s = signals.withColumn("peak", F.array_max(F.transform("samples", lambda v: F.abs(v.cast("double")))))
     clip = F.size(F.filter("samples", lambda v: F.abs(v.cast("double")) >= 0.99)) / F.nullif(F.size("samples"), F.lit(0))
-    s = s.select("path", (F.size("samples") / F.col("sr")).alias("duration"), "peak", clip.alias("clip"))
-    f = frame_rms(signals).join(s.select("path", "peak"), "path").groupBy("path").agg(F.avg((F.col("rms") < F.greatest(0.01 * F.col("peak"), F.lit(1e-5))).cast("double")).alias("silence"), F.avg("rms").alias("rms"))
+    return _judged(s.select("path", (F.size("samples") / F.col("sr")).alias("duration"), "peak", clip.alias("clip")), frame_rms(signals), **limits)
+
+
+def _judged(s: DataFrame, frames: DataFrame, min_sec: float = 0.2, max_sec: float = 120.0, clip_ratio: float = 0.01, silence_ratio: float = 0.8) -> DataFrame:
+    """The roll-up of ``path, duration, peak, clip`` and frames, with flags."""
+    f = frames.join(s.select("path", "peak"), "path").groupBy("path").agg(F.avg((F.col("rms") < F.greatest(0.01 * F.col("peak"), F.lit(1e-5))).cast("double")).alias("silence"), F.avg("rms").alias("rms"))
     flags = F.array_compact(F.array(F.when(F.col("clip") > clip_ratio, "clipping"), F.when(F.col("silence") > silence_ratio, "high-silence"), F.when(F.col("duration") < min_sec, "too-short"), F.when(F.col("duration") > max_sec, "too-long"), F.when(F.col("peak") == 0, "all-zero")))
-    q = s.join(f, "path", "left").withColumn("flags", F.when(F.size(flags) > 0, flags))
+    q = s.join(f, "path", "left").withColumn("flags", flags).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")))
     return q.select("path", rounded("duration", 3).alias("duration"), rounded("peak", 4).alias("peak"), rounded("clip", 5).alias("clip_ratio"), rounded("silence", 3).alias("silence_ratio"), rounded("rms", 5).alias("mean_rms"), "flags")
 
 
+def sample_frames(samples: DataFrame, frame_ms: int = 50) -> DataFrame:
+    """``path, frame, rms`` like ``frame_rms``, of signals of any length as rows ``path, sr, pos, value``, by one grouping."""
+    n = F.greatest((F.col("sr") * frame_ms / 1000).cast("long"), F.lit(1))
+    v = F.col("value").cast("double")
+    frames = samples.groupBy("path", n.alias("n"), F.floor(F.col("pos") / n).alias("frame")).agg(F.sum(v * v).alias("squares"), F.count("*").alias("k"))
+    # the tail of a signal is left out unless it is its only frame
+    return frames.where("k = n OR frame = 0").select("path", F.col("frame").cast("int").alias("frame"), F.sqrt(F.col("squares") / F.col("k")).alias("rms"))
+
+
+def sample_quality(samples: DataFrame, **limits: float) -> DataFrame:
+    """``quality`` of signals of any length as rows ``path, sr, pos, value``."""
+    v = F.abs(F.col("value").cast("double"))
+    s = samples.groupBy("path").agg((F.count("*") / F.first("sr")).alias("duration"), F.max(v).alias("peak"), (F.count_if(v >= 0.99) / F.count("*")).alias("clip"))
+    return _judged(s, sample_frames(samples), **limits)
+
+
 def rate_histogram(signals: DataFrame) -> DataFrame:
     return signals.where("sr IS NOT NULL").groupBy("sr").agg(F.count("*").alias("n"))
 

@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quern.functions.numbers import ratio, rounded
 from quern.functions.text import blank_trimmed, blank_words
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """The edit distance of two word arrays: words become letters (their place among the pair's words), letters are compared.
-
-    Up to 20,000 distinct words in a pair; more is an error.
-    """
-    words = F.array_distinct(F.concat(a, b))
-    letters = lambda x: F.array_join(F.transform(x, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, w) + 19968), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(words) <= 20000, F.levenshtein(letters(a), letters(b))).otherwise(F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
+def sequence_distance(a: list, b: list) -> int:
+    """The edit distance of two sequences, a row of the table at a time as the bits of whole numbers (Myers, Hyyro)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    mask, top, out = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = mask, 0  # where a cell is one more, or one less, than the cell above it
+    for x in b:
+        same = places.get(x, 0)
+        flat = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & mask, up & across
+        out += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & mask, less << 1 & mask
+        up, down = (less | ~(flat | more)) & mask, more & flat
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The edit distance of two word arrays of any length."""
+    return pd.Series([sequence_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def error_rate(pairs: DataFrame, level: str = "wer") -> DataFrame:

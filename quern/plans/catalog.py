@@ -162,7 +162,7 @@ SIGNALS = "x AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION B
 
 @query(f"WITH {SIGNALS} SELECT path, frame::INT AS frame, round_even(rms, 6) AS rms FROM f")
 def frame_rms_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.frame_rms(t.user_signals(spark, sf_dir)).withColumn("rms", rounded("rms"))
+    return signals.sample_frames(t.user_samples(spark, sf_dir)).withColumn("rms", rounded("rms"))
 
 
 @query(
@@ -171,12 +171,12 @@ def frame_rms_events(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT path, round_even(duration, 3) AS duration, round_even(peak, 4) AS peak, round_even(clip, 5) AS clip_ratio, round_even(silence, 3) AS silence_ratio, round_even(mean, 5) AS mean_rms, nullif(array_to_string(list_filter([CASE WHEN clip > 0.01 THEN 'clipping' END, CASE WHEN silence > 0.8 THEN 'high-silence' END, CASE WHEN duration < 0.2 THEN 'too-short' END, CASE WHEN duration > 120 THEN 'too-long' END, CASE WHEN peak = 0 THEN 'all-zero' END], lambda x: x IS NOT NULL), ','), '') AS flags FROM q"""
 )
 def quality_flags_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.quality(t.user_signals(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
+    return signals.sample_quality(t.user_samples(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
 
 
 @query("WITH n AS (SELECT count(*) / 100.0::DOUBLE AS v FROM events GROUP BY user_id), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM n) SELECT share::DOUBLE AS share, v AS value FROM o, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) q(share) WHERE k = least(floor(n * share), n - 1)")
 def duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.lower_quantiles(t.user_signals(spark, sf_dir).select((F.size("samples") / 100).alias("d")), "d")
+    return signals.lower_quantiles(t.table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") / 100).alias("d")), "d")
 
 
 @query("SELECT l_linenumber AS sr, count(*) AS n FROM lineitem GROUP BY 1")
@@ -189,6 +189,15 @@ def zcr_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.crossing_rate(t.vector_signals(spark, sf_dir))
 
 
+CHUNKS = "x AS (SELECT user_id::VARCHAR AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value / 500)::FLOAT::DOUBLE AS v FROM events), c AS (SELECT CASE WHEN i < 4096 THEN u ELSE u || '-' || i // 4096 END AS path, i % 4096 AS i, v FROM x)"
+
+
+@query(f"WITH {CHUNKS}, d AS (SELECT path, v, abs(sign(v) - sign(lag(v) OVER (PARTITION BY path ORDER BY i))) AS d FROM c) SELECT path, round_even(count(*) / 100.0::DOUBLE, 3) AS duration_s, round_even(20 * log10(sqrt(avg(v * v)) + 1e-12), 2) AS rms_db, round_even(avg(d), 5) AS zcr FROM d GROUP BY path")
+def levels_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = signals.features(t.user_signals(spark, sf_dir), ("duration", "zcr"))
+    return found.select("path", "duration_s", "rms_db", "zcr")
+
+
 @query()
 def features_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.features(t.user_signals(spark, sf_dir).withColumn("sr", F.lit(16000)), signals.FEATURES)
@@ -209,7 +218,7 @@ def duplicate_runs_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.duplicate_runs(t.user_records(spark, sf_dir))
 
 
-@query()
+@query("SELECT left(sha256(string_agg(doc_id::VARCHAR || '|' || n_chars::VARCHAR || '|' || source, chr(10) ORDER BY doc_id::VARCHAR || '|' || n_chars::VARCHAR || '|' || source)), 16) AS sha256, count(*) AS n_files, 'stat-fingerprint' AS mode FROM documents")
 def fingerprint_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.fingerprint(t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("modified")))
 
@@ -251,12 +260,15 @@ def token_counts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.token_counts(docs).select(F.col("path").alias("doc_id"), "token", "n")
 
 
-@query(f"WITH {TOKENS}, b AS (SELECT DISTINCT token FROM t), terms AS (SELECT DISTINCT lower(split_part(text, ' ', 2)) AS term FROM benchmark WHERE length(split_part(text, ' ', 2)) >= 3) SELECT token FROM b WHERE token NOT IN ('pdf','doi','png','jpg','jpeg','gif','url','api','http','https','www','org','com','html','arxiv','peerj','biorxiv','github','zenodo','figshare','crossref','openalex','unpaywall','europepmc','pmc','ncbi','cdn','google','scholar','etc','web','linux','python','who','faq','gps','the','and','for') AND NOT EXISTS (SELECT 1 FROM terms WHERE contains(token, term) OR contains(term, token))")
+PLAIN = ", ".join(f"'{w}'" for w in text.PLAIN_WORDS)
+
+
+@query(f"WITH {TOKENS}, b AS (SELECT DISTINCT token FROM t WHERE token NOT IN ({PLAIN})), terms AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{{2,}}'))) AS term FROM benchmark), covered AS (SELECT DISTINCT token FROM b JOIN terms ON contains(token, term) OR contains(term, token)) SELECT token FROM b ANTI JOIN covered USING (token)")
 def token_gap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     found = documents.token_counts(docs).select(F.lit("all").alias("path"), "token").distinct()
-    term = F.split_part("text", F.lit(" "), F.lit(2))
-    terms = t.table(spark, sf_dir, "benchmark").where(F.char_length(term) >= 3).select(F.lit("all").alias("path"), term.alias("term"))
+    term = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z][A-Za-z0-9]{2,})"), F.lit(1))).alias("term")
+    terms = t.table(spark, sf_dir, "benchmark").select(F.lit("all").alias("path"), term)
     return documents.uncovered(found, terms).select("token")
 
 
@@ -288,7 +300,12 @@ def figures_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.figures(*t.layout(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber AS block, (8 + l_linenumber)::DOUBLE AS size, l_linenumber = 2 AS bold, CASE WHEN l_linenumber % 4 = 0 THEN 'Table ' ELSE 'Fig. ' END || l_linenumber || ' of a line' AS text FROM lineitem WHERE l_linenumber % 2 = 0),
+ s AS (SELECT doc_id, list_extract(list_sort(list(size)), count(*) // 2 + 1) AS body FROM b GROUP BY doc_id),
+ k AS (SELECT b.*, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS item FROM b JOIN s USING (doc_id) WHERE size >= 1.25 * body)
+ SELECT doc_id, item::INT AS item, 0 AS page, '[Page 1 | ' || printf('%.1f', size) || 'pt] ' || text AS text FROM k WHERE item < 400"""
+)
 def outline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.outline(t.layout(spark, sf_dir)[2])
 

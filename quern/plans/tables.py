@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ordered import running
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,10 +38,18 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("pos"), F.explode(cells).alias("c")).select("c.class", "pos", "c.y", "c.score")
 
 
-def user_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals: each user's values over time, 100 to the second."""
-    series = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda x: (x["value"] / 500).cast("float"))
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("path")).agg(series.alias("samples")).withColumn("sr", F.lit(100))
+def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals as rows ``path, sr, pos, value``: each user's values over time, 100 to the second, however many one user has."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "event_id", (F.col("value") / 500).cast("float").alias("value"), F.lit(1).cast("long").alias("one"))
+    return running(e, "event_id", {"pos": "one"}, by=["path"]).select("path", F.lit(100).alias("sr"), "pos", "value")
+
+
+def user_signals(spark: SparkSession, sf_dir: str, most: int = 4096) -> DataFrame:
+    """Signals of at most ``most`` samples as arrays: the users' values, cut where a user has more."""
+    part = F.floor(F.col("pos") / most)
+    path = F.when(part == 0, F.col("path")).otherwise(F.concat_ws("-", "path", part.cast("string")))
+    series = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
+    return user_samples(spark, sf_dir).groupBy(path.alias("path")).agg(series.alias("samples")).withColumn("sr", F.lit(100))
 
 
 def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,24 @@ def test_error_rates(spark: SparkSession, ref: str, hyp: str, level: str, want:
     assert one(transcripts.error_rate(spark.createDataFrame([(ref, hyp)], "ref string, hyp string"), level)) == want
 
 
+def test_words_of_long_pairs(spark: SparkSession) -> None:
+    """More distinct words than there are letters, and every short pair."""
+    from itertools import product
+
+    def plain(a: list, b: list) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    words = [list(x) for n in range(5) for x in product("ab", repeat=n)]
+    assert all(transcripts.sequence_distance(a, b) == plain(a, b) for a in words for b in words)
+    many = [str(i) for i in range(30_000)]
+    assert one(transcripts.error_rate(spark.createDataFrame([(" ".join(many), " ".join(many[1:] + ["x"]))], "ref string, hyp string"))) == (0.000067, 2, 30_000)
+
+
 def test_unknown_level(spark: SparkSession) -> None:
     with pytest.raises(ValueError):
         transcripts.error_rate(spark.createDataFrame([("a", "b")], "ref string, hyp string"), "per")
