@@ -9,6 +9,7 @@
    shared tokens, so that passages which many documents hold bring no sets together by themselves.
 3. Similar sets are grouped by least hashes. Each group's purest set (fewest tokens of its own) is its pivot, members
    are compared with it, and the links make the first components.
+   (This pass is plainer than the matrix and saves it the links inside hot groups of near copies; ``links`` does without.)
 4. Sets with the same least hash make groups, cut to about ``group`` sets. The matrix holds the tokens of each group's
    union. A set is a query for the groups that hold one of its prefix tokens in a set of a smaller component; the overlap
    with the group's union bounds that with any member, and only groups that reach the threshold are opened and compared
@@ -153,30 +154,60 @@ def _far_links(sets: DataFrame, percent: int, group: int) -> DataFrame:
     return bounded.join(members, ["g_bucket", "g_part"]).where(f"x.component > m.component AND {_linked('x', 'm', percent)}").select(F.col("q").alias("a"), F.col("m.id").alias("b"))
 
 
-def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the least id in reach by links, its own included) of each document.
-
-    percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
-    """
+def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents' sets (``_sets``), their classes ``key, id, size`` of equal sets, and one set of each class that can still meet another."""
     docs = ids_and_texts(docs)
     sets = cut(_sets(docs, n, percent))
     known = sets.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("id"))
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"))
     least = known.select(F.explode("prefix").alias("token"), F.xxhash64("key").alias("key"))
-    recur = least.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
+    recur = cut(least.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token"))
     tokens = _tokens(docs.where("doc_id IS NOT NULL"), bit_set(recur), n, percent)
     tokens = cut(tokens.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sets_ = cut(_shared(tokens, percent))
-    near = cut(_pivot_links(sets_, percent, rounds))
-    grouped = sets_.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    links = near.unionByName(_far_links(grouped, percent, group))
-    labels = classes.join(components(links), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    return sets, classes, cut(_shared(tokens, percent))
+
+
+def links(docs: DataFrame, n: int = 4, percent: int = 85, group: int = 128) -> DataFrame:
+    """``a, b``: every pair of classes that link, each by its least document's id, the smaller first.
+
+    The matrix gives all of them, as every set counts as a component of its own. As many rows as there are links between
+    different sets; copies add none (see ``classes``).
+    """
+    _, _, some = _prepared(docs, n, percent)
+    found = _far_links(some.withColumn("component", F.col("id")), percent, group)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def classes(docs: DataFrame, n: int = 4) -> DataFrame:
+    """``doc_id, class_id`` (the least id with an equal set)``, copies`` of each document with an id and words."""
+    sets = _sets(ids_and_texts(docs), n, 100).where("doc_id IS NOT NULL AND key IS NOT NULL")
+    same = sets.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    return sets.join(same, "key").select("doc_id", "class_id", "copies")
+
+
+def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (the least id in reach by links, its own included) of each document.
+
+    percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
+    """
+    sets, same, some = _prepared(docs, n, percent)
+    near = cut(_pivot_links(some, percent, rounds))
+    grouped = some.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = near.unionByName(_far_links(grouped, percent, group))
+    labels = same.join(components(found), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = sets.select("doc_id", "n_shingles", "key").join(labels, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents, all columns, without those that another document of their component precedes."""
-    found = report(docs, **options)
+    """The documents, all columns, without those that another document of their component precedes.
+
+    Of rows that repeat both id and text one stays; rows without an id all stay.
+    """
+    found = cut(report(docs, **options))
     later = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    if not twice.limit(1).count():
+        return kept
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)

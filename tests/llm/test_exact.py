@@ -126,3 +126,27 @@ def test_texts_without_repeats(odd: DataFrame) -> None:
     for run in (suffix_dedup.report, phrase_automata.report):
         for row in run(odd, texts=True).collect():
             assert plain.sha(bytes(row.kept) if not isinstance(row.kept, str) else row.kept) == row.kept_sha256
+
+
+def test_links_between_classes(odd: DataFrame, odd_rows: list, supplied: list, spark) -> None:
+    """All links between different sets, and who has which set."""
+    for docs, given in ((odd, odd_rows), (spark.createDataFrame(supplied, "doc_id long, text string"), supplied)):
+        sets = {}
+        for d, text in given:
+            w = plain.spaced((text or "").translate(plain.UPPER))
+            if w:
+                sets[d] = frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3)))
+        least = {s: min(d for d in sets if sets[d] == s) for s in set(sets.values())}
+        got = {tuple(r) for r in jaccard_groups.classes(docs).select("doc_id", "class_id").collect()}
+        assert got == {(d, least[s]) for d, s in sets.items()}
+        ids = sorted(least.values())
+        want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+        found = [tuple(r) for r in jaccard_groups.links(docs).collect()]
+        assert set(found) == want and len(found) == len(want) and want
+
+
+def test_rows_that_repeat_leave_one(odd: DataFrame) -> None:
+    twice = odd.unionByName(odd.where("doc_id IN (3, 9)"))
+    lost = odd.where("doc_id = 0").withColumn("doc_id", odd.doc_id * None)
+    got = sorted((r.doc_id if r.doc_id is not None else -99) for r in jaccard_groups.first_of_each(twice.unionByName(lost)).collect())
+    assert got == sorted([-99, *(r.doc_id for r in jaccard_groups.first_of_each(odd).collect())])
