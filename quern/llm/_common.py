@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,9 +49,14 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints, which all executors share, or one of our own where none is set (tests)."""
+    """The cluster's folder for checkpoints, which all executors share.
+
+    Where none is set a session on one machine gets a folder of its own (tests); on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -68,15 +74,25 @@ def released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours, if the session is still there."""
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    except Exception:  # noqa: BLE001  the session has ended, or the interpreter is about to
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared folder and read back: lost executors cost no recomputation of them.
 
-    The folder's ``quern`` tables can be removed when the session ends.
+    The table is deleted when the session's Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quern/{uuid.uuid4().hex}"
     with released(spark):
         df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

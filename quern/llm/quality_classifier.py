@@ -6,8 +6,8 @@ length one. Training takes at most ``max_rows`` labelled rows, those with the le
 through one task, pass by pass, so that the task holds the weights alone. Scores are sparse dot products.
 
 Defined results: null and empty texts have no features and get the score of the intercept; rows keep one result each;
-labels that are null or not 0 or 1, and labels without a document, teach nothing; without any labelled rows every
-score is 0.5; ids that are null are held in (remainder of nothing), other columns are ignored.
+labels that are null or not 0 or 1, labels of an id that disagree, and labels without a document, teach nothing; all rows
+of a labelled id teach; without any labelled rows every score is 0.5; ids that are null are held in (remainder of nothing), other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,9 +92,10 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 8000, passes: int = 4) -> Classifier:
     """Learns from ``labels`` (``doc_id, quality``), at most ``max_rows`` of them; who may teach is for the caller to filter."""
-    taught = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).dropDuplicates(["_id"])
+    taught = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL")
+    taught = taught.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).where("_label = _other").drop("_other")
     taught = taught.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(taught), F.col("doc_id") == F.col("_id"))  # max_rows bounds what is broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(taught), F.col("doc_id") == F.col("_id"))  # max_rows bounds what is broadcast
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -105,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 8000
     rows = cut(rows.select("_id", "_label", "text").mapInArrow(extract, "id long, label int, slots array<int>, vals array<float>"))
     state = Ftrl.empty(bits)
     for turn in range(passes):
-        order = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.col("id") + turn), "id")  # max_rows bounds it; the task streams it
+        order = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.col("id") + turn), "id", F.xxhash64("slots", "vals"))  # max_rows bounds it; the task streams it
         z, n = state.z, state.n
 
         def train(batches: Iterator[pa.RecordBatch], z: np.ndarray = z, n: np.ndarray = n) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ CASES = {
     "bpe_segments": (lambda d: bpe_segments.report(d, WORD), encoded, 4),
     "jaccard_groups": (jaccard_groups.report, plain.jaccard, 3),
     "decontamination": (lambda d: decontamination.report(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string")), lambda d: plain.contamination(d, ITEMS), 6),
-    "decontamination by join": (lambda d: decontamination.report(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string"), max_bytes=0), lambda d: plain.contamination(d, ITEMS), 6),
+    "decontamination by join": (lambda d: decontamination.report(d, d.sparkSession.createDataFrame(ITEMS, "item_id long, text string"), max_windows=0), lambda d: plain.contamination(d, ITEMS), 6),
     "suffix_dedup, hot anchors": (lambda d: suffix_dedup.report(d, hot=1), plain.byte_repeats, 5),
     "suffix_dedup, heavy anchors": (lambda d: suffix_dedup.report(d, heavy=1), plain.byte_repeats, 5),
     "phrase_automata, parted shards": (lambda d: phrase_automata.report(d, phrases=3), plain.word_repeats, 4),
@@ -150,3 +150,15 @@ def test_rows_that_repeat_leave_one(odd: DataFrame) -> None:
     lost = odd.where("doc_id = 0").withColumn("doc_id", odd.doc_id * None)
     got = sorted((r.doc_id if r.doc_id is not None else -99) for r in jaccard_groups.first_of_each(twice.unionByName(lost)).collect())
     assert got == sorted([-99, *(r.doc_id for r in jaccard_groups.first_of_each(odd).collect())])
+
+
+def test_large_benchmarks_edit_alike(odd: DataFrame, spark) -> None:
+    """Both ways keep and cut the same rows, those without ids and with other texts under one id too."""
+    rows = [(1, ITEMS[0][1] + " and more"), (1, "clean text of its own"), (None, ITEMS[0][1]), (None, "clean"), (None, None), (2, "two WORDS, and: two words")]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for edit in (decontamination.drop_documents, decontamination.drop_spans):
+        a, b = (sorted(map(repr, edit(docs, items, max_windows=most).collect())) for most in (10**6, 0))
+        assert a == b
+    kept = [tuple(r) for r in decontamination.drop_documents(docs, items, max_windows=0).where("doc_id IS NULL OR doc_id = 1 AND text LIKE 'c%'").collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, [(1, "clean text of its own"), (None, "clean"), (None, None)]))
