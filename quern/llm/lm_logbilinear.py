@@ -1,15 +1,20 @@
 """Log-bilinear language model, trained by noise-contrastive estimation in numpy.
 
 Words are counted over all training texts. Frequent words and the end of a text are classes of their own; any other
-word belongs to the class of its last three bytes. The model predicts the class of a token from the classes of the two
-before it: position-dependent matrices map the context's vectors to a predicted vector, whose products with all class
-vectors give scores. Training is one pass over all training texts in parallel, from a common start, against noise
-drawn from the class frequencies, and the parameters are averaged by rows. Scoring normalises over all classes by
-batched matrix products, once for each context, and within a class by smoothed counts, so that word probabilities are
-normalised too.
+word belongs to the class of its last three bytes. There are more classes of both kinds the more distinct words there
+are (by the cube root, so that normalising stays affordable). The model predicts the class of a token from the classes of
+the two before it: position-dependent matrices map the context's vectors to a predicted vector, whose products with all
+class vectors give scores. Training is one pass over all training texts, against noise drawn from the class frequencies:
+texts are dealt to folds of a few million tokens by a hash of the row, each fold is learnt in the order of that hash, from
+a common start that is itself learnt from the first texts of fold 0, and the folds' parameters are averaged, groups of
+folds first. So the result does not depend on how rows are partitioned. Scoring normalises over all classes by batched
+matrix products, once for each context, and within a class by smoothed counts, so that word probabilities are normalised
+too.
 
 Defined results: null texts are empty and score their end alone; rows keep one result each; rows without an id teach
-and are not held out; without training texts all counts are 0; other columns are ignored.
+and are not held out; rows that repeat teach as often as they stand there and get equal results; without training texts
+all counts are 0; other columns are ignored. The same rows give the same scores, up to the last digits of a sum's
+rounding.
 """
 
 from __future__ import annotations
@@ -147,8 +152,8 @@ def classes_of(counts: DataFrame, own: int, buckets: int, known: int) -> Classes
     top = counts.orderBy(F.desc("n"), "word").limit(known).toArrow()
     words, n = [bytes(w) for w in top.column("word").to_pylist()], top.column("n").to_numpy()
     kinds = {END: 0} | {w: i + 1 for i, w in enumerate([w for w in words if w != END][: own - 1])}
-    if END not in words:
-        words, n = [END, *words], np.append(0, n)
+    if END not in words:  # more words than are known are more frequent
+        words, n = [END, *words], np.append(counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], n)
     c = Classes(kinds, buckets, {w: i for i, w in enumerate(words)}, np.zeros(len(words), np.int32), n, np.zeros(len(kinds) + buckets), np.zeros(len(kinds) + buckets, np.int64))
     c.class_of[:] = [c.of(w) for w in words]
     mine = counts.sparkSession.createDataFrame([(w,) for w in kinds], "word binary")
@@ -157,15 +162,57 @@ def classes_of(counts: DataFrame, own: int, buckets: int, known: int) -> Classes
     for row in rest.collect():
         c.weight[len(kinds) + row.bucket], c.types[len(kinds) + row.bucket] = row.n, row.types
     for w, k in kinds.items():
-        c.weight[k] = n[c.known[w]] if w in c.known else 0
+        c.weight[k] = n[c.known[w]]
     return c
 
 
-def train(docs: DataFrame, c: Classes, dim: int, batch: int = 1024, warm: int = 400_000) -> Model:
-    """One pass over all texts. Tasks start from one model, itself trained on the first ``warm`` tokens of one task."""
+def sizes_of(distinct: int) -> tuple[int, int]:
+    """How many classes of one word and of many there are, by the number of distinct words."""
+    root = max(distinct, 1) ** (1 / 3)
+    return round(10 * root), max(1, round(3 * root))
+
+
+def _by_fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of each fold in turn, in lists of about ``limit`` bytes that don't depend on where batches end."""
+    fold, held, size = None, [], 0
+    for batch in batches:
+        for own, text in zip(batch.column("fold").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            if held and (own != fold or size >= limit):
+                yield fold, held
+                held, size = [], 0
+            fold, size = own, size + len(text)
+            held.append(text)
+    if held:
+        yield fold, held
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``name, part, seen, vals`` of each name and group, from rows in order of name, group and part, weighted by tokens."""
+    last, first, n, total = None, 0, 0.0, None
+
+    def flush() -> pa.RecordBatch:
+        name, group = last
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([group], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["name", "part", "seen", "vals"])
+
+    for b in batches:
+        for name, group, seen, vals in zip(*(b.column(k).to_pylist() for k in ("name", "group", "seen", "vals")), strict=True):
+            if last is not None and (name, group) != last:
+                yield flush()
+                n, total = 0.0, None
+            x = seen * np.frombuffer(vals, np.float32).astype(np.float64)
+            last, n, total = (name, group), n + seen, x if total is None else total + x
+    if last is not None:
+        yield flush()
+
+
+def train(docs: DataFrame, c: Classes, dim: int, tokens: int, batch: int = 1024, warm: int = 400_000, fold: int = 4_000_000) -> Model:
+    """One pass over all texts, in folds of about ``fold`` of the ``tokens``. They start from one model, trained on ``warm`` tokens of fold 0."""
     spark = docs.sparkSession
     noise = np.maximum(c.weight, 0.5) / np.maximum(c.weight, 0.5).sum()
     shared = spark.sparkContext.broadcast(c)
+    folds = max(1, tokens // fold)
+    key = F.xxhash64("text", "doc_id")
+    dealt = docs.select("text", F.pmod(key, F.lit(folds)).cast("int").alias("fold"), F.xxhash64("doc_id", "text").alias("key"))
 
     def triples(texts: list[bytes], seed: int) -> Iterator[NDArray]:
         parts = [np.concatenate([[0, 0], shared.value.tokens(t)[2]]) for t in texts]
@@ -174,65 +221,82 @@ def train(docs: DataFrame, c: Classes, dim: int, batch: int = 1024, warm: int =
         yield from (rows[i : i + batch] for i in range(0, len(rows), batch))
 
     def run(begin: Model, most: int | None):
+        def result(at: int, trainer: Trainer) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(NAMES), pa.array([at] * len(NAMES), pa.int64()), pa.array([float(trainer.seen)] * len(NAMES)), pa.array([trainer.m[k].tobytes() for k in NAMES], pa.binary())], ["name", "part", "seen", "vals"])
+
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(begin, noise)
-            for turn, piece in enumerate(pieces(batches, limit=2 << 20)):
-                for rows in triples(as_bytes(piece.column("text")), turn):
-                    if most is None or trainer.seen < most:
-                        trainer.step(rows[:, 0], rows[:, 1], rows[:, 2])
-            if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array(NAMES), pa.array([float(trainer.seen)] * len(NAMES)), pa.array([trainer.m[k].tobytes() for k in NAMES], pa.binary())], ["name", "seen", "vals"])
+            at, trainer, turn = None, None, 0
+            for own, texts in _by_fold(batches, 2 << 20):
+                if own != at:
+                    if trainer is not None:
+                        yield result(at, trainer)
+                    at, trainer, turn = own, Trainer(begin, noise), 0
+                if most is None or trainer.seen < most:
+                    for rows in triples(texts, turn):
+                        if most is None or trainer.seen < most:
+                            trainer.step(rows[:, 0], rows[:, 1], rows[:, 2])
+                turn += 1
+            if trainer is not None:
+                yield result(at, trainer)
 
         return fit
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[float, NDArray]] = {}
-        for b in batches:
-            for name, seen, vals in zip(*(b.column(k).to_pylist() for k in ("name", "seen", "vals")), strict=True):
-                n, total = sums.get(name, (0.0, 0.0))
-                sums[name] = (n + seen, total + seen * np.frombuffer(vals, np.float32).astype(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([n for n, _ in sums.values()], pa.float64()), pa.array([(t / n).astype(np.float32).tobytes() for n, t in sums.values()], pa.binary())], ["name", "seen", "vals"])
-
-    schema = "name string, seen double, vals binary"
+    schema = "name string, part long, seen double, vals binary"
     model = Model.start(noise, dim)
     for most in (warm, None):
         begin = model
-        texts = docs.select("text").limit(5000).repartition(1) if most else docs.select("text")
-        found = texts.mapInArrow(run(begin, most), schema).repartition(len(NAMES), "name").mapInArrow(average, schema)
-        model = Model(begin) | {r.name: np.frombuffer(r.vals, np.float32).reshape(begin[r.name].shape) for r in found.collect()}
-        model = Model(model)
+        texts = dealt.where("fold = 0").repartition(1) if most else dealt.repartition(folds, "fold")  # fold 0 is a bounded part
+        found = texts.sortWithinPartitions("fold", "key").mapInArrow(run(begin, most), schema)
+        step = 1
+        while step < folds:  # groups of up to 32 parts, then of groups
+            step *= 32
+            grouped = found.withColumn("group", F.floor(F.col("part") / 32).cast("long"))
+            found = grouped.repartition("name", "group").sortWithinPartitions("name", "group", "part").mapInArrow(_average, schema)
+        model = Model({r.name: np.frombuffer(r.vals, np.float32).reshape(begin[r.name].shape) for r in found.collect()} or begin)  # one row for each name
     return model
 
 
 class Scorer:
-    """Normalised class log-probabilities (natural); the normaliser of each context is worked out once."""
+    """Normalised class log-probabilities (natural). A context's normaliser is kept until another context takes its slot."""
+
+    SLOTS = 1 << 21
 
     def __init__(self, model: Model, size: int) -> None:
         self.m, self.size = model, size
-        self.z = np.full(size * size, np.nan, np.float32)
+        self.keys, self.z = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, np.float32)
+
+    def _normalisers(self, key: NDArray[np.int64]) -> NDArray[np.float32]:
+        m, (some, back) = self.m, np.unique(key, return_inverse=True)
+        slot = (some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        out = self.z[slot]
+        missing = np.flatnonzero(self.keys[slot] != some)
+        for at in np.array_split(missing, len(missing) // 4096 + 1):
+            s = m.predicted(some[at] // self.size, some[at] % self.size) @ m["t"].T + m["b"]
+            top = s.max(axis=1, initial=-np.inf)
+            out[at] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        self.keys[slot], self.z[slot] = some, out
+        return out[back]
 
     def classes(self, c1: NDArray, c2: NDArray, w: NDArray) -> NDArray[np.float64]:
-        m, key = self.m, c1.astype(np.int64) * self.size + c2
-        for some in np.array_split(missing := np.unique(key[np.isnan(self.z[key])]), len(missing) // 4096 + 1):
-            s = m.predicted(some // self.size, some % self.size) @ m["t"].T + m["b"]
-            top = s.max(axis=1, initial=-np.inf)
-            self.z[some] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return ((m.predicted(c1, c2) * m["t"][w]).sum(axis=1) + m["b"][w] - self.z[key]).astype(np.float64)
+        m = self.m
+        z = self._normalisers(c1.astype(np.int64) * self.size + c2)
+        return ((m.predicted(c1, c2) * m["t"][w]).sum(axis=1) + m["b"][w] - z).astype(np.float64)
 
 
-def report(docs: DataFrame, own: int = 768, buckets: int = 256, known: int = 200_000, dim: int = 16) -> DataFrame:
+def report(docs: DataFrame, own: int | None = None, buckets: int | None = None, known: int = 200_000, dim: int = 16) -> DataFrame:
     """Unigram and model log10 probabilities of each whole text.
 
-    own, buckets: classes of one word and of many; known: words whose counts go to all tasks, the counts of the others
-    being joined; dim: the length of class vectors.
+    own, buckets: classes of one word and of many (by the number of distinct words, see ``sizes_of``, if not given);
+    known: words whose counts go to all tasks, the counts of the others being joined; dim: the length of class vectors.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", _held().alias("held_out"))
     training = docs.where("NOT held_out")
     counts = cut(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    c = classes_of(counts, own, buckets, known)
-    model = train(training, c, dim)
+    most = sizes_of(v)
+    c = classes_of(counts, own or most[0], buckets or most[1], known)
+    model = train(training, c, dim, n)
     shared = spark.sparkContext.broadcast((c, model))
     base_down = np.log10(n + 0.5 * (v + 1))
     schema = "doc_id long, held_out boolean, row long, word binary, times long, n_tokens long, n_known long, base double, model double"

@@ -73,13 +73,28 @@ def test_language_model_beats_counts(spark: SparkSession, sf: str) -> None:
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_in_any_partitions(spark: SparkSession, sf: str, odd: DataFrame, monkeypatch) -> None:
+    """The same rows, and some that repeat, give the same scores however they are dealt; folds are many here."""
+    monkeypatch.setattr(lm_logbilinear.train, "__defaults__", (256, 2000, 3000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 7 = 0").select("doc_id", "text").unionByName(odd.where("doc_id < 4").select("doc_id", "text"))
+    docs = docs.unionByName(odd.where("doc_id = 1").select("doc_id", "text")).unionByName(odd.where("doc_id = 2").select((F.col("doc_id") * None).alias("doc_id"), "text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("2", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in lm_logbilinear.report(docs.repartition(int(n))).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r[:3] for r in found[0]] == [r[:3] for r in found[1]] and len(found[0]) == docs.count()
+    assert np.allclose([r[3] for r in found[0]], [r[3] for r in found[1]], rtol=1e-9)
+
+
 def test_language_model_is_normalised(spark: SparkSession) -> None:
     """Over all words of the vocabulary and one unseen, classes and words within them sum to one."""
     texts = ["the mill turns the wheel", "the wheel turns grain to flour", "flour and water make bread", "bread of the mill"] * 5
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     counts = lm_logbilinear.word_counts(docs).cache()
     c = lm_logbilinear.classes_of(counts, own=4, buckets=3, known=1000)
-    model = lm_logbilinear.train(docs, c, dim=4)
+    model = lm_logbilinear.train(docs, c, dim=4, tokens=120, fold=30)
     scorer, size = lm_logbilinear.Scorer(model, c.size), c.size
     for c1, c2 in ((0, 0), (1, 2), (size - 1, 3)):
         p = np.exp(scorer.classes(np.full(size, c1), np.full(size, c2), np.arange(size)))
