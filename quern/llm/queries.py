@@ -1,4 +1,4 @@
-"""The queries of this subpackage, each over its whole table, and the SQL that gives the same rows where SQL can."""
+"""The queries of this subpackage, each over its whole table; ``ORACLES`` has the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import ann_tree, bpe_segments, decontamination, jaccard_groups, lm_logbilinear, phrase_automata, quality_classifier, secret_scan, suffix_dedup, token_counts
 from quern.llm._common import table
+from quern.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +53,3 @@ def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_tree, op2_decontamination, op3_token_counts, op4_secret_scan, op5_lm_logbilinear, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups)}
-ORACLES: dict[str, str] = {}

@@ -162,3 +162,16 @@ def test_large_benchmarks_edit_alike(odd: DataFrame, spark) -> None:
         assert a == b
     kept = [tuple(r) for r in decontamination.drop_documents(docs, items, max_windows=0).where("doc_id IS NULL OR doc_id = 1 AND text LIKE 'c%'").collect()]
     assert sorted(map(repr, kept)) == sorted(map(repr, [(1, "clean text of its own"), (None, "clean"), (None, None)]))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_gives_the_same_rows(name: str, spark, sf: str) -> None:
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert got.columns == [c[0] for c in found.description]
+    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
