@@ -132,3 +132,54 @@ def test_quality_on_held_out_labels(spark: SparkSession, sf: str) -> None:
     won = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
     right = sum(r.predicted == r.quality for r in rows) / len(rows)
     assert won > 0.9 and right > 0.85, (won, right)
+
+
+def test_language_model_scores_by_definition(spark: SparkSession, odd: DataFrame, odd_rows: list) -> None:
+    """Each text's score, token by token, from the model's parameters and all counts."""
+    docs = odd.select("doc_id", "text").where("char_length(text) < 3000 OR text IS NULL")
+    training = docs.where(~lm_logbilinear._held())
+    counts = {bytes(r.word): r.n for r in lm_logbilinear.word_counts(training).collect()}
+    own, buckets = lm_logbilinear.sizes_of(len(counts))
+    table = lm_logbilinear.word_counts(training).cache()
+    c = lm_logbilinear.classes_of(table, own, buckets, known=30)
+    m = lm_logbilinear.train(training, c, 16, sum(counts.values()))
+    got = {r.doc_id: r for r in lm_logbilinear.report(docs, known=30).collect()}
+    weight: dict[int, list[int]] = {}
+    for w, n in counts.items():
+        weight.setdefault(c.of(w), []).append(n)
+    for doc, text in odd_rows:
+        if doc not in got:
+            continue
+        tokens = [*space_words((text or "").encode()), b" "]
+        total, before = 0.0, (0, 0)
+        for w in tokens:
+            k = c.of(w)
+            q = m["r"][before[1]] @ m["a1"] + m["r"][before[0]] @ m["a2"]
+            s = (m["t"] @ q + m["b"]).astype(np.float64)
+            total += (s[k] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10)
+            if k >= len(c.own):
+                inside = weight.get(k, [])
+                total += math.log10((counts.get(w, 0) + 0.5) / (sum(inside) + 0.5 * (len(inside) + 1)))
+            before = (before[1], k)
+        assert math.isclose(got[doc].score, total, rel_tol=1e-4), doc
+
+
+def test_quality_scores_by_definition(spark: SparkSession, odd: DataFrame, odd_rows: list) -> None:
+    """Each text's score from the weights, feature by feature; labels may have ids of any width, and repeat."""
+    from collections import Counter
+    from zlib import crc32
+
+    labels = spark.createDataFrame([(0, 1), (9, 1), (12, 0), (11, 0), (18, 1), (21, 0), (21, 1), (20, 1), (20, 1)], "doc_id int, quality int")
+    narrow = odd.where("doc_id < 100").withColumn("doc_id", F.col("doc_id").cast("int"))
+    model = quality_classifier.fit(narrow, labels.where(quality_classifier.remainder(F.col("doc_id"), 4) != 2))
+    got = {r.doc_id: r for r in quality_classifier.report(narrow, labels).collect()}
+    for doc, text in odd_rows:
+        if doc >= 100:
+            continue
+        h = [crc32(w) for w in quality_classifier.TOKEN.findall((text or "").encode().translate(quality_classifier.LOWER))]
+        h = [1 if i and h[i] == h[i - 1] else x for i, x in enumerate(h)]
+        grams = h + [h[i - 1] * 0x100000001B3 & (1 << 64) - 1 ^ h[i] for i in range(1, len(h))]
+        slots = Counter((g * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - model.bits for g in grams)
+        norm = math.sqrt(sum(n * n for n in slots.values()))
+        x = sum(model.weights[s] * n / norm for s, n in slots.items()) + model.weights[-1]
+        assert math.isclose(got[doc].score, 1 / (1 + math.exp(-x)), rel_tol=1e-9) and got[doc].predicted == (got[doc].score >= 0.7), doc
