@@ -226,3 +226,33 @@ def warnings(docs: DataFrame) -> DataFrame:
 def captioned_figures(heads: DataFrame) -> DataFrame:
     """``doc_id, n``: how many figures (not tables) the captions of each document name, every label once."""
     return heads.groupBy("doc_id").agg(F.count_distinct(F.when(~F.col("is_table"), F.col("label"))).alias("n"))
+
+
+#: Fixed texts: the label of a figure without one, headings of a paper's text.
+UNLABELLED, PAGE_HEAD, CAPTIONS_HEAD = "未识别编号", "\n\n===== Page {} =====\n\n", "\n\n===== 检测到的图表题注 =====\n"
+
+
+def manifest(found: DataFrame) -> DataFrame:
+    """``doc_id, place`` (from 1)``, file, page`` (from 1)``, label, caption, source, rect_pt`` of ``figures``, by page, top and left.
+
+    Figures that tie there are told apart by their other edges and their label.
+    """
+    order = W.partitionBy("doc_id").orderBy("page", F.bround("y0", 0), "x0", "y0", "x1", "y1", "label")  # a document's figures
+    place = F.row_number().over(order)
+    file = F.concat(F.lit("figures/fig_"), F.lpad(F.col("place").cast("string"), 3, "0"), F.lit("_p"), F.col("page"), F.lit(".png"))
+    rows = found.select("doc_id", place.alias("place"), (F.col("page") + 1).alias("page"), F.coalesce("label", F.lit(UNLABELLED)).alias("label"), F.coalesce("caption", F.lit("")).alias("caption"), F.when(F.col("cover") > 0.5, "raster").otherwise("vector").alias("source"), F.array(*[F.bround(c, 1) for c in BOX]).alias("rect_pt"))
+    return rows.select("doc_id", "place", file.alias("file"), "page", "label", "caption", "source", "rect_pt")
+
+
+def paper_text(blocks: DataFrame) -> DataFrame:
+    """``doc_id, text``: the blocks' text page by page under headings, then all captions by page and block."""
+    text = F.coalesce("text", F.lit(""))
+    lines = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "block", rows.alias("line")))), lambda x: x["line"]), "\n")
+    head, tail = PAGE_HEAD.split("{}")
+    pages = blocks.groupBy("doc_id", "page").agg(lines(text).alias("body"))
+    pages = pages.select("doc_id", "page", F.concat(F.lit(head), F.col("page") + 1, F.lit(tail), "body").alias("body"))
+    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "body"))), lambda x: x["body"]), "").alias("body"))
+    heads = captions(blocks)
+    line = F.concat(F.lit("[Page "), F.col("page") + 1, F.lit("] "), "label", F.lit(": "), "caption")
+    listed = heads.groupBy("doc_id").agg(F.concat(lines(line), F.lit("\n")).alias("captions"))
+    return whole.join(listed, "doc_id", "left").select("doc_id", F.concat("body", F.lit(CAPTIONS_HEAD), F.coalesce("captions", F.lit(""))).alias("text"))

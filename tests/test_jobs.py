@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
-from quern.plans import audio_jobs, tasks
+from quern.plans import audio_jobs, paper_jobs, tasks
 from quern.sources.audio import wav16
 
 TASKS = {
@@ -100,3 +100,18 @@ def test_features_to_files(spark: SparkSession, folder: Path, tmp_path: Path) ->
     assert table["a.wav"]["duration_s"] == "1.0" and abs(float(table["a.wav"]["peak_freq_hz"]) - 440) < 8 and set(table["a.wav"]) == {"file", "duration_s", "rms_db", "peak_freq_hz", "zcr"}
     with pytest.raises(ValueError, match="unknown features"):
         audio_jobs.features(spark, str(folder), str(out), ("nothing",))
+
+
+def test_papers_to_files(spark: SparkSession, tmp_path: Path) -> None:
+    pages = spark.createDataFrame([(7, 0, 600.0, 800.0), (8, 0, 600.0, 800.0)], "doc_id long, page int, width double, height double")
+    boxes = spark.createDataFrame([(7, 0, "image", 300.0, 600.2, 500.0, 750.0), (7, 0, "image", 50.0, 100.4, 250.0, 250.0)], "doc_id long, page int, kind string, x0 double, y0 double, x1 double, y1 double")
+    blocks = spark.createDataFrame([(7, 0, 0, 50.0, 20.0, 250.0, 60.0, "Title of it", 20.0, False), (7, 0, 1, 50.0, 255.0, 250.0, 270.0, "Figure 1. Left", 9.0, False), (7, 0, 2, 50.0, 300.0, 250.0, 320.0, "body", 9.0, False), (8, 0, 0, 1.0, 1.0, 9.0, 9.0, "thin", 9.0, False)], "doc_id long, page int, block int, x0 double, y0 double, x1 double, y1 double, text string, max_size double, all_bold boolean")
+    paper_jobs.write(pages, boxes, blocks, str(tmp_path))
+    got = json.loads((tmp_path / "7" / "figures_manifest.json").read_text())
+    assert [(f["file"], f["label"], f["source"], f["page"]) for f in got] == [("figures/fig_001_p1.png", "Figure 1", "raster", 1), ("figures/fig_002_p1.png", "未识别编号", "raster", 1)]
+    assert got[0]["rect_pt"] == [50.0, 100.4, 250.0, 250.0] and json.loads((tmp_path / "8" / "figures_manifest.json").read_text()) == []
+    assert (tmp_path / "7" / "paper_outline.txt").read_text() == "[Page 1 | 20.0pt] Title of it\n" and not (tmp_path / "8" / "paper_outline.txt").exists()
+    assert (tmp_path / "7" / "paper_text.txt").read_text() == "\n\n===== Page 1 =====\n\nTitle of it\nFigure 1. Left\nbody\n\n===== 检测到的图表题注 =====\n[Page 1] Figure 1: Figure 1. Left\n"
+    found = {r.doc_id: r for r in paper_jobs.summary(pages, boxes, blocks).collect()}
+    assert (found[7].figure_count, found[7].captions_found, found[7].warnings) == (2, 1, ["little-text"])
+    assert (found[8].figure_count, found[8].text_chars, found[8].warnings) == (0, 4, ["little-text", "no-figures"])

@@ -108,3 +108,28 @@ def test_audit_summary(spark: SparkSession) -> None:
     r = signals.audit_summary(rows).first()
     assert (r.n_audio, r.n_flagged, r.n_errors) == (4, 2, 1)
     assert [tuple(x) for x in r.flagged] == [("a", ["y"]), ("b", ["x"])] and [tuple(x) for x in r.errors] == [("c", "bad")]
+
+
+def test_cepstra_by_definition() -> None:
+    """Mel triangles, logarithms and the cosine transform, coefficient by coefficient."""
+    from quern.functions import kernels
+
+    rng = np.random.default_rng(2)
+    for sr in (8000, 16000):
+        x = rng.normal(0, 0.1, 3000)
+        power = kernels.power_spectrum(x)
+        assert power.shape == (8, 513)
+        frame = x[256 : 256 + 1024] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(1024) / 1023))
+        direct = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(1024) / 1024))) ** 2 for k in (0, 7, 512)]
+        assert np.allclose(power[1, [0, 7, 512]], direct)
+        mel = lambda f: 2595 * np.log10(1 + f / 700)
+        top = min(7800.0, sr / 2)
+        edges = [int(np.floor(1025 * 700 * (10 ** ((mel(50.0) + i * (mel(top) - mel(50.0)) / 27) / 2595) - 1) / sr)) for i in range(28)]
+        logs = np.zeros((8, 26))
+        for t in range(8):
+            for b in range(26):
+                low, mid, high = edges[b : b + 3]
+                total = sum(power[t, k] * (k - low) / (mid - low) for k in range(low, mid)) + sum(power[t, k] * (high - k) / (high - mid) for k in range(mid, high))
+                logs[t, b] = np.log(total + 1e-12)
+        want = [np.mean([np.sqrt(2 / 26) * sum(logs[t, i] * np.cos(np.pi * k * (2 * i + 1) / 52) for i in range(26)) for t in range(8)]) for k in range(1, 14)]
+        assert np.allclose(kernels.cepstrum(power, sr), want)
