@@ -19,6 +19,7 @@ rounding.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -128,7 +129,7 @@ def word_counts(docs: DataFrame, keep: int = 300_000) -> DataFrame:
     """``word, n``: how often each token stands in the texts, ends included. A task holds ``keep`` words or so at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
@@ -137,9 +138,8 @@ def word_counts(docs: DataFrame, keep: int = 300_000) -> DataFrame:
 
         for piece in pieces(batches):
             for text in as_bytes(piece.column("text")):
-                for word in space_words(text):
-                    held[word] = held.get(word, 0) + 1
-                held[END] = held.get(END, 0) + 1
+                held.update(space_words(text))
+                held[END] += 1
             if len(held) >= keep:
                 yield flush()
         yield flush()
@@ -169,7 +169,7 @@ def classes_of(counts: DataFrame, own: int, buckets: int, known: int) -> Classes
 def sizes_of(distinct: int) -> tuple[int, int]:
     """How many classes of one word and of many there are, by the number of distinct words."""
     root = max(distinct, 1) ** (1 / 3)
-    return round(10 * root), max(1, round(3 * root))
+    return max(2, round(5 * root)), max(1, round(1.5 * root))
 
 
 def _by_fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -257,25 +257,32 @@ def train(docs: DataFrame, c: Classes, dim: int, tokens: int, batch: int = 1024,
 
 
 class Scorer:
-    """Normalised class log-probabilities (natural). A context's normaliser is kept until another context takes its slot."""
+    """Normalised class log-probabilities (natural). A context's normaliser is kept until another context takes its slot.
 
-    SLOTS = 1 << 21
+    A Python worker has one for all its tasks; up to 2,048 classes each context has a slot of its own.
+    """
+
+    SLOTS = 1 << 22
 
     def __init__(self, model: Model, size: int) -> None:
         self.m, self.size = model, size
         self.keys, self.z = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, np.float32)
 
     def _normalisers(self, key: NDArray[np.int64]) -> NDArray[np.float32]:
-        m, (some, back) = self.m, np.unique(key, return_inverse=True)
-        slot = (some.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        m, slot = self.m, key % self.SLOTS
         out = self.z[slot]
-        missing = np.flatnonzero(self.keys[slot] != some)
-        for at in np.array_split(missing, len(missing) // 4096 + 1):
-            s = m.predicted(some[at] // self.size, some[at] % self.size) @ m["t"].T + m["b"]
-            top = s.max(axis=1, initial=-np.inf)
-            out[at] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        self.keys[slot], self.z[slot] = some, out
-        return out[back]
+        missing = np.flatnonzero(self.keys[slot] != key)
+        some, back = np.unique(key[missing], return_inverse=True)
+        z = np.empty(len(some), np.float32)
+        for lo in range(0, len(some), 4096):
+            at = some[lo : lo + 4096]
+            s = m.predicted(at // self.size, at % self.size) @ m["t"].T + m["b"]
+            top = s.max(axis=1)
+            s -= top[:, None]
+            z[lo : lo + 4096] = top + np.log(np.exp(s, out=s).sum(axis=1))
+        self.keys[some % self.SLOTS], self.z[some % self.SLOTS] = some, z
+        out[missing] = z[back]
+        return out
 
     def classes(self, c1: NDArray, c2: NDArray, w: NDArray) -> NDArray[np.float64]:
         m = self.m
@@ -303,7 +310,9 @@ def report(docs: DataFrame, own: int | None = None, buckets: int | None = None,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, model = shared.value
-        scorer, down = Scorer(model, c.size), c.within()
+        if not hasattr(model, "scorer"):  # the worker's own copy of the model
+            model.scorer = Scorer(model, c.size)
+        scorer, down = model.scorer, c.within()
         log, many = np.log10(c.counts + 0.5), len(c.own)
         for piece in pieces(batches, limit=2 << 20):
             parts = [c.tokens(t) for t in as_bytes(piece.column("text"))]
