@@ -18,8 +18,11 @@ def accuracy(samples: DataFrame) -> DataFrame:
     return _pairs(samples).agg(rounded(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).alias("accuracy"))
 
 
-def confusion(samples: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """``y_true, y_pred, n`` for every pair of labels, zeros too; a label outside ``labels`` is an error."""
+def confusion(samples: DataFrame, labels: list[str] | None = None, dense: bool = True) -> DataFrame:
+    """``y_true, y_pred, n`` for every pair of labels, zeros too; a label outside ``labels`` is an error.
+
+    With many classes the zeros are most of the rows; without ``dense`` only pairs that occur are given.
+    """
     counts = _pairs(samples).groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
     if labels is None:
         names = counts.select(F.col("y_true").alias("label")).union(counts.select("y_pred")).distinct()
@@ -29,6 +32,8 @@ def confusion(samples: DataFrame, labels: list[str] | None = None) -> DataFrame:
         bad = F.raise_error(F.concat(F.lit("label not listed: "), F.when(F.array_contains(known, F.col("y_true")), F.col("y_pred")).otherwise(F.col("y_true"))))
         counts = counts.withColumn("n", F.when(F.array_contains(known, F.col("y_true")) & F.array_contains(known, F.col("y_pred")), F.col("n")).otherwise(bad.cast("long")))
         counts = counts.where("n > 0")
+    if not dense:
+        return counts
     zero = F.lit(0).cast("long").alias("n")
     # every label meets every other: the square of the number of classes, which is the result's own size
     grid = names.select(F.col("label").alias("y_true"), F.lit(1).alias("_")).join(names.select(F.col("label").alias("y_pred"), F.lit(1).alias("_")), "_").select("y_true", "y_pred", zero)

@@ -115,6 +115,21 @@ def features(signals: DataFrame, wanted: tuple[str, ...] = ("duration", "peak_fr
     return signals.select("path", "sr", "samples").mapInArrow(run, ", ".join(["path string", *[f"{c} double" for c in columns]]))
 
 
+def spectra(signals: DataFrame, n_fft: int = 1024, hop: int = 256) -> DataFrame:
+    """``path, frame, centroid, rolloff, peak, band`` in Hz of each signal's overlapping frames."""
+    names = ("centroid", "rolloff", "peak", "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, sr, x in zip(batch.column("path").to_pylist(), batch.column("sr").to_pylist(), batch.column("samples"), strict=True):
+                shape = kernels.spectral_shape(kernels.power_spectrum(np.asarray(x.values.to_numpy(), np.float64), n_fft, hop), sr, n_fft)
+                n = len(shape["peak"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), *[pa.array(shape[c].astype(np.float64)) for c in names]], ["path", "frame", *names])
+
+    known = signals.where("sr IS NOT NULL AND samples IS NOT NULL").select("path", "sr", "samples")
+    return known.mapInArrow(run, "path string, frame int, " + ", ".join(f"{c} double" for c in names))
+
+
 def crossing_rate(signals: DataFrame) -> DataFrame:
     """``path, zcr``: the mean change of sign between neighbours (a crossing counts 2), in expressions alone."""
     pairs = F.zip_with(F.slice("samples", 2, F.size("samples")), F.slice("samples", 1, F.size("samples") - 1), lambda a, b: F.abs(F.signum(a) - F.signum(b)))

@@ -189,6 +189,16 @@ def zcr_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.crossing_rate(t.vector_signals(spark, sf_dir))
 
 
+SPECTRA = """v AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 63)) AS x FROM embeddings, range(1, 65) r(i)),
+ f AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * k * i / 64)), 2) + pow(sum(x * sin(2 * pi() * k * i / 64)), 2) AS p FROM v, range(33) q(k) GROUP BY ALL),
+ c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY k) AS up, sum(p) OVER (PARTITION BY vec_id) AS total FROM f)"""
+
+
+@query(f"WITH {SPECTRA} SELECT vec_id::VARCHAR AS path, 0 AS frame, round_even(sum(k * p) / sum(p), 4) AS centroid, (min(k) FILTER (up >= 0.85 * total))::DOUBLE AS rolloff, arg_max(k, p)::DOUBLE AS peak, (min(k) FILTER (up >= 0.95 * total) - min(k) FILTER (up >= 0.05 * total))::DOUBLE AS band FROM c GROUP BY vec_id")
+def dft_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.spectra(t.vector_signals(spark, sf_dir), 64, 64).withColumn("centroid", rounded("centroid", 4))
+
+
 CHUNKS = "x AS (SELECT user_id::VARCHAR AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value / 500)::FLOAT::DOUBLE AS v FROM events), c AS (SELECT CASE WHEN i < 4096 THEN u ELSE u || '-' || i // 4096 END AS path, i % 4096 AS i, v FROM x)"
 
 

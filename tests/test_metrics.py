@@ -31,6 +31,7 @@ def test_classification(spark: SparkSession) -> None:
     assert one(classification.accuracy(s)) == (0.5,)
     assert sorted(map(tuple, classification.per_class(s).collect())) == [("A", 0.5, 1.0, 0.666667, 1), ("B", 0.0, 0.0, 0.0, 1)]
     assert sorted(map(tuple, classification.confusion(s).collect())) == [("A", "A", 1), ("A", "B", 0), ("B", "A", 1), ("B", "B", 0)]
+    assert sorted(map(tuple, classification.confusion(s, dense=False).collect())) == [("A", "A", 1), ("B", "A", 1)]
     assert one(classification.macro_f1(s)) == (0.333334,)  # bround half even of 0.3333335
     with pytest.raises(Exception, match="label not listed"):
         classification.confusion(s, ["A"]).collect()
