@@ -39,6 +39,8 @@ from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
 from quern.llm._components import components
 
 U64 = NDArray[np.uint64]
+#: Bytes of text whose shingles a task holds at a time, apart from a longer text.
+PIECE = 1 << 20
 
 
 def shingles(text: bytes, n: int) -> U64:
@@ -79,7 +81,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, key`` (128 bits of the set; null if empty)``, prefix`` (its least tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE):
             sets = [shingles(t, n) for t in as_bytes(piece.column("text"))]
             keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), keys, _lists([s[: spare(len(s), percent)[0]] for s in sets])], ["doc_id", "n_shingles", "key", "prefix"])
@@ -92,7 +94,7 @@ def _tokens(docs: DataFrame, bits: U64, n: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(batches, limit=PIECE):
             sets = [shingles(t, n) for t in as_bytes(piece.column("text"))]
             keep = []
             for i, s in enumerate(sets):
