@@ -22,10 +22,12 @@ OP2 = f"""WITH d AS (SELECT doc_id, {_ALNUM} AS t FROM documents),
  SELECT doc_id, len(t) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 OP7 = f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
- p AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d),
- w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM p),
- first AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
- hit AS (SELECT doc_id, i FROM w JOIN first USING (s) WHERE f < doc_id),{_SPANS.format(n=50)},
+ part AS (SELECT doc_id, j, substr(h, 400 * j + 1, 498) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 400 + 1)) AS j FROM d)),
+ w AS (SELECT doc_id, j, i, hash(substr(g, 2 * i - 1, 100)) AS k FROM (SELECT doc_id, j, g, unnest(range(1, least(length(g) // 2 - 48, 201))) AS i FROM part)),
+ again AS (SELECT k FROM w GROUP BY k HAVING min(doc_id) < max(doc_id)),
+ c AS (SELECT doc_id, 200 * j + i AS i, substr(g, 2 * i - 1, 100) AS s FROM w SEMI JOIN again USING (k) JOIN part USING (doc_id, j)),
+ first AS (SELECT s, min(doc_id) AS f FROM c GROUP BY s),
+ hit AS (SELECT doc_id, i FROM c JOIN first USING (s) WHERE f < doc_id),{_SPANS.format(n=50)},
  kept AS (SELECT doc_id, string_agg(substr(h, 2 * x - 1, 2 * (y - x)), '' ORDER BY x) AS k FROM edge JOIN d USING (doc_id) GROUP BY doc_id),
  gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM span GROUP BY doc_id)
  SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)"""
