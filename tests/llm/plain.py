@@ -114,3 +114,19 @@ def unigram(docs: list[Doc]) -> list[tuple]:
     total = sum(counts.values())
     down = total + 0.5 * (len(counts) + 1)
     return [(d, held[d], len(ws), sum(counts[w] > 0 for w in ws), total, sum(math.log10((counts[w] + 0.5) / down) for w in ws)) for d, ws in tokens.items()]
+
+
+def fill_in_middle(docs: list[Doc], seed: int = 42, rate: int = 50, spm: int = 80) -> list[tuple]:
+    out = []
+    for doc, text in docs:
+        t = text or ""
+        units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+        h = [int(sha(f"{seed}:{doc}")[i : i + 8], 16) for i in (0, 8, 16, 24)]
+        a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+            out.append((doc, len(units), "plain", None, None, sha(t), sha(t)))
+        else:
+            form, o = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < spm else ("psm", f"<P>{p}<S>{s}<M>{m}")
+            out.append((doc, len(units), form, len(p), len(m), sha(o), sha(t)))
+    return out

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from quern.llm import bpe_segments, decontamination, jaccard_groups, lm_logbilinear, phrase_automata, queries, secret_scan, suffix_dedup, token_counts
+from quern.llm import bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, queries, secret_scan, suffix_dedup, token_counts
 
 from . import plain
 
@@ -37,6 +37,8 @@ def encoded(docs: list) -> list[tuple]:
 
 ITEMS = [(1, "corn meal stone mill water wheel grain flour sack miller river bread oven loaf crust"), (2, "Two words"), (3, None), (4, ""), (30, "two words"), (5, "é" * 120)]
 CASES = {
+    "fill_in_middle": (fill_in_middle.report, plain.fill_in_middle, 7),
+    "fill_in_middle, all cut": (lambda d: fill_in_middle.report(d, rate=100, spm=30, seed=7), lambda d: plain.fill_in_middle(d, 7, 100, 30), 7),
     "token_counts": (lambda d: token_counts.report(d, BYTE), counted, 4),
     "secret_scan": (secret_scan.report, plain.base_secrets, 5),
     "suffix_dedup": (suffix_dedup.report, plain.byte_repeats, 5),
