@@ -134,7 +134,8 @@ def transformed(docs: DataFrame, rate: int = 50, spm: int = 80, seed: int = 42)
             new = pa.array([m[4].decode() if ok else None for m, ok in zip(made, there, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in names], new, pa.array([m[1] for m in made], pa.string())], [*names, "fim_text", "fim_form"])
 
-    schema = kept.select("*", F.lit("").alias("fim_text"), F.lit("").alias("fim_form")).schema
+    none = F.lit(None).cast("string")
+    schema = kept.select("*", none.alias("fim_text"), none.alias("fim_form")).schema
     return kept.select("*", F.col("doc_id").cast("long").alias("_id")).mapInArrow(run, schema)
 
 
