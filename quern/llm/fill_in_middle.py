@@ -130,13 +130,14 @@ def transformed(docs: DataFrame, rate: int = 50, spm: int = 80, seed: int = 42)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             there = piece.column("text").is_valid().to_pylist()
-            made = list(_examples(piece.column("_id").to_pylist(), as_bytes(piece.column("text")), rate, spm, seed))
+            ids = [None if x is None else int(x) for x in piece.column("doc_id").to_pylist()]
+            made = list(_examples(ids, as_bytes(piece.column("text")), rate, spm, seed))
             new = pa.array([m[4].decode() if ok else None for m, ok in zip(made, there, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in names], new, pa.array([m[1] for m in made], pa.string())], [*names, "fim_text", "fim_form"])
 
     none = F.lit(None).cast("string")
     schema = kept.select("*", none.alias("fim_text"), none.alias("fim_form")).schema
-    return kept.select("*", F.col("doc_id").cast("long").alias("_id")).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, rate: int = 50, spm: int = 80, seed: int = 42) -> DataFrame:
