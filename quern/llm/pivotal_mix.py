@@ -67,7 +67,8 @@ def _step(state: Column, item: Column) -> Column:
     a, b = state["open"], item
     up = F.least(a["size"] - a["mass"], b["mass"])  # to the open one: until it is whole or the other is none
     down = F.least(a["mass"], b["size"] - b["mass"])
-    rise = item["draw"] * (up + down) < down
+    odds = F.shiftrightunsigned(F.xxhash64(item["draw"]), 11) / F.lit(float(1 << 53))  # the draw itself gave the order
+    rise = odds * (up + down) < down
     filled = rise & (a["size"] - a["mass"] <= b["mass"])  # the open one is whole
     emptied = rise & (a["size"] - a["mass"] > b["mass"])  # the other is none
     gone = ~rise & (a["mass"] <= b["size"] - b["mass"])  # the open one is none
