@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import ann_tree, bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, pivotal_mix, quality_classifier, secret_scan, suffix_dedup, token_counts
+from quern.llm import ann_tree, bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, pivotal_mix, quality_classifier, secret_scan, source_divergence, suffix_dedup, token_counts
 from quern.llm._common import table
 from quern.llm.oracles import ORACLES  # noqa: F401
 
@@ -52,6 +52,10 @@ def op10_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op13_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_tree, op2_decontamination, op3_token_counts, op4_secret_scan, op5_lm_logbilinear, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups, op12_fill_in_middle, op13_pivotal_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann_tree, op2_decontamination, op3_token_counts, op4_secret_scan, op5_lm_logbilinear, op6_quality_classifier, op7_suffix_dedup, op8_phrase_automata, op9_bpe_segments, op10_jaccard_groups, op11_source_divergence, op12_fill_in_middle, op13_pivotal_mix)}

@@ -130,3 +130,26 @@ def fill_in_middle(docs: list[Doc], seed: int = 42, rate: int = 50, spm: int = 8
             form, o = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < spm else ("psm", f"<P>{p}<S>{s}<M>{m}")
             out.append((doc, len(units), form, len(p), len(m), sha(o), sha(t)))
     return out
+
+
+def divergence(docs: list[tuple], least: int = 3, top: int = 200) -> list[tuple]:
+    """docs: text, lang, source."""
+    terms = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(UPPER))) for text, lang, source in docs]
+    out = []
+    for lang in {x[0] for x in terms}:
+        of = Counter(t for x, _, ws in terms if x == lang for t in set(ws))
+        kept = sorted(t for t, n in of.items() if n >= least)
+        groups: dict[str, Counter] = defaultdict(Counter)
+        for x, source, ws in terms:
+            if x == lang:
+                groups[source].update(w for w in ws if of[w] >= least)
+        share = lambda c, t: 1 + 10**9 * (c[t] + 1) // (c.total() + len(kept))  # noqa: B023, E731
+        gap = lambda p, q: (p - q) ** 2 // q
+        everything = sum(groups.values(), Counter())
+        for source, c in groups.items():
+            pair = [(other, sum(gap(share(c, t), share(d, t)) for t in kept)) for other, d in groups.items() if other != source]
+            term = [(t, gap(share(c, t), share(everything, t))) for t in kept if c[t] and share(c, t) > share(everything, t)]
+            for part, items, limit in (("pair", pair, None), ("term", term, top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:limit]
+                out += [(lang, source, part, item, value, k) for k, (item, value) in enumerate(ranked, 1)]
+    return out
