@@ -13,8 +13,8 @@ too.
 
 Defined results: null texts are empty and score their end alone; rows keep one result each; rows without an id teach
 and are not held out; rows that repeat teach as often as they stand there and get equal results; without training texts
-all counts are 0; other columns are ignored. The same rows give the same scores, up to the last digits of a sum's
-rounding.
+all counts are 0; other columns are ignored. The same rows give the same scores, and equal texts equal ones to the
+last bit, however they are dealt (``Exact``).
 """
 
 from __future__ import annotations
@@ -103,17 +103,29 @@ class Trainer:
         r1, r2 = m["r"][c1], m["r"][c2]
         q, tw, td = r1 @ m["a1"] + r2 @ m["a2"], m["t"][w], m["t"][drawn]
         up = (1 / (1 + np.exp(np.clip((q * tw).sum(axis=1) + m["b"][w] - self.noise[w], -30, 30)))).astype(np.float32)
-        down = (1 / (1 + np.exp(-np.clip(q @ td.T + m["b"][drawn] - self.noise[drawn], -30, 30)))).astype(np.float32)
+        down = q @ td.T
+        down += m["b"][drawn] - self.noise[drawn]
+        np.exp(np.negative(np.clip(down, -30, 30, out=down), out=down), out=down)
+        down += 1
+        np.reciprocal(down, out=down)
         dq = up[:, None] * tw - down @ td
-        self._put("t", np.concatenate([w, drawn]), np.concatenate([up[:, None] * q, -(down.T @ q)]))
-        self._put("b", np.concatenate([w, drawn]), np.concatenate([up, -down.sum(axis=0)]))
-        self._put("r", np.concatenate([c1, c2]), np.concatenate([dq @ m["a1"].T, dq @ m["a2"].T]))
+        targets, context = self._places(np.concatenate([w, drawn])), self._places(np.concatenate([c1, c2]))
+        self._put("t", targets, np.concatenate([up[:, None] * q, -(down.T @ q)]))
+        self._put("b", targets, np.concatenate([up, -down.sum(axis=0)]))
+        self._put("r", context, np.concatenate([dq @ m["a1"].T, dq @ m["a2"].T]))
         for name, r in (("a1", r1), ("a2", r2)):
             self._move(name, slice(None), r.T @ dq)
 
-    def _put(self, name: str, at: NDArray, g: Floats) -> None:
+    def _places(self, at: NDArray) -> tuple[NDArray, NDArray, NDArray]:
+        """An order that brings equal classes together, where each begins in it, and the classes."""
+        at = at.astype(np.uint16) if len(self.noise) <= 1 << 16 else at  # short numbers sort much faster
         order = np.argsort(at, kind="stable")
-        rows, first = np.unique(at[order], return_index=True)
+        rows = at[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        return order, first, rows[first]
+
+    def _put(self, name: str, places: tuple[NDArray, NDArray, NDArray], g: Floats) -> None:
+        order, first, rows = places
         self._move(name, rows, np.add.reduceat(g[order], first, axis=0))
 
     def _move(self, name: str, at: NDArray | slice, g: Floats) -> None:
@@ -256,6 +268,32 @@ def train(docs: DataFrame, c: Classes, dim: int, tokens: int, batch: int = 1024,
     return model
 
 
+@dataclass
+class Exact:
+    """A model's parameters for scoring, as multiples of a power of two so coarse that no sum of products is rounded.
+
+    So a score is the same in whatever order, and beside whatever other rows, a matrix product adds up. The grid is set
+    by the largest parameters; it is finer than one part in a million for any that training gives.
+    """
+
+    first: NDArray[np.float64]
+    second: NDArray[np.float64]
+    target: NDArray[np.float64]
+    bias: NDArray[np.float64]
+
+    @classmethod
+    def of(cls, m: Model) -> Exact:
+        first, second = (m["r"].astype(np.float64) @ m[a].astype(np.float64) for a in ("a1", "a2"))
+        target, bias = m["t"].astype(np.float64), m["b"].astype(np.float64)
+        most = len(target.T) * max(np.abs(first).max() + np.abs(second).max(), 1e-9) * max(np.abs(target).max(), 1e-9) + np.abs(bias).max()
+        grid = 2.0 ** ((50 - int(np.ceil(np.log2(most)))) // 2)
+        on = lambda x, g: np.round(x * g) / g
+        return cls(on(first, grid), on(second, grid), on(target, grid), on(bias, grid * grid))
+
+    def predicted(self, c1: NDArray, c2: NDArray) -> NDArray[np.float64]:
+        return self.first[c1] + self.second[c2]
+
+
 class Scorer:
     """Normalised class log-probabilities (natural). A context's normaliser is kept until another context takes its slot.
 
@@ -264,7 +302,7 @@ class Scorer:
 
     SLOTS = 1 << 22
 
-    def __init__(self, model: Model, size: int) -> None:
+    def __init__(self, model: Exact, size: int) -> None:
         self.m, self.size = model, size
         self.keys, self.z = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, np.float32)
 
@@ -274,12 +312,12 @@ class Scorer:
         missing = np.flatnonzero(self.keys[slot] != key)
         some, back = np.unique(key[missing], return_inverse=True)
         z = np.empty(len(some), np.float32)
-        for lo in range(0, len(some), 4096):
-            at = some[lo : lo + 4096]
-            s = m.predicted(at // self.size, at % self.size) @ m["t"].T + m["b"]
+        for lo in range(0, len(some), 512):
+            at = some[lo : lo + 512]
+            s = m.predicted(at // self.size, at % self.size) @ m.target.T + m.bias
             top = s.max(axis=1)
-            s -= top[:, None]
-            z[lo : lo + 4096] = top + np.log(np.exp(s, out=s).sum(axis=1))
+            s = (s - top[:, None]).astype(np.float32)
+            z[lo : lo + 512] = top + np.log(np.exp(s, out=s).sum(axis=1))
         self.keys[some % self.SLOTS], self.z[some % self.SLOTS] = some, z
         out[missing] = z[back]
         return out
@@ -287,14 +325,15 @@ class Scorer:
     def classes(self, c1: NDArray, c2: NDArray, w: NDArray) -> NDArray[np.float64]:
         m = self.m
         z = self._normalisers(c1.astype(np.int64) * self.size + c2)
-        return ((m.predicted(c1, c2) * m["t"][w]).sum(axis=1) + m["b"][w] - z).astype(np.float64)
+        return np.einsum("ij,ij->i", m.predicted(c1, c2), m.target[w]) + m.bias[w] - z
 
 
 def report(docs: DataFrame, own: int | None = None, buckets: int | None = None, known: int = 200_000, dim: int = 16) -> DataFrame:
     """Unigram and model log10 probabilities of each whole text.
 
     own, buckets: classes of one word and of many (by the number of distinct words, see ``sizes_of``, if not given);
-    known: words whose counts go to all tasks, the counts of the others being joined; dim: the length of class vectors.
+    known: words whose counts go to all tasks, the counts of the others being joined; dim: the length of class vectors,
+    which does not follow the corpus as the number of classes does.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", _held().alias("held_out"))
@@ -304,7 +343,7 @@ def report(docs: DataFrame, own: int | None = None, buckets: int | None = None,
     most = sizes_of(v)
     c = classes_of(counts, own or most[0], buckets or most[1], known)
     model = train(training, c, dim, n)
-    shared = spark.sparkContext.broadcast((c, model))
+    shared = spark.sparkContext.broadcast((c, Exact.of(model)))
     base_down = np.log10(n + 0.5 * (v + 1))
     schema = "doc_id long, held_out boolean, row long, word binary, times long, n_tokens long, n_known long, base double, model double"
 
@@ -344,6 +383,7 @@ def report(docs: DataFrame, own: int | None = None, buckets: int | None = None,
     schema_names = [x.split()[0] for x in schema.split(", ")]
     found = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema)
     rare = F.log10(F.coalesce(counts.n, F.lit(0)) + 0.5) * F.col("times")
-    joined = found.join(counts, "word", "left").select("doc_id", "held_out", "row", "n_tokens", (F.col("n_known") + F.when(counts.n > 0, F.col("times")).otherwise(0)).alias("n_known"), (F.col("base") + rare).alias("base"), (F.col("model") + rare).alias("model"))
-    out = joined.groupBy("row", "doc_id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("model").alias("score"))
+    sums = lambda c: (F.col(c) + rare).cast("decimal(38,14)").alias(c)  # noqa: E731  decimals, whose sum does not depend on their order
+    joined = found.join(counts, "word", "left").select("doc_id", "held_out", "row", "n_tokens", (F.col("n_known") + F.when(counts.n > 0, F.col("times")).otherwise(0)).alias("n_known"), sums("base"), sums("model"))
+    out = joined.groupBy("row", "doc_id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").cast("double").alias("base_score"), F.sum("model").cast("double").alias("score"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -88,6 +88,32 @@ def test_language_model_in_any_partitions(spark: SparkSession, sf: str, odd: Dat
     assert np.allclose([r[3] for r in found[0]], [r[3] for r in found[1]], rtol=1e-9)
 
 
+def test_equal_texts_get_equal_scores(spark: SparkSession, sf: str, monkeypatch) -> None:
+    """Every text under two ids that are held out alike, far apart and beside other rows: the same to the last bit."""
+    monkeypatch.setattr(lm_logbilinear.train, "__defaults__", (256, 2000, 30000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    twice = docs.unionByName(docs.select((F.col("doc_id") + 1_000_003).alias("doc_id"), "text").repartition(5))
+    found: dict[int, list] = {}
+    for r in lm_logbilinear.report(twice).collect():
+        found.setdefault(r.doc_id % 1_000_003, []).append((r.n_tokens, r.n_known, r.base_score, r.score))
+    assert len(found) == docs.count() and all(len(x) == 2 and x[0] == x[1] for x in found.values())
+
+
+def test_exact_scores_in_any_company(spark: SparkSession) -> None:
+    """A context's normaliser and its scores do not depend on which others are worked out with it, nor on the order."""
+    rng = np.random.default_rng(6)
+    noise = rng.random(700)
+    model = lm_logbilinear.Model.start(noise / noise.sum(), 16, 3)
+    model["r"] *= 30
+    exact = lm_logbilinear.Exact.of(model)
+    c1, c2, w = rng.integers(0, 700, (3, 5000))
+    want = lm_logbilinear.Scorer(exact, 700).classes(c1, c2, w)
+    for size in (1, 7, 333):
+        scorer, order = lm_logbilinear.Scorer(exact, 700), rng.permutation(400)
+        got = np.concatenate([scorer.classes(c1[at], c2[at], w[at]) for at in np.array_split(order, -(-400 // size))])
+        assert np.array_equal(got, want[order])
+
+
 def test_language_model_is_normalised(spark: SparkSession) -> None:
     """Over all words of the vocabulary and one unseen, classes and words within them sum to one."""
     texts = ["the mill turns the wheel", "the wheel turns grain to flour", "flour and water make bread", "bread of the mill"] * 5
@@ -95,7 +121,7 @@ def test_language_model_is_normalised(spark: SparkSession) -> None:
     counts = lm_logbilinear.word_counts(docs).cache()
     c = lm_logbilinear.classes_of(counts, own=4, buckets=3, known=1000)
     model = lm_logbilinear.train(docs, c, dim=4, tokens=120, fold=30)
-    scorer, size = lm_logbilinear.Scorer(model, c.size), c.size
+    scorer, size = lm_logbilinear.Scorer(lm_logbilinear.Exact.of(model), c.size), c.size
     for c1, c2 in ((0, 0), (1, 2), (size - 1, 3)):
         p = np.exp(scorer.classes(np.full(size, c1), np.full(size, c2), np.arange(size)))
         assert math.isclose(p.sum(), 1.0, rel_tol=1e-5)
