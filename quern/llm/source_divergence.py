@@ -196,6 +196,7 @@ def report(docs: DataFrame, least: int = LEAST, top: int = TOP, heavy: int = HEA
     # one row for each language: the sizes of its groups in order, its terms, and how many of them are rare
     sizes = kept.select("lang", F.explode("list").alias("x")).groupBy("lang", "x.i").agg(F.sum("x.n").alias("size"))
     by_lang = groups.join(sizes, ["lang", "i"], "left").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("size", F.lit(0)).alias("size")))), lambda x: x["size"]).alias("sizes"))
+    by_lang = cut(by_lang)  # a table's size is known, so that terms need not be dealt by their language
     is_heavy = F.size("list").cast("long") * heavy >= F.size("sizes")
     split = kept.join(by_lang, "lang").groupBy("lang").agg(F.count("*").alias("terms"), F.count_if(is_heavy).alias("heavy"), F.sum("total").alias("all"))
     langs = by_lang.join(split, "lang", "left").select("lang", "sizes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("terms", "heavy", "all")])
