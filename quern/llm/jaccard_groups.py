@@ -17,8 +17,9 @@
    are those of the join.
 
 Defined results: null and empty texts and texts without words have no set, link with nothing and are their own
-component; fewer words than ``n`` make one shingle; rows without an id have no component and link nothing; an id names
-one text, and rows that repeat both get equal results; other columns are ignored.
+component; fewer words than ``n`` make one shingle; other columns are ignored. Each row is judged by its own text, so that
+rows that share an id may be in different components; rows that repeat id and text get equal results. Rows without an id
+link like others, and count after all ids where the least is asked for (null if there is none in reach).
 """
 
 from __future__ import annotations
@@ -78,19 +79,25 @@ def _lists(rows: list[U64]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, key`` (128 bits of the set; null if empty)``, prefix`` (its least tokens)."""
+    """``doc_id, digest`` (of the text)``, n_shingles, key`` (128 bits of the set; null if empty)``, prefix`` (its least tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
-            sets = [shingles(t, n) for t in as_bytes(piece.column("text"))]
-            keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(map(len, sets), pa.int64()), keys, _lists([s[: spare(len(s), percent)[0]] for s in sets])], ["doc_id", "n_shingles", "key", "prefix"])
+            texts = as_bytes(piece.column("text"))
+            sets = [shingles(t, n) for t in texts]
+            keys = pa.array([_key(s) if len(s) else None for s in sets], pa.binary())
+            digests = pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), digests, pa.array(map(len, sets), pa.int64()), keys, _lists([s[: spare(len(s), percent)[0]] for s in sets])], ["doc_id", "digest", "n_shingles", "key", "prefix"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, key binary, prefix array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>")
+def _key(tokens: U64) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def _tokens(docs: DataFrame, bits: U64, n: int, percent: int) -> DataFrame:
-    """``doc_id, tokens``: the sets enough of whose least tokens are in the bit set."""
+    """``doc_id, key, tokens``: the sets enough of whose least tokens are in the bit set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +108,15 @@ def _tokens(docs: DataFrame, bits: U64, n: int, percent: int) -> DataFrame:
                 _, looked, must = spare(len(s), percent)
                 if len(s) and holds(shared.value, s[:looked]).sum() >= must:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(keep, pa.int32())), _lists([sets[i] for i in keep])], ["doc_id", "tokens"])
+            keys = pa.array([_key(sets[i]) for i in keep], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(keep, pa.int32())), keys, _lists([sets[i] for i in keep])], ["doc_id", "key", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, key binary, tokens array<long>")
 
 
 def _shared(tokens: DataFrame, percent: int) -> DataFrame:
     """``id, n, own, tokens, prefix``: sets that can still meet another, with the tokens that recur, rarest first, and the first of them."""
-    rows = tokens.select(F.col("doc_id").alias("id"), F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    rows = tokens.select("id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     times = rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     again = rows.join(times, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
     again = again.select("id", "n", (F.col("n") - F.size("t")).alias("own"), F.transform("t", lambda t: t["token"]).alias("tokens"))
@@ -156,17 +164,35 @@ def _far_links(sets: DataFrame, percent: int, group: int) -> DataFrame:
     return bounded.join(members, ["g_bucket", "g_part"]).where(f"x.component > m.component AND {_linked('x', 'm', percent)}").select(F.col("q").alias("a"), F.col("m.id").alias("b"))
 
 
+def _classes(sets: DataFrame) -> DataFrame:
+    """``key, least, id, size`` of classes of equal sets: their least document and what tells them apart.
+
+    That is the document, as a rule. If rows share an id, or have none, but differ in their sets, it is the document and
+    the set, in the same order.
+    """
+    same = cut(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
+    shared = same.groupBy("least").agg(F.count("*").alias("n")).where("n > 1 OR least IS NULL")
+    if not shared.limit(1).count():
+        return same.withColumn("id", F.col("least"))
+    return same.withColumn("id", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "key"))
+
+
+def _doc(df: DataFrame, column: str) -> F.Column:
+    """The document of a class's ``id``."""
+    return F.col(column) if dict(df.dtypes)[column] == "bigint" else F.col(f"{column}.doc_id")
+
+
 def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All documents' sets (``_sets``), their classes ``key, id, size`` of equal sets, and one set of each class that can still meet another."""
+    """All documents' sets (``_sets``), their classes (``_classes``), and one set of each class that can still meet another."""
     docs = ids_and_texts(docs)
     sets = cut(_sets(docs, n, percent))
-    known = sets.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"))
-    least = known.select(F.explode("prefix").alias("token"), F.xxhash64("key").alias("key"))
+    same = _classes(sets)
+    least = sets.where("key IS NOT NULL").select(F.explode("prefix").alias("token"), F.xxhash64("key").alias("key"))
     recur = cut(least.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token"))
-    tokens = _tokens(docs.where("doc_id IS NOT NULL"), bit_set(recur), n, percent)
-    tokens = cut(tokens.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return sets, classes, cut(_shared(tokens, percent))
+    tokens = _tokens(docs, bit_set(recur), n, percent)
+    one = same.select(F.col("key").alias("k"), "least", "id")
+    tokens = cut(tokens.join(one, (tokens.key == one.k) & tokens.doc_id.eqNullSafe(one.least)).select("id", "tokens").dropDuplicates(["id"]))
+    return sets, same, cut(_shared(tokens, percent))
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85, group: int = 128) -> DataFrame:
@@ -177,39 +203,49 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, group: int = 128) -> D
     """
     _, _, some = _prepared(docs, n, percent)
     found = _far_links(some.withColumn("component", F.col("id")), percent, group)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select(_doc(found, "a").alias("a"), _doc(found, "b").alias("b"))
 
 
 def classes(docs: DataFrame, n: int = 4) -> DataFrame:
-    """``doc_id, class_id`` (the least id with an equal set)``, copies`` of each document with an id and words."""
-    sets = _sets(ids_and_texts(docs), n, 100).where("doc_id IS NOT NULL AND key IS NOT NULL")
+    """``doc_id, class_id`` (the least id with an equal set)``, copies`` of each document with words."""
+    sets = _sets(ids_and_texts(docs), n, 100).where("key IS NOT NULL")
     same = sets.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     return sets.join(same, "key").select("doc_id", "class_id", "copies")
 
 
-def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the least id in reach by links, its own included) of each document.
-
-    percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
-    """
+def _components_of(docs: DataFrame, n: int, percent: int, rounds: int, group: int) -> DataFrame:
+    """``doc_id, digest, n_shingles, component`` (the least ``id`` of classes in reach; null without words) of each row."""
     sets, same, some = _prepared(docs, n, percent)
     near = cut(_pivot_links(some, percent, rounds))
     grouped = some.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = near.unionByName(_far_links(grouped, percent, group))
     labels = same.join(components(found), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "key").join(labels, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return sets.select("doc_id", "digest", "n_shingles", "key").join(labels, "key", "left").drop("key")
+
+
+def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (the least id in reach by links, its own included) of each document.
+
+    percent: the threshold; rounds: orders under which sets are grouped; group: sets of a group of the matrix.
+    """
+    out = _components_of(docs, n, percent, rounds, group)
+    return out.select("doc_id", "n_shingles", F.coalesce(_doc(out, "component"), "doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The documents, all columns, without those that another document of their component precedes.
+def first_of_each(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:
+    """The documents, all columns: of each component one row, and all rows without words.
 
-    Of rows that repeat both id and text one stays; rows without an id all stay.
+    The row with the least id stays (one without an id only if all are); of rows that share it that with the least hash
+    of its text, whatever else shares the id. Of rows that repeat both id and text one stays.
     """
-    found = cut(report(docs, **options))
-    later = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    found = cut(_components_of(docs, n, percent, rounds, group))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("first"))
+    later = found.join(first, "component").where(order != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = lambda t: docs.doc_id.cast("long").eqNullSafe(t._id) & (F.unhex(F.md5(F.coalesce(docs.text, F.lit("")))) == t._digest)
+    twice = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    kept = docs.join(later, same(later), "left_anti")
     if not twice.limit(1).count():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    return kept.join(twice, same(twice), "left_anti").unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))

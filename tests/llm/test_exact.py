@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 from quern.llm import bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, queries, secret_scan, suffix_dedup, token_counts
 
 from . import plain
+from .conftest import prose
 
 
 def rows(df: DataFrame, n: int) -> list[tuple]:
@@ -148,10 +150,38 @@ def test_links_between_classes(odd: DataFrame, odd_rows: list, supplied: list, s
 
 
 def test_rows_that_repeat_leave_one(odd: DataFrame) -> None:
+    """Copies of a row leave one, those without an id none beside it; without ids alone one stays too."""
     twice = odd.unionByName(odd.where("doc_id IN (3, 9)"))
     lost = odd.where("doc_id = 0").withColumn("doc_id", odd.doc_id * None)
-    got = sorted((r.doc_id if r.doc_id is not None else -99) for r in jaccard_groups.first_of_each(twice.unionByName(lost)).collect())
-    assert got == sorted([-99, *(r.doc_id for r in jaccard_groups.first_of_each(odd).collect())])
+    once = sorted(r.doc_id for r in jaccard_groups.first_of_each(odd).collect())
+    assert sorted(r.doc_id for r in jaccard_groups.first_of_each(twice.unionByName(lost)).collect()) == once
+    nameless = jaccard_groups.first_of_each(odd.withColumn("doc_id", odd.doc_id * None)).collect()
+    assert len({r.text for r in nameless}) == len(nameless) == len({odd_text for odd_text in (r.text for r in jaccard_groups.first_of_each(odd).collect())})
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(odd_rows: list, spark) -> None:
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    near = b.split()
+    near[79] = "changed"
+    given = [(1, a), (2, a), (2, b), (3, " ".join(near)), (3, c), (3, None), (None, b), (None, prose(34, 50)), (None, prose(34, 50))]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    named = [(d, t) for d, t in given if d is not None]
+    only = spark.createDataFrame(named, "doc_id long, text string").repartition(3)
+    assert rows(suffix_dedup.report(only), 5) == sorted(plain.byte_repeats(named))
+    assert rows(phrase_automata.report(only), 4) == sorted(plain.word_repeats(named))
+    assert rows(suffix_dedup.report(only.unionByName(only)), 5) == sorted(plain.byte_repeats(named + named))
+    assert rows(phrase_automata.report(only.unionByName(only)), 4) == sorted(plain.word_repeats(named + named))
+    for some in ({"hot": 1}, {"heavy": 1}, {"limit": 100}):
+        assert rows(suffix_dedup.report(only, **some), 5) == sorted(plain.byte_repeats(named))
+    for some in ({"phrases": 3}, {"phrases": 40, "stream": 10}):
+        assert rows(phrase_automata.report(only, **some), 4) == sorted(plain.word_repeats(named))
+    # sets by row: the components are {a, a}, {b, near, b} and one for each other text
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_shingles, r.component_id) for r in jaccard_groups.report(docs).collect())
+    want = [((False, 1), 77, 1), ((False, 2), 77, 1), ((False, 2), 77, 2), ((False, 3), 0, 3), ((False, 3), 77, 2), ((False, 3), 77, 3), ((True, 0), 47, None), ((True, 0), 47, None), ((True, 0), 77, 2)]
+    assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(tuple(r) for r in jaccard_groups.links(docs).collect()) == [(2, 3)]
+    kept = Counter((r.doc_id, r.text) for r in jaccard_groups.first_of_each(docs).collect())
+    assert kept == Counter([(1, a), (2, b), (3, c), (3, None), (None, prose(34, 50))])
 
 
 def test_large_benchmarks_edit_alike(odd: DataFrame, spark) -> None:

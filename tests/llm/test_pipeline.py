@@ -32,7 +32,7 @@ def test_stages_on_supplied_rows(spark: SparkSession, sf: str, tmp_path) -> None
         if name == "quality_classifier":
             want = {d for d, _ in texts if d in good}
         elif name == "jaccard_groups":
-            want = {d for d, _, c in plain.jaccard(texts) if d == c}
+            want = {d for d, _, c in plain.jaccard(texts, n=5, percent=80) if d == c}
         elif name == "decontamination":
             want = {r[0] for r in plain.contamination(texts, items) if not r[5]}
         elif name == "secret_scan":
@@ -59,7 +59,7 @@ def test_stages_keep_odd_rows(spark: SparkSession, odd: DataFrame, odd_rows: lis
     good = Counter(r.doc_id for r in quality_classifier.report(given, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.predicted)
     want = {
         "quality_classifier": good,
-        "jaccard_groups": Counter([d for d, _, c in plain.jaccard(odd_rows, n=5, percent=80) if d == c] + [None]),
+        "jaccard_groups": Counter([d for d, _, c in plain.jaccard(odd_rows, n=5, percent=80) if d == c]),
         "decontamination": Counter({d: all_ids[d] for d, *_, bad in plain.contamination(odd_rows, items) if not bad} | {None: 1}),
     }
     for name, stage in corpus_pipeline.STAGES:
