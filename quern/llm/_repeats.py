@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm._anchors import U64, runs
@@ -62,13 +63,27 @@ def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
     return cut(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor", "n"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The documents with ``twin``: a number that differs between texts which share an id, and is 0 as a rule."""
+    hashed = F.xxhash64("text").alias("_hash")
+    seen = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"))
+    shared = cut(seen.where("a <> b").select("doc_id"))
+    if not shared.limit(1).count():
+        return docs.withColumn("twin", F.lit(0))
+    texts = docs.join(shared, "doc_id", "left_semi").select("doc_id", hashed).distinct()
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("_hash"))  # an id's different texts
+    twins = cut(texts.select(F.col("doc_id").alias("_id"), "_hash", number.alias("twin")))
+    out = docs.join(twins, (docs.doc_id == twins._id) & (F.xxhash64(docs.text) == twins._hash), "left")
+    return out.select("doc_id", "text", F.coalesce("twin", F.lit(0)).alias("twin"))
+
+
 def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     """The documents, each with the list ``spans`` of its own stretches (null: none).
 
     Those with ids are joined as the operators join them before, so that one exchange of their texts serves both.
     """
-    spans = stretches.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    whole = docs.where("doc_id IS NOT NULL").join(spans, "doc_id", "left")
+    spans = stretches.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = docs.where("doc_id IS NOT NULL").join(spans, ["doc_id", "twin"], "left")
     return whole.unionByName(docs.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
 
 

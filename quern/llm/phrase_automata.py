@@ -12,10 +12,9 @@ Phrases of one anchor beyond ``phrases`` are parted over several shards, each of
 that more than ``stream`` runs would reach are copied, and each copy sees its part of the runs. So neither many phrases
 nor many occurrences of one passage meet in one task.
 
-Defined results: null texts have no words; rows without an id take no part and keep all words; an id names one text,
-and rows that repeat both count as one document and get equal results; rows with one id and different texts count as one
-document too, in which equal places go together, and each row loses the stretches found in either text; texts of under
-``n`` words keep everything; other columns are ignored.
+Defined results: null texts have no words; rows without an id take no part and keep all words; rows that repeat id and
+text get equal results; rows with one id and different texts are judged each by its own, where only an earlier place of
+the same id precedes another; texts of under ``n`` words keep everything; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 from quern.llm._anchors import U64, grams, mixed
 from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
-from quern.llm._repeats import PIECE, Unit, kept, recurring, with_spans
+from quern.llm._repeats import PIECE, Unit, kept, recurring, told_apart, with_spans
 
 #: The letter of what is no word of an automaton, and the first number whose letter would be half a pair.
 NO_WORD, SURROGATES = "\0", 0xD7FF
@@ -77,7 +76,7 @@ class Automaton:
         return "".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (1 if len(letters) < SURROGATES else 2049))) for w in text.split(b" ")])
 
     def repeats(self, docs: list[int], places: list[int], texts: list[bytes]) -> tuple[NDArray, NDArray, NDArray]:
-        """The document, start and end of stretches of words that windows of an earlier place cover, for runs by document and place."""
+        """The run, start and end of stretches of words that windows of an earlier place cover, for runs by document and place."""
         if not len(self.found):
             return (np.zeros(0, np.int64),) * 3
         get, n = self.letters.get, self.n
@@ -88,10 +87,10 @@ class Automaton:
         doc, start = np.array(docs, np.int64)[run], np.array(places, np.int64)[run] + hits[:, 0] - begins[run] - n + 1
         first_doc, first_at = self.docs[hits[:, 1]], self.places[hits[:, 1]]
         later = (first_doc < doc) | (first_doc == doc) & (first_at < start)
-        doc, start, run = doc[later], start[later], run[later]
+        start, run = start[later], run[later]
         new = np.append(True, (run[1:] != run[:-1]) | (start[1:] > start[:-1] + n))[: len(run)]
         last = np.append(new[1:], True)[: len(run)]
-        return doc[new], start[new], start[last] + n
+        return run[new], start[new], start[last] + n
 
 
 def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
@@ -100,7 +99,7 @@ def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
 
 
 def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, window, doc_id, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it.
+    """``anchor, window, doc_id, twin, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it.
 
     31 bits of the anchor are enough to deal them out.
     """
@@ -118,10 +117,10 @@ def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             order = np.lexsort((at, window, text))
             at, text, anchor, window = at[order], text[order], anchor[order], window[order]
             first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (window[1:] != window[:-1])))
-            cols = [(anchor[first] >> np.uint64(33)).astype(np.int32), window[first].view(np.int64), piece.column("doc_id").to_numpy()[text[first]], at[first].astype(np.int32), np.diff(np.append(first, len(at)))]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["anchor", "window", "doc_id", "at", "times"])
+            cols = [(anchor[first] >> np.uint64(33)).astype(np.int32), window[first].view(np.int64), *(piece.column(c).to_numpy()[text[first]] for c in ("doc_id", "twin")), at[first].astype(np.int32), np.diff(np.append(first, len(at)))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], ["anchor", "window", "doc_id", "twin", "at", "times"])
 
-    return docs.mapInArrow(find, "anchor int, window long, doc_id long, at int, times long")
+    return docs.mapInArrow(find, "anchor int, window long, doc_id long, twin int, at int, times long")
 
 
 @dataclass(frozen=True)
@@ -165,6 +164,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         shard, group, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "group", "run"))
         cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (group[1:] != group[:-1]) | (run[1:] != run[:-1])) + 1
         cols = [batch.column(c).to_pylist() for c in ("doc_id", "at", "text")]
+        ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
             rows = [c[lo:hi] for c in cols]
             if (shard[lo], group[lo]) != at:
@@ -174,33 +174,34 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
                 continue
             if automaton is None:
                 automaton, passages = Automaton(passages, n), []
-            doc, start, end = automaton.repeats(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "start", "end"])
+            row, start, end = automaton.repeats(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(twins[lo + row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "twin", "start", "end"])
 
 
 def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataFrame:
-    """``doc_id, start, end``: stretches of words that are repeats. ``docs`` has ids and texts."""
+    """``doc_id, twin, start, end``: stretches of words that are repeats. ``docs`` has ids, twins and texts."""
     unit = Unit(n, k, _words, _hashes, within=True)
     found = _windows(docs, recurring(docs, unit), unit).groupBy("anchor", "window")
-    recur = cut(found.agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"), F.sum("times").alias("times")).where("times > 1"))
+    first = F.min(F.struct("doc_id", "at", "twin")).alias("first")
+    recur = cut(found.agg(first, F.sum("times").alias("times")).where("times > 1").select("anchor", "window", "first.*", "times"))
     count = max(1, -(-recur.count() // phrases))
     bucket = F.pmod("anchor", F.lit(count)).cast("int").alias("bucket")
     parts, copies = np.ones(count, np.int64), np.ones(count, np.int64)
     for row in recur.groupBy(bucket).agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect():  # a row for each ``phrases`` of them
         parts[row.bucket], copies[row.bucket] = -(-row.n // (2 * phrases)), -(-row.times // stream)
     shared = docs.sparkSession.sparkContext.broadcast((bit_set(recur.select("window")), Shards(parts, copies)))
-    wanted = recur.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", bucket)).alias("firsts"))
+    wanted = recur.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("anchor", "at", bucket)).alias("firsts"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``shard, group, run, doc_id, at, text``: passages of the document's first places, and its runs of possible phrases."""
+        """``shard, group, run, doc_id, twin, at, text``: passages of the document's first places, and its runs of possible phrases."""
         bits, shards = shared.value
         for piece in pieces(batches, limit=PIECE):
             symbols, h, sizes, text, at, size, anchor, _ = unit.runs(as_bytes(piece.column("text")))
-            ids = piece.column("doc_id").to_pylist()
-            out: list[tuple[int, int, bool, int, int, bytes]] = []
+            ids, twins = piece.column("doc_id").to_pylist(), piece.column("twin").to_pylist()
+            out: list[tuple[int, int, bool, int, int, int, bytes]] = []
             for d, b, a, i, j in zip(*(x.tolist() for x in _passages(piece.column("firsts"), n)), strict=True):
                 words = b" ".join(symbols[d][i:j])
-                out += [(shard, a // count % GROUPS, False, ids[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
+                out += [(shard, a // count % GROUPS, False, ids[d], twins[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
             if len(size):
                 place, run = np.repeat(at, size) + _spread(size), np.repeat(np.arange(len(size)), size)
                 held = np.flatnonzero(holds(bits, mixed(grams(h, n))[(np.cumsum(sizes) - sizes)[text[run]] + place]))
@@ -209,12 +210,12 @@ def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataF
                 short = (anchor[run[begin]] >> np.uint64(33)).astype(np.int64)
                 for a, d, i, j in zip(short.tolist(), text[run[begin]].tolist(), place[begin].tolist(), (place[end] + n).tolist(), strict=True):
                     words = b" ".join(symbols[d][i:j])
-                    out += [(shard, a // count % GROUPS, True, ids[d], i, words) for shard in shards.of_run(a % count, ids[d] + i)]
-            cols = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["shard", "group", "run", "doc_id", "at", "text"])
+                    out += [(shard, a // count % GROUPS, True, ids[d], twins[d], i, words) for shard in shards.of_run(a % count, ids[d] + i)]
+            cols = zip(*out, strict=True) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "group", "run", "doc_id", "twin", "at", "text"])
 
-    rows = docs.join(wanted, "doc_id", "left").mapInArrow(deal, "shard long, group int, run boolean, doc_id long, at int, text binary")
-    return rows.repartition("shard").sortWithinPartitions("shard", "group", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, start int, end int")
+    rows = docs.join(wanted, ["doc_id", "twin"], "left").mapInArrow(deal, "shard long, group int, run boolean, doc_id long, twin int, at int, text binary")
+    return rows.repartition("shard").sortWithinPartitions("shard", "group", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, twin int, start int, end int")
 
 
 def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stream: int = 400_000, texts: bool = False) -> DataFrame:
@@ -222,7 +223,7 @@ def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stre
 
     k: words of an anchor; phrases: windows that an automaton holds, about; stream: windows that pass one automaton, about.
     """
-    docs = ids_and_texts(docs)
+    docs = told_apart(ids_and_texts(docs))
     stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, phrases, stream)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

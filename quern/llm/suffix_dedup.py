@@ -13,10 +13,9 @@
 4. Anchors with more than ``hot`` distinct passages, which could be too many for a task, skip the shards: their windows
    are grouped as rows, byte for byte.
 
-Defined results: null texts are empty; rows without an id take no part and keep all bytes; an id names one text, and
-rows that repeat both count as one document and get equal results; rows with one id and different texts count as one
-document too, which repeats nothing of its own, and each row loses the stretches found in either text; texts of under
-``n`` bytes keep everything; other columns are ignored.
+Defined results: null texts are empty; rows without an id take no part and keep all bytes; rows that repeat id and
+text get equal results; rows with one id and different texts are judged each by its own, and none repeats another of
+the same id; texts of under ``n`` bytes keep everything; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from xxhash import xxh3_128_digest
 from quern.llm._anchors import mixed
 from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, ids_and_texts, pieces
-from quern.llm._repeats import PIECE, Unit, kept, recurring, with_spans
+from quern.llm._repeats import PIECE, Unit, kept, recurring, told_apart, with_spans
 
 Ints = NDArray[np.int64]
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -153,7 +152,7 @@ def locate(rows: list[Passage], n: int) -> tuple[Ints, Ints]:
 
 
 def _found(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
-    """``anchor, passage, check, doc_id, at, windows``: the runs of recurring anchors, and of a few others."""
+    """``anchor, passage, check, doc_id, twin, at, windows``: the runs of recurring anchors, and of a few others."""
     bits = docs.sparkSession.sparkContext.broadcast(bit_set(anchors.select("anchor")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +162,15 @@ def _found(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             text, at, size, anchor = text[keep], at[keep], size[keep], anchor[keep]
             hashed = b"".join([xxh3_128_digest(symbols[t][a:b]) for t, a, b in zip(text.tolist(), at.tolist(), (at + size + unit.n - 1).tolist(), strict=True)])
             passage = np.frombuffer(hashed, np.int64).reshape(-1, 2)
-            ids = piece.column("doc_id").to_numpy()[text]
-            cols = [anchor.view(np.int64), passage[:, 0], passage[:, 1], ids, at.astype(np.int32), size.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["anchor", "passage", "check", "doc_id", "at", "windows"])
+            ids, twins = (piece.column(c).to_numpy()[text] for c in ("doc_id", "twin"))
+            cols = [anchor.view(np.int64), passage[:, 0], passage[:, 1], ids, twins, at.astype(np.int32), size.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["anchor", "passage", "check", "doc_id", "twin", "at", "windows"])
 
-    return docs.mapInArrow(find, "anchor long, passage long, check long, doc_id long, at int, windows int")
+    return docs.mapInArrow(find, "anchor long, passage long, check long, doc_id long, twin int, at int, windows int")
 
 
 def _marked(found: DataFrame, hot: int, heavy: bool) -> DataFrame:
-    """``anchor, doc_id, at, windows, copy, hot``: copies, and first occurrences whose anchor has other passages too.
+    """``anchor, doc_id, twin, at, windows, copy, hot``: copies, and first occurrences whose anchor has other passages too.
 
     All of an anchor's runs are looked at together, by windows; those of ``heavy`` anchors, which may be too many for a
     task, by aggregates that combine before the shuffle and joins that Spark splits.
@@ -186,35 +185,38 @@ def _marked(found: DataFrame, hot: int, heavy: bool) -> DataFrame:
         by = W.partitionBy("anchor")
         out = found.repartition("anchor").withColumn("first", F.min("doc_id").over(W.partitionBy(*key))).withColumn("copy", is_copy)
         out = out.select("*", F.min("passage").over(by).alias("a"), F.max("passage").over(by).alias("b"), F.sum(F.when(~F.col("copy"), 1).otherwise(0)).over(by).alias("kinds"))
-    return out.where("copy OR a <> b").select("anchor", "doc_id", "at", "windows", "copy", (F.col("kinds") > hot).alias("hot"))
+    return out.where("copy OR a <> b").select("anchor", "doc_id", "twin", "at", "windows", "copy", (F.col("kinds") > hot).alias("hot"))
 
 
 def _shard(batches: Iterator[pa.RecordBatch], n: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Takes passages in order of anchor, whole anchors until ``limit`` bytes are there, and yields the repeated stretches."""
     rows: list[Passage] = []
+    twins: list[int] = []
     held, last = 0, None
 
     def flush() -> pa.RecordBatch:
         row, place = locate(rows, n)
         new = np.append(True, (row[1:] != row[:-1]) | (place[1:] > place[:-1] + n))[: len(row)]
         start, end = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
-        docs = np.array([d for d, _, _ in rows], np.int64)[row[start]]
+        docs, own = np.array([d for d, _, _ in rows], np.int64)[row[start]], np.array(twins, np.int32)[row[start]]
         rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(place[start].astype(np.int32)), pa.array((place[end] + n).astype(np.int32))] if len(start) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32())], ["doc_id", "start", "end"])
+        twins.clear()
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(own), pa.array(place[start].astype(np.int32)), pa.array((place[end] + n).astype(np.int32))] if len(start) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())], ["doc_id", "twin", "start", "end"])
 
     for batch in batches:
-        for anchor, doc, at, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "at", "text")), strict=True):
+        for anchor, doc, twin, at, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "twin", "at", "text")), strict=True):
             if held >= limit and anchor != last:
                 yield flush()
                 held = 0
             rows.append((doc, at, text))
+            twins.append(twin)
             held, last = held + len(text), anchor
     if rows:
         yield flush()
 
 
 def removed(docs: DataFrame, n: int, k: int, hot: int, limit: int, heavy: int) -> DataFrame:
-    """``doc_id, start, end``: stretches of bytes that are repeats. ``docs`` has ids and texts."""
+    """``doc_id, twin, start, end``: stretches of bytes that are repeats. ``docs`` has ids, twins and texts."""
     unit = Unit(n, k, bytes, _hashes, within=False)
     anchors = recurring(docs, unit)
     found = _found(docs, anchors, unit)
@@ -225,29 +227,29 @@ def removed(docs: DataFrame, n: int, k: int, hot: int, limit: int, heavy: int) -
         marked = cut(crowded)
     else:
         marked = cut(_marked(found, hot, heavy=False))
-    copies = marked.where("copy").select("doc_id", F.col("at").alias("start"), F.expr(f"at + windows + {n - 1}").alias("end"))
+    copies = marked.where("copy").select("doc_id", "twin", F.col("at").alias("start"), F.expr(f"at + windows + {n - 1}").alias("end"))
     first = marked.where("NOT copy")
-    wanted = first.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "windows", "hot")).alias("runs"))
+    wanted = first.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("anchor", "at", "windows", "hot")).alias("runs"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
             out = []
-            for doc, text, own in zip(piece.column("doc_id").to_pylist(), as_bytes(piece.column("text")), piece.column("runs").to_pylist(), strict=True):
+            for doc, twin, text, own in zip(piece.column("doc_id").to_pylist(), piece.column("twin").to_pylist(), as_bytes(piece.column("text")), piece.column("runs").to_pylist(), strict=True):
                 for r in own or []:
                     if r["hot"]:
-                        out += [(r["anchor"], doc, i, text[i : i + n], True) for i in range(r["at"], r["at"] + r["windows"])]
+                        out += [(r["anchor"], doc, twin, i, text[i : i + n], True) for i in range(r["at"], r["at"] + r["windows"])]
                     else:
-                        out.append((r["anchor"], doc, r["at"], text[r["at"] : r["at"] + r["windows"] + n - 1], False))
-            cols = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["anchor", "doc_id", "at", "text", "hot"])
+                        out.append((r["anchor"], doc, twin, r["at"], text[r["at"] : r["at"] + r["windows"] + n - 1], False))
+            cols = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["anchor", "doc_id", "twin", "at", "text", "hot"])
 
-    text = docs.join(wanted, "doc_id", "left").mapInArrow(passages, "anchor long, doc_id long, at int, text binary, hot boolean")
+    text = docs.join(wanted, ["doc_id", "twin"], "left").mapInArrow(passages, "anchor long, doc_id long, twin int, at int, text binary, hot boolean")
     sharded = text.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
-    out = copies.unionByName(sharded.mapInArrow(lambda batches: _shard(batches, n, limit), "doc_id long, start int, end int"))
+    out = copies.unionByName(sharded.mapInArrow(lambda batches: _shard(batches, n, limit), "doc_id long, twin int, start int, end int"))
     if first.where("hot").limit(1).count():
         windows = text.where("hot")
         earliest = windows.groupBy("text").agg(F.min("doc_id").alias("first"))
-        out = out.unionByName(windows.join(earliest, "text").where("doc_id > first").select("doc_id", F.col("at").alias("start"), F.expr(f"at + {n}").alias("end")))
+        out = out.unionByName(windows.join(earliest, "text").where("doc_id > first").select("doc_id", "twin", F.col("at").alias("start"), F.expr(f"at + {n}").alias("end")))
     return out
 
 
@@ -257,7 +259,7 @@ def report(docs: DataFrame, n: int = 50, k: int = 20, hot: int = 5000, limit: in
     k: bytes of an anchor; limit: bytes of whole anchors that a shard takes at a time; hot: distinct passages of an
     anchor, heavy: its runs, beyond which it is not dealt to one task (same rows, another way, see above).
     """
-    docs = ids_and_texts(docs)
+    docs = told_apart(ids_and_texts(docs))
     stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, hot, limit, heavy)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
