@@ -61,16 +61,18 @@ def cepstrum(power: Floats, sr: int, n: int = 13, n_mels: int = 26, n_fft: int =
     return (np.log(power @ bands.T + 1e-12) @ cosine_basis(n_mels).T)[:, 1 : n + 1].mean(axis=0)
 
 
-def pitch(x: Floats, sr: int, low: float = 50.0, high: float = 2000.0, frame_ms: float = 40.0, hop_ms: float = 20.0) -> Floats:
+def pitch(x: Floats, sr: int, low: float = 50.0, high: float = 2000.0, frame_ms: float = 40.0, hop_ms: float = 20.0, start: int = 0, own: int | None = None) -> Floats:
     """The pitch of voiced frames: the lag of the greatest normalised autocorrelation, if it is over 0.3.
 
-    The shortest lag is allowed to win, so tones whose period is long against it come out as its frequency.
+    The shortest lag is allowed to win, so tones whose period is long against it come out as its frequency. Of a part of a
+    signal that begins at place ``start``, the frames that begin among its first ``own`` samples.
     """
     size, hop = int(sr * frame_ms / 1000), int(sr * hop_ms / 1000)
     first, last = max(int(sr / high), 2), min(int(sr / low), size // 2)
     if len(x) < size or last <= first or hop < 1:
         return np.zeros(0)
-    rows = np.lib.stride_tricks.sliding_window_view(x, size)[: max(len(x) - size, 0) : hop]
+    stop = max(len(x) - size, 0)  # a frame that the signal ends with is left out
+    rows = np.lib.stride_tricks.sliding_window_view(x, size)[-start % hop : stop if own is None else min(stop, own) : hop]
     rows = rows[np.sqrt((rows**2).mean(axis=1)) >= 1e-4]
     rows = rows - rows.mean(axis=1, keepdims=True)
     n = 1 << (2 * size - 1).bit_length()
@@ -81,18 +83,23 @@ def pitch(x: Floats, sr: int, low: float = 50.0, high: float = 2000.0, frame_ms:
     return sr / (first + best[part[np.arange(len(part)), best] > 0.3]) if len(part) else np.zeros(0)
 
 
-def resampled(x: Floats, sr_in: int, sr_out: int, zeros: int = 10, beta: float = 5.0) -> Floats:
-    """A change of rate by a Kaiser-windowed sinc filter, ``zeros`` crossings on each side at the lower rate."""
-    if sr_in == sr_out or not len(x):
+def resampled(x: Floats, sr_in: int, sr_out: int, zeros: int = 10, beta: float = 5.0, first: int = 0, start: int = 0, size: int | None = None) -> Floats:
+    """A change of rate by a Kaiser-windowed sinc filter, ``zeros`` crossings on each side at the lower rate.
+
+    Of a part of a signal, whose first sample's place is ``first``, the ``size`` results from place ``start`` on.
+    """
+    if not len(x):
         return x
     up, down = sr_out // gcd(sr_in, sr_out), sr_in // gcd(sr_in, sr_out)
+    size = -(-len(x) * up // down) if size is None else size
+    if up == down:
+        return x[start - first : start - first + size]
     half = zeros * max(up, down)
     taps = np.sinc(np.arange(-half, half + 1) / max(up, down)) * np.kaiser(2 * half + 1, beta)
     taps *= up / taps.sum()
-    size = -(-len(x) * up // down)
-    at = np.arange(size) * down  # places among the samples of the common rate
+    at = (start + np.arange(size)) * down  # places among the samples of the common rate
     reach = half // up + 1
     near = at[:, None] // up + np.arange(-reach, reach + 1)
     tap = at[:, None] - near * up + half
-    ok = (near >= 0) & (near < len(x)) & (tap >= 0) & (tap < len(taps))
-    return (np.where(ok, x[np.clip(near, 0, len(x) - 1)] * taps[np.clip(tap, 0, len(taps) - 1)], 0.0)).sum(axis=1)
+    ok = (near >= first) & (near < first + len(x)) & (tap >= 0) & (tap < len(taps))
+    return (np.where(ok, x[np.clip(near - first, 0, len(x) - 1)] * taps[np.clip(tap, 0, len(taps) - 1)], 0.0)).sum(axis=1)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import FIGURE_CAPTION, TABLE_CAPTION, caption_label
+from quern.operators.ordered import at_places
 
 #: Fixed limits in points.
 MIN_SIDE, MIN_AREA, MAX_ASPECT, GAP, BELOW, ABOVE = 40, 3000, 15, 30, 260, 130
@@ -200,7 +201,8 @@ def figures(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def outline(blocks: DataFrame, most: int = 400) -> DataFrame:
     """``doc_id, item, page, text``: headings, being blocks a quarter larger than the body or short bold lines."""
-    size = blocks.groupBy("doc_id").agg(F.element_at(F.sort_array(F.collect_list("max_size")), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("body"))  # a document's blocks
+    sizes = blocks.groupBy("doc_id", "max_size").agg(F.count("*").alias("n"))
+    size = at_places(sizes, ["doc_id"], "max_size", "n", F.array(F.floor(F.col("size") / 2))).select("doc_id", F.col("value").alias("body"))
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     b = blocks.withColumn("text", text).where("text <> ''").join(size, "doc_id")
     n = F.char_length("text")

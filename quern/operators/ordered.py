@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.sources.shared import kept
+
 #: Keys looked at for each range.
 PER_RANGE = 20
 
@@ -58,3 +60,32 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with each row's place (from 0) in an order that no two rows share."""
     rows = df.select(F.struct(*order).alias("_order"), F.struct(*df.columns).alias("_row"), F.lit(1).cast("long").alias("_one"))
     return running(rows, "_order", {name: "_one"}).select("_row.*", name)
+
+
+def at_places(counts: DataFrame, by: list[str], value: str, n: str, places: Column) -> DataFrame:
+    """``by.., size, place, value``: the values at some places (from 0) of each group's order, from how often each value occurs.
+
+    places: an array of places from the group's columns and its ``size``. Ranges of values are counted, so a group may have
+    any number of values; a row keeps the places that fall to it, and none meets a place that doesn't.
+    """
+    counts = kept(counts.where(F.col(value).isNotNull()).select(*by, value, n))
+    rows = running(counts, value, {"_below": n}, by=by)
+    sizes = counts.groupBy(*by).agg(F.sum(n).alias("size")).withColumn("_places", places)
+    both = rows.join(sizes, by) if by else rows.join(F.broadcast(sizes))  # one row without groups
+    mine = F.filter(F.array_distinct("_places"), lambda k: (k >= F.col("_below")) & (k < F.col("_below") + F.col(n)))
+    return both.select(*by, "size", F.explode(mine).alias("place"), F.col(value).alias("value"))
+
+
+def order_statistics(counts: DataFrame, by: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
+    """``by.., share, value``: exact quantiles of each group by linear interpolation, from how often each value occurs.
+
+    The quantile is at ``share * (size - 1)``; between two places it lies on the line from one value to the other. So a
+    share of 0.5 is the median. Nulls don't count; a group without values has no row.
+    """
+    at = lambda s: F.lit(float(s)) * (F.col("size") - 1)
+    low = lambda s: F.floor(at(s))
+    found = at_places(counts, by, value, n, F.array(*[p for s in shares for p in (low(s), F.least(low(s) + 1, F.col("size") - 1))]))
+    # a place says by itself which shares it serves, and at which end
+    ends = [F.struct(F.lit(float(s)).alias("share"), (at(s) - low(s)).alias("part"), (F.col("place") == low(s)).alias("first"), (F.col("place") == F.least(low(s) + 1, F.col("size") - 1)).alias("last")) for s in shares]
+    read = found.select(*by, "value", F.explode(F.array(*ends)).alias("q")).where("q.first OR q.last").groupBy(*by, "q.share", "q.part").agg(F.max(F.when(F.col("q.first"), F.col("value"))).alias("a"), F.max(F.when(F.col("q.last"), F.col("value"))).alias("b"))
+    return read.select(*by, "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels
 from quern.functions.numbers import rounded
+from quern.operators.ordered import at_places
 from quern.sources.audio import wav16
 
 FEATURES = ("duration", "peak_freq", "bandwidth", "spectral", "f0", "mfcc", "zcr")
@@ -69,12 +70,11 @@ def rate_histogram(signals: DataFrame) -> DataFrame:
 
 def lower_quantiles(values: DataFrame, column: str, shares: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """``share, value``: the value at place ``min(int(n * share), n - 1)`` in order, from 0."""
-    from quern.operators.ordered import running
-
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    size = counts.agg(F.sum("n").alias("size")).select("size", F.explode(F.array(*map(F.lit, shares))).alias("share")).select("share", F.least(F.floor(F.col("size") * F.col("share")), F.col("size") - 1).alias("k"))
-    rows = running(counts, "v", {"below": "n"}).join(F.broadcast(size))
-    return rows.groupBy("share").agg(F.min(F.when(F.col("below") + F.col("n") > F.col("k"), F.col("v"))).alias("value"))
+    place = lambda s: F.least(F.floor(F.col("size") * F.lit(s)), F.col("size") - 1)
+    found = at_places(counts, [], "v", "n", F.array(*map(place, shares)))
+    asked = F.filter(F.array(*map(F.lit, shares)), lambda s: F.least(F.floor(F.col("size") * s), F.col("size") - 1) == F.col("place"))
+    return found.select(F.explode(asked).alias("share"), "value")
 
 
 def audit_summary(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import rounded, spaced
-from quern.operators.ordered import running
+from quern.operators.ordered import order_statistics, running
+from quern.sources.shared import kept
 
 
 def _scores(pairs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def rates_at(scores: DataFrame, thresholds: DataFrame, totals: DataFrame) -> Dat
 
 def auroc(pairs: DataFrame) -> DataFrame:
     """``auroc``: the chance that a positive scores above a negative, ties counting half; both sides are needed."""
-    scores = _by_score(pairs)
+    scores = kept(_by_score(pairs))
     rows = running(scores, "v", {"neg_below": "nn"})
     won = F.sum(F.col("np") * (F.col("neg_below") + F.col("nn") / 2))
     n = _both(rows.agg(won.alias("won"), F.coalesce(F.sum("np"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("nn"), F.lit(0)).alias("n_neg")))
@@ -60,10 +61,10 @@ def eer(pairs: DataFrame, grid: int = 2001) -> DataFrame:
     least difference of the rates counts; if the difference changes its sign to its left, the crossing is interpolated
     and the rates are read off there again. A difference of exactly 0 keeps its threshold.
     """
-    scores = _by_score(pairs)
+    scores = kept(_by_score(pairs))
     totals = _both(_totals(scores))
     ts = totals.select(F.explode(spaced(F.col("low") - 1.0, F.col("high") + 1.0, grid)).alias("t")).union(scores.select("v")).distinct()
-    rates = rates_at(scores, ts, totals).withColumn("diff", F.col("fpr") - F.col("fnr"))
+    rates = kept(rates_at(scores, ts, totals)).withColumn("diff", F.col("fpr") - F.col("fnr"))
     best = rates.agg(F.min_by(F.struct("t", "fpr", "fnr", "diff"), F.struct(F.abs("diff"), "t")).alias("b"), F.min("t").alias("first"), F.max("t").alias("last"))
     left = rates.join(F.broadcast(best)).where("t < b.t").agg(F.max_by(F.struct("t", "diff"), "t").alias("a"))
     cross = (F.col("a.diff") * F.col("b.diff") <= 0) & (F.col("b.t") < F.col("last"))
@@ -76,15 +77,10 @@ def eer(pairs: DataFrame, grid: int = 2001) -> DataFrame:
 
 def det_points(pairs: DataFrame, n: int = 40) -> DataFrame:
     """``point, fpr, fnr``: the rates at ``n`` quantiles of all scores, each pair of rates once, in order of threshold."""
-    scores = _by_score(pairs)
+    scores = kept(_by_score(pairs))
     qs = [0.001 + i * (0.998 / (n - 1)) if i < n - 1 else 0.999 for i in range(n)]
-    ranked = running(scores.withColumn("n", F.col("np") + F.col("nn")), "v", {"below": "n"})
-    size = scores.agg(F.sum(F.col("np") + F.col("nn")).alias("size"))
-    wanted = size.select(F.explode(F.array(*[F.lit(q) for q in qs])).alias("q"), "size").select("q", (F.col("q") * (F.col("size") - 1)).alias("h"))
-    wanted = wanted.select("q", F.floor("h").alias("lo"), (F.col("h") - F.floor("h")).alias("part"))
-    at = lambda k: F.min(F.when(F.col("below") + F.col("n") > k, F.col("v")))  # noqa: E731  the value at place k in order
-    found = ranked.join(F.broadcast(wanted)).groupBy("q", "lo", "part").agg(at(F.col("lo")).alias("a"), F.coalesce(at(F.col("lo") + 1), F.max("v")).alias("b"))
-    ts = found.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("t")).distinct()
+    found = order_statistics(scores.select("v", (F.col("np") + F.col("nn")).alias("n")), [], "v", "n", qs)
+    ts = kept(found.select(F.col("value").alias("t")).distinct())
     rates = rates_at(scores, ts, _totals(scores)).select("t", rounded("fpr").alias("fpr"), rounded("fnr").alias("fnr"))
     once = rates.groupBy("fpr", "fnr").agg(F.min("t").alias("t"))  # n rows at most
     from pyspark.sql import Window

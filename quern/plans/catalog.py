@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.numbers import rounded
-from quern.operators import classification, detection, documents, layout, openset, signals, tracker, transcripts, verification
+from quern.operators import classification, detection, documents, layout, long_signals, openset, ordered, signals, tracker, transcripts, verification
 from quern.plans import tables as t
 from quern.sources import records
 from quern.streaming import levels
@@ -60,7 +60,7 @@ def macro_f1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PER_CLASS} SELECT (SELECT round_even(avg((y_true = y_pred)::INT::DOUBLE), 6) FROM samples) AS accuracy, (SELECT round_even(avg(f1), 6) FROM prf) AS macro_f1, (SELECT count(*) FROM prf) AS n_classes, (SELECT count(*) FROM samples) AS n")
 def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = classification.report(t.labelled(spark, sf_dir))
+    r = classification.report(t.labelled(spark, sf_dir), dense=False)
     return r.select("accuracy", "macro_f1", F.size("per_class").cast("long").alias("n_classes"), F.aggregate("confusion", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n"))
 
 
@@ -199,23 +199,38 @@ def dft_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.spectra(t.vector_signals(spark, sf_dir), 64, 64).withColumn("centroid", rounded("centroid", 4))
 
 
-CHUNKS = "x AS (SELECT user_id::VARCHAR AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value / 500)::FLOAT::DOUBLE AS v FROM events), c AS (SELECT CASE WHEN i < 4096 THEN u ELSE u || '-' || i // 4096 END AS path, i % 4096 AS i, v FROM x)"
+SERIES = "x AS (SELECT user_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value / 500)::FLOAT::DOUBLE AS v FROM events)"
 
 
-@query(f"WITH {CHUNKS}, d AS (SELECT path, v, abs(sign(v) - sign(lag(v) OVER (PARTITION BY path ORDER BY i))) AS d FROM c) SELECT path, round_even(count(*) / 100.0::DOUBLE, 3) AS duration_s, round_even(20 * log10(sqrt(avg(v * v)) + 1e-12), 2) AS rms_db, round_even(avg(d), 5) AS zcr FROM d GROUP BY path")
+@query(f"WITH {SERIES}, d AS (SELECT path, v, abs(sign(v) - sign(lag(v) OVER (PARTITION BY path ORDER BY i))) AS d FROM x) SELECT path, round_even(count(*) / 100.0::DOUBLE, 3) AS duration_s, round_even(20 * log10(sqrt(avg(v * v)) + 1e-12), 2) AS rms_db, round_even(avg(d), 5) AS zcr FROM d GROUP BY path")
 def levels_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals.features(t.user_signals(spark, sf_dir), ("duration", "zcr"))
-    return found.select("path", "duration_s", "rms_db", "zcr")
+    return long_signals.features(t.user_samples(spark, sf_dir), ("duration", "zcr")).select("path", "duration_s", "rms_db", "zcr")
 
 
 @query()
 def features_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.features(t.user_signals(spark, sf_dir).withColumn("sr", F.lit(16000)), signals.FEATURES)
+    return long_signals.features(t.user_samples(spark, sf_dir).withColumn("sr", F.lit(16000)), signals.FEATURES)
 
 
 @query()
 def converted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.converted(t.user_signals(spark, sf_dir), sr=80, normalize=True).select("path", "sr", F.size("samples").alias("n"), F.sha2("wav", 256).alias("wav_sha256"))
+    files = long_signals.digests(long_signals.wav_parts(long_signals.converted(t.user_samples(spark, sf_dir), sr=80, normalize=True)))
+    return files.select("path", F.lit(80).alias("sr"), F.expr("(n_bytes - 44) div 2").cast("int").alias("n"), F.col("sha256").alias("wav_sha256"))
+
+
+@query("SELECT user_id::VARCHAR AS path, 80 AS sr, ceil(count(*) * 4 / 5.0)::BIGINT AS frames, 44 + 2 * ceil(count(*) * 4 / 5.0)::BIGINT AS n_bytes FROM events GROUP BY 1")
+def converted_lengths_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the files that ``converted_users`` hashes, from the blocks that they are written in."""
+    parts = long_signals.converted(t.user_samples(spark, sf_dir), sr=80)
+    size = parts.groupBy("path").agg(F.max("sr").alias("sr"), F.sum("frames").alias("frames"), F.sum(F.octet_length("pcm")).alias("_n"))
+    return size.select("path", "sr", "frames", (F.col("_n") + 44).alias("n_bytes"))
+
+
+@query("SELECT user_id, unnest([0.05, 0.5, 0.95])::DOUBLE AS share, round_even(unnest(quantile_cont(value, [0.05, 0.5, 0.95])), 6) AS value FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def quantiles_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of each user's values, however many one user has."""
+    counts = t.table(spark, sf_dir, "events").groupBy("user_id", "value").agg(F.count("*").alias("n"))
+    return ordered.order_statistics(counts, ["user_id"], "value", "n", [0.05, 0.5, 0.95]).withColumn("value", rounded("value"))
 
 
 @query("WITH k AS (SELECT event_id, unnest(json_keys(props)) AS key FROM events) SELECT key, count(*) AS n FROM k GROUP BY key ORDER BY n DESC, min(event_id) LIMIT 8")

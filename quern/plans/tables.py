@@ -44,14 +44,6 @@ def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(e, "event_id", {"pos": "one"}, by=["path"]).select("path", F.lit(100).alias("sr"), "pos", "value")
 
 
-def user_signals(spark: SparkSession, sf_dir: str, most: int = 4096) -> DataFrame:
-    """Signals of at most ``most`` samples as arrays: the users' values, cut where a user has more."""
-    part = F.floor(F.col("pos") / most)
-    path = F.when(part == 0, F.col("path")).otherwise(F.concat_ws("-", "path", part.cast("string")))
-    series = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
-    return user_samples(spark, sf_dir).groupBy(path.alias("path")).agg(series.alias("samples")).withColumn("sr", F.lit(100))
-
-
 def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(64).alias("sr"), F.col("embedding").alias("samples"))
 
