@@ -114,10 +114,20 @@ def features(samples: DataFrame, wanted: tuple[str, ...] = ("duration", "peak_fr
 
     Samples without a rate or a value take no part; a signal without any has no row.
     """
-    if bad := [f for f in wanted if f not in FEATURES]:
-        raise ValueError(f"unknown features: {bad}")
     reach = F.greatest(F.lit(N_FFT), (F.col("sr") * (PITCH_MS / 1000)).cast("int")) + 1
     known = samples.where("sr > 0 AND value IS NOT NULL")
+    return features_of_blocks(blocks(known, size, after=reach), wanted, size)
+
+
+def features_of_blocks(blocks: DataFrame, wanted: tuple[str, ...], size: int) -> DataFrame:
+    """``features`` of rows ``path, sr, block, first, samples``, whose blocks also hold what their frames reach into.
+
+    That is 1,025 samples and a pitch frame and one more after the block, whichever is more. Rows without a rate (files
+    that could not be read) take no part.
+    """
+    if bad := [f for f in wanted if f not in FEATURES]:
+        raise ValueError(f"unknown features: {bad}")
+    blocks = blocks.where("sr > 0").select("path", "sr", "block", "first", "samples")
     counts = "array<struct<v: double, n: bigint>>"
     schema = f"path string, sr int, n long, squares double, crossings double, pairs long, frames long, centroid double, rolloff double, peak {counts}, band {counts}, mfcc array<double>, pitch {counts}"
     kinds = pa.list_(pa.struct([("v", pa.float64()), ("n", pa.int64())]))
@@ -132,7 +142,7 @@ def features(samples: DataFrame, wanted: tuple[str, ...] = ("duration", "peak_fr
                 held = []
         yield pa.RecordBatch.from_pylist(held, pa.schema(types))
 
-    parts = kept(blocks(known, size, after=reach).mapInArrow(run, schema))
+    parts = kept(blocks.mapInArrow(run, schema))
     sums = [F.sum(c).alias(c) for c in ("n", "squares", "crossings", "pairs", "frames", "centroid", "rolloff")]
     mfcc = [F.sum(F.col("mfcc")[i]).alias(f"_mfcc{i}") for i in range(13)] if "mfcc" in wanted else []
     out = parts.groupBy("path").agg(F.max("sr").alias("sr"), *sums, *mfcc)

@@ -40,12 +40,33 @@ def quality(signals: DataFrame, **limits: float) -> DataFrame:
     return _judged(s.select("path", (F.size("samples") / F.col("sr")).alias("duration"), "peak", clip.alias("clip")), frame_rms(signals), **limits)
 
 
-def _judged(s: DataFrame, frames: DataFrame, min_sec: float = 0.2, max_sec: float = 120.0, clip_ratio: float = 0.01, silence_ratio: float = 0.8) -> DataFrame:
+def file_quality(files: DataFrame, **limits: float) -> DataFrame:
+    """``quality`` of decoded files (``path, sr, samples, error``), with their ``error``, in one pass over the samples."""
+    n = F.greatest((F.col("sr") * 50 / 1000).cast("int"), F.lit(1))
+    x, size = F.col("samples"), F.size("samples")
+    whole = F.transform(F.sequence(F.lit(0), F.floor(size / n).cast("int") - 1), lambda i: F.sqrt(_mean_square(F.slice(x, i * n + 1, n))))
+    rms = F.when(size == 0, F.array().cast("array<double>")).when(size < n, F.array(F.sqrt(_mean_square(x)))).otherwise(whole)
+    s = files.select("path", "error", (size / F.col("sr")).alias("duration"), F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))).alias("peak"), (F.size(F.filter(x, lambda v: F.abs(v.cast("double")) >= 0.99)) / F.nullif(size, F.lit(0))).alias("clip"), F.when(x.isNotNull(), rms).alias("frames"))
+    low = F.greatest(0.01 * F.col("peak"), F.lit(1e-5))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.nullif(F.size(a), F.lit(0))
+    s = s.select("path", "error", "duration", "peak", "clip", mean(F.transform("frames", lambda v: (v < low).cast("double"))).alias("silence"), mean(F.col("frames")).alias("rms"))
+    return _flagged(s, **limits).select("path", "error", *_QUALITY)
+
+
+def _judged(s: DataFrame, frames: DataFrame, **limits: float) -> DataFrame:
     """The roll-up of ``path, duration, peak, clip`` and frames, with flags."""
     f = frames.join(s.select("path", "peak"), "path").groupBy("path").agg(F.avg((F.col("rms") < F.greatest(0.01 * F.col("peak"), F.lit(1e-5))).cast("double")).alias("silence"), F.avg("rms").alias("rms"))
+    return _flagged(s.join(f, "path", "left"), **limits).select("path", *_QUALITY)
+
+
+_QUALITY = ("duration", "peak", "clip_ratio", "silence_ratio", "mean_rms", "flags")
+
+
+def _flagged(s: DataFrame, min_sec: float = 0.2, max_sec: float = 120.0, clip_ratio: float = 0.01, silence_ratio: float = 0.8) -> DataFrame:
+    """The rounded columns of ``_QUALITY`` from ``duration, peak, clip, silence, rms``; other columns stay."""
     flags = F.array_compact(F.array(F.when(F.col("clip") > clip_ratio, "clipping"), F.when(F.col("silence") > silence_ratio, "high-silence"), F.when(F.col("duration") < min_sec, "too-short"), F.when(F.col("duration") > max_sec, "too-long"), F.when(F.col("peak") == 0, "all-zero")))
-    q = s.join(f, "path", "left").withColumn("flags", flags).withColumn("flags", F.when(F.size("flags") > 0, F.col("flags")))
-    return q.select("path", rounded("duration", 3).alias("duration"), rounded("peak", 4).alias("peak"), rounded("clip", 5).alias("clip_ratio"), rounded("silence", 3).alias("silence_ratio"), rounded("rms", 5).alias("mean_rms"), "flags")
+    named = {"duration": rounded("duration", 3), "peak": rounded("peak", 4), "clip_ratio": rounded("clip", 5), "silence_ratio": rounded("silence", 3), "mean_rms": rounded("rms", 5), "flags": F.when(F.size(flags) > 0, flags)}
+    return s.withColumns(named)
 
 
 def sample_frames(samples: DataFrame, frame_ms: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import shown_number
 from quern.operators.ordered import numbered
+from quern.sources import file_sink
 
 #: Fixed texts of the report.
 TITLE, KEYS, AUDIT, CLEAN = "# 实验结果汇总（{n} 条，{keys}）", "核心指标：", "## 可追溯性审计", "- ✅ 未发现可追溯性问题"
@@ -88,3 +89,14 @@ def report(rows: DataFrame, check: bool = False) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return numbered(out.withColumnRenamed("line_no", "at"), ["part", "at"], "line_no").select("line_no", "line")
+
+
+def write_report(rows: DataFrame, path: str, check: bool = False) -> None:
+    """Writes the Markdown summary to a file, whose name must be ``SUMMARY.md``; ``..`` in the path is an error."""
+    folder, _, name = path.rpartition("/")
+    if ".." in path.split("/"):
+        raise ValueError(f"a path may not hold '..': {path!r}")
+    if name != "SUMMARY.md":
+        raise ValueError(f"a summary's file is SUMMARY.md, not {name!r}")
+    lines = report(rows, check).select(F.lit(name).alias("file"), F.col("line_no").alias("part"), F.encode(F.concat("line", F.lit("\n")), "UTF-8").alias("content"))
+    file_sink.write(lines, folder or ".", replace=True)

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import signals
-from quern.sources import audio
-from quern.sources.records import safe_path, write_files
+from quern.operators import long_signals, signals
+from quern.sources import audio, file_sink, wav_source
+from quern.sources.records import safe_path
+from quern.sources.shared import kept
 
 #: Fixed columns of the audit's table.
 AUDIT = ("path", "sr", "channels", "duration", "peak", "clip_ratio", "silence_ratio", "mean_rms", "size_mb", "flags", "error")
 
+#: Fixed text: what a conversion says of files that it does not know.
+UNSUPPORTED = "存在未支持格式的文件"
+
 
 def prepared(outdir: str, source: str | None = None) -> str:
     """The folder to write to; ``..`` in it or in the source, and the source itself, are errors."""
@@ -36,27 +40,33 @@ def _json(row: DataFrame, folder: str) -> None:
     row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)  # one row
 
 
+def _heads(spark: SparkSession, path: str, pcm_sr: int | None, pcm_dtype: str) -> DataFrame:
+    """``path, size, sr, channels, frames, error`` of the audio files, without their samples where Arrow can open them."""
+    if wav_source.readable(path):
+        return wav_source.headers(spark, path, pcm_sr, pcm_dtype)
+    heads = audio.read(spark, path, pcm_sr, pcm_dtype, header_only=True, limit=1 << 40)
+    return heads.join(audio.listing(spark, path).select("path", "size"), "path")
+
+
 def audited(spark: SparkSession, path: str, light: bool = False, max_read_mb: int = 300, pcm_sr: int | None = None, pcm_dtype: str = "int16", **limits: float) -> DataFrame:
     """One row for each audio file with the columns of ``AUDIT``.
 
     With ``light``, and for files over ``max_read_mb``, only headers are read and quality stays null; of the flags those
-    of the duration remain. Files that fail have their ``error``.
+    of the duration remain. Files that fail have their ``error``. Other files are read and decoded once.
     """
-    size = audio.listing(spark, path).where("kind = 'audio'").select("path", F.bround(F.col("size") / 1e6, 2).alias("size_mb"), (F.col("size") > max_read_mb << 20).alias("large"))
-    heads = audio.read(spark, path, pcm_sr, pcm_dtype, header_only=True, limit=1 << 40).select("path", "sr", "channels", F.bround(F.col("frames") / F.col("sr"), 3).alias("seconds"), F.col("error"))
+    heads = _heads(spark, path, pcm_sr, pcm_dtype).withColumn("size_mb", F.bround(F.col("size") / 1e6, 2)).withColumn("seconds", F.bround(F.col("frames") / F.col("sr"), 3))
     low, high = limits.get("min_sec", 0.2), limits.get("max_sec", 120.0)
     flags = F.array_compact(F.array(F.when(F.col("seconds") < low, "too-short"), F.when(F.col("seconds") > high, "too-long")))
-    out = size.join(heads, "path", "left").withColumn("flags_light", F.when(F.size(flags) > 0, flags))
+    out = heads.withColumn("flags_light", F.when(F.size(flags) > 0, flags))
     if light:
         none = F.lit(None).cast("double")
         return out.select("path", "sr", "channels", F.col("seconds").alias("duration"), none.alias("peak"), none.alias("clip_ratio"), none.alias("silence_ratio"), none.alias("mean_rms"), "size_mb", F.col("flags_light").alias("flags"), "error")
     read = audio.read(spark, path, pcm_sr, pcm_dtype, limit=max_read_mb << 20)
-    whole = read.where("error IS NULL")
-    q = signals.quality(whole, **limits)
-    failed = read.where("error IS NOT NULL").select("path", F.col("error").alias("failed"))
-    out = out.join(q, "path", "left").join(failed, "path", "left")
+    q = kept(signals.file_quality(read, **limits))
+    out = out.withColumnRenamed("error", "head_error").join(q, "path", "left")
     # a file over the limit has its header, which is no error
-    error = F.when(~F.col("large"), F.coalesce("error", "failed")).otherwise(F.col("error"))
+    large = F.col("size") > max_read_mb << 20
+    error = F.when(~large, F.coalesce("head_error", "error")).otherwise(F.col("head_error"))
     return out.select("path", "sr", "channels", F.coalesce("duration", "seconds").alias("duration"), "peak", "clip_ratio", "silence_ratio", "mean_rms", "size_mb", F.coalesce("flags", F.when(F.col("duration").isNull(), F.col("flags_light"))).alias("flags"), error.alias("error"))
 
 
@@ -83,7 +93,7 @@ def audit(spark: SparkSession, path: str, outdir: str, light: bool = False, **op
 def convert(spark: SparkSession, path: str, outdir: str, sr: int = 16000, mono: bool = False, trim: str | None = None, normalize: bool = False, pattern: str | None = None, pcm_sr: int | None = None, pcm_dtype: str = "int16") -> DataFrame:
     """Converts a folder to 16-bit WAV files ``<stem>_<sr>hz[_mono].wav`` below ``outdir``; returns ``file, size, error``.
 
-    Every file's channels are kept unless ``mono``. Inputs of one stem and folder would share a name; the folder below
+    The summary goes to ``audio_convert.json``. Every file's channels are kept unless ``mono``. Inputs of one stem and folder would share a name; the folder below
     ``path`` is kept, so that inputs of different folders don't.
     """
     root = prepared(outdir, path)
@@ -93,10 +103,23 @@ def convert(spark: SparkSession, path: str, outdir: str, sr: int = 16000, mono:
     name = relative(F.col("path"), path)
     stem = F.regexp_replace(name, r"\.[^./]+$", "")
     rows = done.select(F.concat(stem, F.lit(f"_{sr}hz{'_mono' if mono else ''}.wav")).alias("file"), F.col("wav").alias("content"))
-    written = write_files(rows, root, replace=True).withColumn("error", F.lit(None).cast("string"))
+    file_sink.write(rows, root, replace=True, manifest="audio_convert_files.json")
+    written = spark.read.schema("file string, size long").json(f"{root}/audio_convert_files.json").withColumn("error", F.lit(None).cast("string"))
     failed = read.where("error IS NOT NULL").select(name.alias("file"), F.lit(None).cast("long").alias("size"), "error")
     written.unionByName(failed).write.mode("overwrite").parquet(f"{root}/_converted")
-    return spark.read.parquet(f"{root}/_converted")
+    done = spark.read.parquet(f"{root}/_converted")
+    _json(converted_summary(done, audio.listing(spark, path).where("kind = 'unsupported'"), root, sr), f"{root}/audio_convert.json")
+    return done
+
+
+def converted_summary(rows: DataFrame, unsupported: DataFrame, outdir: str, sr: int) -> DataFrame:
+    """One row ``status, outdir, converted, failed, failures`` (the first 10 by name)``, target_sr, warnings`` of rows ``file, size, error``."""
+    bad = rows.where("error IS NOT NULL")
+    some = bad.select("file", "error").orderBy("file").limit(10).agg(F.sort_array(F.collect_list(F.struct("file", "error"))).alias("failures"))
+    other = unsupported.limit(1).agg(F.when(F.count("*") > 0, F.array(F.lit(UNSUPPORTED))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    counts = rows.agg(F.count_if(F.col("error").isNull()).alias("converted"), F.count("error").alias("failed"))
+    whole = counts.join(F.broadcast(some)).join(F.broadcast(other))  # one row each
+    return whole.select(F.lit("ok").alias("status"), F.lit(outdir).alias("outdir"), "converted", "failed", "failures", F.lit(sr).alias("target_sr"), "warnings")
 
 
 def relative(path: Column, root: str) -> Column:
@@ -111,9 +134,18 @@ def features(spark: SparkSession, path: str, outdir: str, wanted: tuple[str, ...
     """Features of a folder's files: writes ``acoustic_features.csv`` and ``acoustic_features_summary.json``; returns the summary's row."""
     root = prepared(outdir, None)
     prepared(path)
-    read = audio.read(spark, path, pcm_sr, pcm_dtype)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = signals.features(read.where("error IS NULL"), wanted).withColumn("file", name).drop("path")
+    if wav_source.readable(path):  # files of any length, a block at a time
+        size = long_signals.BLOCK
+        read = wav_source.sample_blocks(spark, path, size, after=long_signals.N_FFT + 1, after_ms=long_signals.PITCH_MS, pcm_sr=pcm_sr, pcm_dtype=pcm_dtype)
+        found = long_signals.features_of_blocks(read, wanted, size)
+        read = _heads(spark, path, pcm_sr, pcm_dtype)
+        # files without a sample have a row too
+        found = read.where("error IS NULL").select("path").join(found, "path", "left")
+    else:
+        read = audio.read(spark, path, pcm_sr, pcm_dtype)
+        found = signals.features(read.where("error IS NULL"), wanted)
+    rows = found.withColumn("file", name).drop("path")
     _csv(rows.select("file", *[c for c in rows.columns if c != "file"]), f"{root}/acoustic_features.csv")
     done = spark.read.option("header", "true").csv(f"{root}/acoustic_features.csv").agg(F.count("*").alias("n_files"), F.lit(1).alias("_"))
     failed = read.where("error IS NOT NULL").select(name.alias("file"), "error")

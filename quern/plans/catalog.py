@@ -248,6 +248,20 @@ def fingerprint_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.fingerprint(t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("modified")))
 
 
+TREE = """l AS (SELECT ('0x' || left(sha256(doc_id::VARCHAR), 8))::BIGINT >> 16 AS r, sha256(doc_id::VARCHAR || '|' || n_chars::VARCHAR || '|' || source) AS h FROM documents),
+ t0 AS (SELECT r, sha256(string_agg(h, chr(10) ORDER BY h)) AS hash, count(*) AS n FROM l GROUP BY r),
+ t1 AS (SELECT r >> 4 AS r, sha256(string_agg(hash, chr(10) ORDER BY r)) AS hash, sum(n)::BIGINT AS n FROM t0 GROUP BY r >> 4),
+ t2 AS (SELECT r >> 4 AS r, sha256(string_agg(hash, chr(10) ORDER BY r)) AS hash, sum(n)::BIGINT AS n FROM t1 GROUP BY r >> 4),
+ t3 AS (SELECT r >> 4 AS r, sha256(string_agg(hash, chr(10) ORDER BY r)) AS hash, sum(n)::BIGINT AS n FROM t2 GROUP BY r >> 4),
+ t4 AS (SELECT r >> 4 AS r, sha256(string_agg(hash, chr(10) ORDER BY r)) AS hash, sum(n)::BIGINT AS n FROM t3 GROUP BY r >> 4)"""
+
+
+@query(f"WITH {TREE} SELECT 0 AS level, r AS range, hash, n FROM t0 UNION ALL SELECT 1, * FROM t1 UNION ALL SELECT 2, * FROM t2 UNION ALL SELECT 3, * FROM t3 UNION ALL SELECT 4, * FROM t4")
+def fingerprint_tree_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree over a listing of any size, whose changed ranges alone need hashing again."""
+    return records.fingerprint_levels(t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.col("source").alias("modified")))
+
+
 @query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS text FROM pages")
 def strip_tags_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "pages").select("page_id", text.without_tags("html").alias("text"))

@@ -44,4 +44,4 @@ def summary(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, boxes: DataFrame, blocks: DataFrame, outdir: str) -> None:
     """Writes all documents' files below a folder that all executors share."""
-    write_files(files(pages, boxes, blocks), outdir, replace=True).write.format("noop").mode("overwrite").save()
+    write_files(files(pages, boxes, blocks), outdir, replace=True)

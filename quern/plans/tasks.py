@@ -97,4 +97,4 @@ def write_result(result: DataFrame, path: str) -> None:
         raise ValueError(f"a result's file is metrics_result.json, not {name!r}")
     text = F.to_json(F.struct("status", "task", "metrics"), {"ignoreNullFields": "false"})
     rows = result.select(F.lit(name).alias("file"), F.encode(text, "UTF-8").alias("content"))
-    write_files(rows, safe_path(folder or ".", "."), replace=True).write.format("noop").mode("overwrite").save()
+    write_files(rows, safe_path(folder or ".", "."), replace=True)

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import os
 import subprocess
-import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import safe_name
+from quern.sources import file_sink
+from quern.sources.shared import kept
 
 #: The fields of a record; metrics and settings keep their literal text.
 RECORD = "schema_version int, name string, timestamp string, metrics map<string,string>, config map<string,string>, git struct<commit:string,dirty:boolean>, notes string, split_fingerprint struct<file:string,sha256:string>, data_fingerprint struct<sha256:string,n_files:int,mode:string>"
@@ -48,46 +50,50 @@ def registered(runs: DataFrame, git: tuple[str | None, bool | None] = (None, Non
     state = F.struct(F.lit(git[0]).cast("string").alias("commit"), F.lit(git[1]).cast("boolean").alias("dirty"))
     record = F.struct(F.lit(VERSION).alias("schema_version"), F.col("_name").alias("name"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), F.parse_json("_metrics").alias("metrics"), F.parse_json("_config").alias("config"), state.alias("git"), notes.alias("notes"), *optional)
     file = F.concat("_name", F.lit("_"), F.date_format("timestamp", "yyyy-MM-dd'T'HHmmssSSS"), F.lit(".json"))
-    return rows.select(file.alias("file"), F.to_json(record).alias("json"))
+    return rows.select(file.alias("file"), F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def append(rows: DataFrame, folder: str) -> None:
-    """Adds ``file, json`` rows to a folder that all executors share, a file each; files that are there already are an error."""
-    write_files(rows.select("file", F.encode("json", "UTF-8").alias("content")), folder).write.format("noop").mode("overwrite").save()
+def folder_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` (below the folder)``, size, modified`` (whole seconds) of a folder's files, as Spark lists them: without hidden ones."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = folder.split(":", 1)[-1].rstrip("/") if ":" in folder.split("/")[0] else os.path.realpath(folder)
+    bare = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    inside = F.expr(f"substring(bare, {len('/' + root.strip('/')) + 2})")
+    return files.select(bare.alias("bare"), "length", "modificationTime").select(inside.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified"))
 
 
-def write_files(rows: DataFrame, folder: str, replace: bool = False) -> DataFrame:
-    """``file, size`` of ``file, content`` (binary) rows, which are written below a folder that all executors share when this is run.
+def register(spark: SparkSession, results_dir: str, name: str, metrics: str, config: str = "{}", notes: str = "", split_file: str | None = None, data_dir: str | None = None, workdir: str = ".", timestamp: datetime | None = None) -> str:
+    """Adds one result to a folder and returns its file's path: git state, the split file's hash and the data folder's fingerprint go with it.
 
-    Each file is there whole or not at all.
-    Tasks write under names of their own and then rename, so that a task that is run again does no harm. Without
-    ``replace`` a file of other content that is there already is an error.
+    metrics and config are JSON texts; ``..`` in the folder is an error. timestamp: now, if not given.
     """
-    root = safe_path(folder, ".")
+    if ".." in results_dir.split("/"):
+        raise ValueError(f"a path may not hold '..': {results_dir!r}")
+    at = timestamp or datetime.now()
+    runs = spark.createDataFrame([(name, metrics, config, notes, at.isoformat(sep=" ", timespec="milliseconds"))], "name string, metrics string, config string, notes string, timestamp string")
+    runs = runs.withColumn("timestamp", F.to_timestamp("timestamp"))
+    if split_file is not None:
+        whole = content_hashes(spark, split_file).select(F.struct(F.lit(os.path.abspath(split_file)).alias("file"), "sha256").alias("split_fingerprint"))
+        runs = runs.join(F.broadcast(whole))  # one file
+    if data_dir is not None:
+        found = fingerprint(folder_listing(spark, data_dir)).select(F.struct("sha256", F.col("n_files").cast("int").alias("n_files"), "mode").alias("data_fingerprint"))
+        runs = runs.join(F.broadcast(found))  # one row
+    rows = kept(registered(runs, git_state(workdir)))
+    append(rows, results_dir)
+    return f"{results_dir.rstrip('/')}/{rows.first().file}"
+
+
+def append(rows: DataFrame, folder: str) -> None:
+    """Adds ``file, json`` rows to a folder that all executors share, a file each; files of other content that are there already are an error."""
+    write_files(rows.select("file", F.encode("json", "UTF-8").alias("content")), folder)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                path = safe_path(root, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                own = f"{path}.{uuid.uuid4().hex}.part"
-                with open(own, "wb") as f:
-                    f.write(content)
-                try:
-                    if replace:
-                        os.replace(own, path)
-                        continue
-                    os.link(own, path)  # fails if the file is there
-                except FileExistsError:
-                    with open(path, "rb") as f:
-                        if f.read() != content:
-                            raise
-                finally:
-                    if os.path.exists(own):
-                        os.unlink(own)
-            yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array([len(c) for c in batch.column("content").to_pylist()], pa.int64())], ["file", "size"])
-
-    return rows.select("file", "content").mapInArrow(write, "file string, size long")
+
+def write_files(rows: DataFrame, folder: str, replace: bool = False) -> None:
+    """Writes ``file, content`` (binary) rows below a folder that all executors share: all of them, or none if the job fails.
+
+    Without ``replace`` a file of other content that is there already is an error.
+    """
+    file_sink.write(rows.select("file", "content"), folder if "://" in folder else safe_path(folder, "."), replace)
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -100,8 +106,8 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")).alias("line"))
+def _lines(files: DataFrame, *others: str) -> DataFrame:
+    return files.select(*others, F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")).alias("line"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
@@ -125,16 +131,53 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return found.unionByName(none).agg(F.max_by("sha256", "n_files").alias("sha256"), F.max("n_files").alias("n_files")).withColumn("mode", F.lit("stat-fingerprint"))
 
 
-def tree_fingerprint(files: DataFrame) -> DataFrame:
-    """``sha256`` (16 digits)``, n_files`` like ``fingerprint``, but of hashes of hashes: another value, for any number of files.
+def fingerprint_levels(files: DataFrame, bits: int = 16, step: int = 4) -> DataFrame:
+    """``level, range, hash, n``: a hash tree over rows ``path, size, modified``. Level 0 has the ranges of files, the last one the whole.
 
-    Lines are hashed one by one and the hashes together by ranges of 65,536 values of the path's hash, so that no task
-    holds more than a range's lines.
+    A file's range is the first ``bits`` of its path's hash; a range's hash is over its lines' hashes in order. ``2**step``
+    ranges that follow each other have one parent, over their hashes. No task holds more than a range's hashes, and a
+    changed file changes one range in each level, so that two trees differ where their files do (``changed_ranges``).
     """
-    parts = _lines(files).select(F.sha2("line", 256).alias("h"), F.shiftrightunsigned(F.xxhash64("line"), 48).alias("part"))
-    parts = parts.groupBy("part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    whole = parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
-    return whole.select(F.substring("sha256", 1, 16).alias("sha256"), "n_files")
+    part = F.conv(F.substring(F.sha2("path", 256), 1, 8), 16, 10).cast("long")
+    rows = _lines(files.select("path", "size", "modified", F.shiftright(part, 32 - bits).alias("range")), "range").select("range", F.sha2("line", 256).alias("h"))
+    return _with_parents(kept(rows.groupBy("range").agg(_joined(F.sort_array(F.collect_list("h"))), F.count("*").alias("n"))), bits, step)
+
+
+def _joined(hashes: Column) -> Column:
+    return F.sha2(F.array_join(hashes, "\n"), 256).alias("hash")
+
+
+def _with_parents(level: DataFrame, bits: int, step: int) -> DataFrame:
+    """A tree from its level 0 (``range, hash, n``)."""
+    out, at = level.select(F.lit(0).alias("level"), "range", "hash", "n"), 0
+    while at * step < bits:
+        at += 1
+        own = F.transform(F.sort_array(F.collect_list(F.struct("range", "hash"))), lambda x: x["hash"])
+        level = level.groupBy(F.shiftright("range", step).alias("parent")).agg(_joined(own), F.sum("n").alias("n")).withColumnRenamed("parent", "range")
+        out = out.unionByName(level.select(F.lit(at).alias("level"), "range", "hash", "n"))
+    return out
+
+
+def tree_fingerprint(files: DataFrame, bits: int = 16) -> DataFrame:
+    """``sha256`` (16 digits)``, n_files`` like ``fingerprint``, but of hashes of hashes: another value, for any number of files."""
+    top = F.struct("level", F.substring("hash", 1, 16).alias("sha256"), "n")
+    whole = fingerprint_levels(files, bits).agg(F.max(top).alias("top"), F.substring(F.sha2(F.lit(""), 256), 1, 16).alias("none"))
+    return whole.select(F.coalesce("top.sha256", "none").alias("sha256"), F.coalesce("top.n", F.lit(0)).alias("n_files"))
+
+
+def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``level, range`` of two trees (``fingerprint_levels``) whose hashes differ, or that only one has."""
+    both = before.alias("a").join(after.alias("b"), ["level", "range"], "full")
+    return both.where("NOT a.hash <=> b.hash").select("level", "range")
+
+
+def updated_levels(tree: DataFrame, files: DataFrame, changed: DataFrame, bits: int = 16, step: int = 4) -> DataFrame:
+    """The tree of ``files`` from an older ``tree`` and the paths (``changed``) that were added, altered or removed: only their ranges are hashed again."""
+    part = lambda c: F.shiftright(F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long"), 32 - bits)
+    touched = kept(changed.select(part("path").alias("range")).distinct())
+    again = fingerprint_levels(files.where(F.col("path").isNotNull()).withColumn("_range", part("path")).join(touched.withColumnRenamed("range", "_range"), "_range", "left_semi"), bits, step).where("level = 0")
+    same = tree.where("level = 0").join(touched, "range", "left_anti").select("range", "hash", "n")
+    return _with_parents(kept(same.unionByName(again.select("range", "hash", "n"))), bits, step)
 
 
 def safe_path(root: str, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -146,13 +147,55 @@ def test_registered_records(spark: SparkSession, tmp_path: Path) -> None:
     assert (got["metrics"], got["config"], got["git"], got["timestamp"], got["schema_version"]) == ({"eer": 0.25, "n": 2}, {"lr": 0.1}, {"commit": "abc", "dirty": True}, "2026-01-02T03:04:05", 1)
     assert records.records(spark, str(tmp_path)).first().metrics == {"eer": "0.25", "n": "2"}
     records.append(records.registered(runs, ("abc", True)), str(tmp_path))  # the same again does no harm
-    with pytest.raises(Exception, match="FileExists"):
+    with pytest.raises(Exception, match="other content"):
         records.append(records.registered(runs, ("other", True)), str(tmp_path))
     for bad in ("{}", "[1]", "no", None):
         with pytest.raises(Exception, match="metrics must be"):
             records.registered(runs.withColumn("metrics", F.lit(bad).cast("string"))).collect()
 
 
+def test_one_call_registers(spark: SparkSession, tmp_path: Path) -> None:
+    """Git state, split and data folder go into the record; the summary is written under its one name."""
+    data, results = tmp_path / "data", tmp_path / "results"
+    (data / "sub").mkdir(parents=True)
+    results.mkdir()
+    (data / "a.txt").write_text("one")
+    (data / "sub" / "b.txt").write_text("three")
+    (tmp_path / "split.csv").write_text("train,a")
+    at = datetime(2026, 1, 2, 3, 4, 5, 678_900)
+    path = records.register(spark, str(results), "my run", '{"eer": 0.5}', '{"lr": 1}', "note", str(tmp_path / "split.csv"), str(data), str(tmp_path), at)
+    assert path == str(results / "my_run_2026-01-02T030405678.json")
+    got = json.loads(Path(path).read_text())
+    lines = sorted(f"{p.relative_to(data)}|{p.stat().st_size}|{int(p.stat().st_mtime)}" for p in data.rglob("*") if p.is_file())
+    assert got["data_fingerprint"] == {"sha256": hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16], "n_files": 2, "mode": "stat-fingerprint"}
+    assert got["split_fingerprint"] == {"file": str(tmp_path / "split.csv"), "sha256": hashlib.sha256(b"train,a").hexdigest()}
+    assert (got["notes"], got["config"], got["git"]["commit"]) == ("note", {"lr": 1}, None)
+    with pytest.raises(Exception, match="metrics must be"):
+        records.register(spark, str(results), "x", "{}")
+    with pytest.raises(ValueError, match="may not hold"):
+        records.register(spark, f"{results}/../x", "x", '{"a": 1}')
+    rows = records.records(spark, str(results)).withColumn("split", F.col("split_fingerprint.sha256"))
+    tracker.write_report(rows, str(tmp_path / "SUMMARY.md"), check=True)
+    assert (tmp_path / "SUMMARY.md").read_text() == "".join(r.line + "\n" for r in tracker.report(rows, check=True).orderBy("line_no").collect())
+    for bad in ("other.md", "../SUMMARY.md"):
+        with pytest.raises(ValueError, match="SUMMARY.md|may not hold"):
+            tracker.write_report(rows, str(tmp_path / bad))
+
+
+def test_changed_files_touch_one_range(spark: SparkSession) -> None:
+    files = spark.range(0, 5000, 1, 3).select(F.concat(F.lit("d/"), "id").alias("path"), F.col("id").alias("size"), F.lit(7).alias("modified"))
+    one = files.withColumn("size", F.when(F.col("path") == "d/77", 1).otherwise(F.col("size")))
+    fewer = files.where("path <> 'd/78'")
+    tree = records.fingerprint_levels(files)
+    for other, path in ((one, "d/77"), (fewer, "d/78")):
+        differ = sorted(tuple(r) for r in records.changed_ranges(tree, records.fingerprint_levels(other)).collect())
+        first = int(hashlib.sha256(path.encode()).hexdigest()[:4], 16)
+        assert differ == [(k, first >> 4 * k) for k in range(5)]
+        again = records.updated_levels(tree, other, spark.createDataFrame([(path,)], "path string"))
+        assert records.changed_ranges(again, records.fingerprint_levels(other)).collect() == []
+    assert records.tree_fingerprint(files).first().n_files == 5000 and records.tree_fingerprint(files.limit(0)).first().n_files == 0
+
+
 def test_fingerprints_and_paths(spark: SparkSession, tmp_path: Path) -> None:
     files = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "path string, size long, modified long")
     first = tuple(records.fingerprint(files).first())

@@ -80,6 +80,8 @@ def test_convert(mono: bool, spark: SparkSession, folder: Path, tmp_path: Path)
     done = audio_jobs.convert(spark, str(folder), str(out), sr=4000, mono=mono, trim="0-0.5", normalize=True).collect()
     end = "_4000hz_mono.wav" if mono else "_4000hz.wav"
     assert {r.file for r in done if r.error is None} == {f"a{end}", f"loud{end}", f"sub/two{end}"} and [r.file for r in done if r.error] == ["bad.wav"]
+    said = spark.read.json(str(out / "audio_convert.json")).first()
+    assert (said.status, said.converted, said.failed, said.target_sr, said.warnings) == ("ok", 3, 1, 4000, [audio_jobs.UNSUPPORTED]) and said.failures[0].file == "bad.wav"
     with wave.open(str(out / "sub" / f"two{end}")) as w:
         assert (w.getframerate(), w.getnchannels(), w.getnframes(), w.getsampwidth()) == (4000, 1 if mono else 2, 400, 2)
         x = np.frombuffer(w.readframes(400), "<i2").reshape(400, -1)
