@@ -1,12 +1,13 @@
 """Figures and outlines of laid-out pages, from tables of boxes.
 
 Boxes are columns ``x0, y0, x1, y1`` in points, with ``doc_id, page``. Two steps depend on the order of boxes, gathering
-drawings and dropping nested regions; they run by page, whose boxes are few, on rows dealt and sorted by page. Boxes that
-tie in the order are told apart by all their coordinates. The rest are joins by page.
+drawings (by a sweep line) and dropping nested regions; they run by page, on rows dealt and sorted by page. Boxes that tie
+in the order are told apart by all their coordinates. Overlaps and captions are joins by cells and bands of pages.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import FIGURE_CAPTION, TABLE_CAPTION, caption_label
 from quern.operators.ordered import at_places
+from quern.sources.shared import kept
 
 #: Fixed limits in points.
 MIN_SIDE, MIN_AREA, MAX_ASPECT, GAP, BELOW, ABOVE = 40, 3000, 15, 30, 260, 130
+#: Points of a side of the cells that boxes meet in.
+CELL = 128.0
 PAGE, BOX = ["doc_id", "page"], ["x0", "y0", "x1", "y1"]
 Box = tuple[float, float, float, float]
 
@@ -33,6 +37,26 @@ def _overlap(a: str, b: str) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
+def overlapping(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
+    """All columns of ``left`` (with ``a`` before their names) and ``right`` (``b``) for boxes of a page that share an area.
+
+    A page is laid out in square cells. A box goes to every cell that it touches, and boxes meet in cells; a pair that
+    meets in several is given in one of them, that of the upper left corner of what they share (the reference point). So
+    a page with many boxes is dealt to many tasks and boxes far from each other never meet. ``cell``: points.
+    """
+    low = lambda c: F.floor(F.col(c) / cell).cast("int")
+    span = lambda a, b: F.explode(F.sequence(low(a), low(b)))
+
+    def celled(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(*PAGE, *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in PAGE])
+        named = named.where(f"{p}x1 > {p}x0 AND {p}y1 > {p}y0")
+        return named.select("*", span(f"{p}x0", f"{p}x1").alias("cx")).select("*", span(f"{p}y0", f"{p}y1").alias("cy"))
+
+    both = celled(left, "a").join(celled(right, "b"), [*PAGE, "cx", "cy"])
+    corner = lambda c: F.floor(F.greatest(F.col(f"a{c}"), F.col(f"b{c}")) / cell).cast("int")
+    return both.where((_overlap("a", "b") > 0) & (F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0"))).drop("cx", "cy")
+
+
 def _named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*PAGE, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in PAGE])
 
@@ -53,19 +77,74 @@ def parts_two(t: Box, a: Box, b: Box) -> bool:
 
 
 def gathered(boxes: list[Box], texts: list[Box], gap: float = GAP) -> list[Box]:
-    """Boxes from top to bottom, each joined to the first cluster within ``gap`` that no text parts from it."""
+    """Boxes from top to bottom, each joined to the first cluster within ``gap`` that no text parts from it.
+
+    A line sweeps down the page. Clusters whose lower edge it has left behind by ``gap`` can take no more boxes, as all
+    that follow begin lower. Those still open, and the texts, stand in bins by their left and right edges, so that a box
+    meets only what is near it; of equals the cluster that began first is the first.
+    """
     clusters: list[Box] = []
+    open_, words = Bins(), Bins()
+    for t in texts:
+        words.put(len(words.boxes), t)
     for b in sorted(boxes, key=lambda b: (b[1], b[0], b[3], b[2])):
-        for i, c in enumerate(clusters):
+        open_.leave(b[1] - gap)
+        for i in open_.near(b[0] - gap, b[2] + gap):
+            c = clusters[i]
             near = max(c[0], b[0] - gap) < min(c[2], b[2] + gap) and max(c[1], b[1] - gap) < min(c[3], b[3] + gap)
-            if near and not any(parts_two(t, c, b) for t in texts):
+            if near and not _parted(words, c, b):
                 clusters[i] = (min(c[0], b[0]), min(c[1], b[1]), max(c[2], b[2]), max(c[3], b[3]))
+                open_.put(i, clusters[i])
                 break
         else:
+            open_.put(len(clusters), b)
             clusters.append(b)
     return clusters
 
 
+def _parted(words: Bins, c: Box, b: Box) -> bool:
+    """Whether some text parts two boxes. Such a text overlaps the span of both from left to right."""
+    return any(parts_two(words.boxes[i], c, b) for i in words.near(min(c[0], b[0]) - 1, max(c[2], b[2]) + 1))
+
+
+class Bins:
+    """Boxes by number in bins from left to right; a box can grow and, once the sweep has passed its lower edge, leaves."""
+
+    WIDTH = 32.0
+
+    def __init__(self) -> None:
+        self.boxes: dict[int, Box] = {}
+        self.bins: dict[int, set[int]] = {}
+        self.ends: list[tuple[float, int]] = []
+
+    def _over(self, low: float, high: float) -> range:
+        return range(int(low // self.WIDTH), int(high // self.WIDTH) + 1)
+
+    def put(self, i: int, box: Box) -> None:
+        """Adds a box, or puts a greater one in its place."""
+        old = self.boxes.get(i)
+        self.boxes[i] = box
+        known = () if old is None else self._over(old[0], old[2])
+        for k in self._over(box[0], box[2]):
+            if k not in known:
+                self.bins.setdefault(k, set()).add(i)
+        if old is None or box[3] > old[3]:
+            heapq.heappush(self.ends, (box[3], i))
+
+    def leave(self, line: float) -> None:
+        """Drops the boxes whose lower edge is not below the line."""
+        while self.ends and self.ends[0][0] <= line:
+            end, i = heapq.heappop(self.ends)
+            if i in self.boxes and self.boxes[i][3] == end:
+                for k in self._over(self.boxes[i][0], self.boxes[i][2]):
+                    self.bins[k].discard(i)
+                del self.boxes[i]
+
+    def near(self, low: float, high: float) -> list[int]:
+        """The numbers of boxes that share a bin with the span, least first."""
+        return sorted(set().union(*(self.bins.get(k, ()) for k in self._over(low, high))))
+
+
 def not_nested(boxes: list[Box], share: float = 0.85) -> list[Box]:
     """Boxes by descending area without those that lie in a kept one for ``share`` of their area."""
     area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
@@ -123,14 +202,14 @@ def regions(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     found = _by_page(drawn.unionByName(marks), _clusters).select(*PAGE, *BOX).unionByName(images)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     fits = (w >= MIN_SIDE) & (h >= MIN_SIDE) & (w * h >= MIN_AREA) & (F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0)) <= MAX_ASPECT) & ~((w > 0.97 * F.col("width")) & (h > 0.97 * F.col("height")))
-    found = found.join(pages.select(*PAGE, "width", "height"), PAGE).where(fits).select(*PAGE, *BOX)
+    found = kept(found.join(pages.select(*PAGE, "width", "height"), PAGE).where(fits).select(*PAGE, *BOX))
     found = found.select("*", F.count("*").over(W.partitionBy(*PAGE)).alias("n"))
     several = _by_page(found.where("n > 1").withColumn("kind", F.lit("region")), lambda _, boxes: not_nested(boxes))
-    kept = found.where("n = 1").select(*PAGE, F.lit(0).alias("region"), *BOX).unionByName(several).repartition(*PAGE)
+    kept_ = kept(found.where("n = 1").select(*PAGE, F.lit(0).alias("region"), *BOX).unionByName(several))
     key = [*PAGE, "region"]
-    covered = lambda other: kept.select(*key, *[F.col(c).alias(f"r{c}") for c in BOX]).join(_named(other.select(*PAGE, *BOX), "o"), PAGE).groupBy(*key).agg(F.sum(_overlap("r", "o")).alias("a"))
+    covered = lambda other: overlapping(kept_.select(*key, *BOX), other.select(*PAGE, *BOX)).groupBy(*PAGE, F.col("aregion").alias("region")).agg(F.sum(_overlap("a", "b")).alias("a"))
     image, text = covered(images).withColumnRenamed("a", "image"), covered(texts).withColumnRenamed("a", "words")
-    out = kept.join(image, key, "left").join(text, key, "left")
+    out = kept_.join(image, key, "left").join(text, key, "left")
     cover = F.least(F.coalesce("image", F.lit(0.0)) / F.greatest(_area(), F.lit(1e-6)), F.lit(1.0))
     words = F.coalesce("words", F.lit(0.0)) / F.greatest(_area(), F.lit(1e-6))
     return out.select(*key, *BOX, cover.alias("cover"), words.alias("words")).where("NOT (cover < 0.05 AND words > 0.5)").drop("words")
@@ -160,7 +239,14 @@ def assigned(found: DataFrame, heads: DataFrame) -> DataFrame:
     key = [*PAGE, "region"]
     r = found.select(*key, *[F.col(c).alias(f"r{c}") for c in BOX])
     span = found.groupBy(*PAGE).agg(F.min("x0").alias("wx0"), F.max("x1").alias("wx1"))
-    both = r.join(_named(heads.select(*PAGE, "block", *BOX), "c"), PAGE).join(span, PAGE)
+    # a caption that can belong to a region overlaps it, ABOVE points over and BELOW under it added; they meet in bands, and
+    # a pair that meets in several counts where what both cover begins
+    band = lambda c: F.floor(c / CELL).cast("int")
+    top, foot = F.col("ry0") - ABOVE, F.col("ry1") + BELOW
+    bands = lambda a, b: F.explode(F.sequence(band(F.least(a, b)), band(F.greatest(a, b)))).alias("band")
+    of_region = r.select("*", bands(top, foot))
+    of_caption = _named(heads.select(*PAGE, "block", *BOX), "c").select("*", bands(F.col("cy0"), F.col("cy1")))
+    both = of_region.join(of_caption, [*PAGE, "band"]).where(F.col("band") == band(F.greatest(F.least(top, foot), F.least("cy0", "cy1")))).join(span, PAGE)
     both = both.withColumn("near", caption_distance("r", "c")).withColumn("cx0", F.col("wx0")).withColumn("cx1", F.col("wx1"))
     both = both.withColumn("far", caption_distance("r", "c") + 250)
     best = both.groupBy(*key).agg(F.min("near").alias("near"), F.min_by("cblock", F.when(F.col("far").isNotNull(), F.struct("far", "cblock"))).alias("fb"), F.min("far").alias("far"), F.min(F.when(F.col("near").isNotNull(), F.struct("near", "cblock"))).alias("n"))
@@ -169,9 +255,10 @@ def assigned(found: DataFrame, heads: DataFrame) -> DataFrame:
 
 def figures(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     """``doc_id, page, x0.., cover, label, caption``: regions by caption, bands above captions without any, and unclaimed regions."""
-    heads = captions(blocks)
-    found = regions(pages, boxes, blocks)
-    own = assigned(found, heads)
+    blocks = kept(blocks)
+    heads = kept(captions(blocks))
+    found = kept(regions(pages, boxes, blocks))
+    own = kept(assigned(found, heads))
     key = [*PAGE, "region"]
     union = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("cover").alias("cover")]
     groups = found.join(own, key).groupBy(*PAGE, "block").agg(*union)
