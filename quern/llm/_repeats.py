@@ -63,18 +63,18 @@ def recurring(docs: DataFrame, unit: Unit) -> DataFrame:
     return cut(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor", "n"))
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """The documents with ``twin``: a number that differs between texts which share an id, and is 0 as a rule."""
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The documents with ``twin``: a number that differs between texts which share an id, and is 0 as a rule; whether any do."""
     hashed = F.xxhash64("text").alias("_hash")
     seen = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b"))
     shared = cut(seen.where("a <> b").select("doc_id"))
     if not shared.limit(1).count():
-        return docs.withColumn("twin", F.lit(0))
+        return docs.withColumn("twin", F.lit(0)), False
     texts = docs.join(shared, "doc_id", "left_semi").select("doc_id", hashed).distinct()
     number = F.row_number().over(W.partitionBy("doc_id").orderBy("_hash"))  # an id's different texts
     twins = cut(texts.select(F.col("doc_id").alias("_id"), "_hash", number.alias("twin")))
     out = docs.join(twins, (docs.doc_id == twins._id) & (F.xxhash64(docs.text) == twins._hash), "left")
-    return out.select("doc_id", "text", F.coalesce("twin", F.lit(0)).alias("twin"))
+    return out.select("doc_id", "text", F.coalesce("twin", F.lit(0)).alias("twin")), True
 
 
 def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:

@@ -178,12 +178,15 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(twins[lo + row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "twin", "start", "end"])
 
 
-def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int) -> DataFrame:
-    """``doc_id, twin, start, end``: stretches of words that are repeats. ``docs`` has ids, twins and texts."""
+def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int, twins: bool) -> DataFrame:
+    """``doc_id, twin, start, end``: stretches of words that are repeats. ``docs`` has ids, twins and texts; ``twins``: some are not 0."""
     unit = Unit(n, k, _words, _hashes, within=True)
     found = _windows(docs, recurring(docs, unit), unit).groupBy("anchor", "window")
-    first = F.min(F.struct("doc_id", "at", "twin")).alias("first")
-    recur = cut(found.agg(first, F.sum("times").alias("times")).where("times > 1").select("anchor", "window", "first.*", "times"))
+    if twins:  # rows of one id have places of their own
+        rows = found.agg(F.min(F.struct("doc_id", "at", "twin")).alias("first"), F.sum("times").alias("times")).select("anchor", "window", "first.*", "times")
+    else:  # the same from plain numbers, which are aggregated without sorting
+        rows = found.agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"), F.sum("times").alias("times")).withColumn("twin", F.lit(0))
+    recur = cut(rows.where("times > 1"))
     count = max(1, -(-recur.count() // phrases))
     bucket = F.pmod("anchor", F.lit(count)).cast("int").alias("bucket")
     parts, copies = np.ones(count, np.int64), np.ones(count, np.int64)
@@ -223,8 +226,8 @@ def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stre
 
     k: words of an anchor; phrases: windows that an automaton holds, about; stream: windows that pass one automaton, about.
     """
-    docs = told_apart(ids_and_texts(docs))
-    stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, phrases, stream)
+    docs, twins = told_apart(ids_and_texts(docs))
+    stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, phrases, stream, twins)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):

@@ -259,7 +259,7 @@ def report(docs: DataFrame, n: int = 50, k: int = 20, hot: int = 5000, limit: in
     k: bytes of an anchor; limit: bytes of whole anchors that a shard takes at a time; hot: distinct passages of an
     anchor, heavy: its runs, beyond which it is not dealt to one task (same rows, another way, see above).
     """
-    docs = told_apart(ids_and_texts(docs))
+    docs, _ = told_apart(ids_and_texts(docs))
     stretches = removed(docs.where("doc_id IS NOT NULL"), n, k, hot, limit, heavy)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
