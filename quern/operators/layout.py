@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quern.functions import png
 from quern.functions.text import FIGURE_CAPTION, TABLE_CAPTION, caption_label
 from quern.operators.ordered import at_places
 from quern.sources.shared import kept
@@ -301,9 +303,23 @@ def outline(blocks: DataFrame, most: int = 400) -> DataFrame:
     return items.select("doc_id", F.posexplode("items").alias("item", "i")).select("doc_id", "item", "i.page", "i.text")
 
 
-def mostly_blank(levels: Column) -> Column:
-    """Whether an array of grey levels holds at most two."""
-    return F.size(F.array_distinct(levels)) <= 2
+def mostly_blank(images: DataFrame, column: str = "content") -> DataFrame:
+    """The rows with ``blank``: whether a PNG has at most two grey levels at 64 by 64. What can't be decoded is not blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [png.level_count(x) for x in batch.column(column).to_pylist()]
+            yield batch.append_column("blank", pa.array([k is not None and k <= 2 for k in n], pa.bool_()))
+
+    return images.mapInArrow(run, StructType([*images.schema.fields, StructField("blank", BooleanType())]))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Rows ``doc_id, place, content`` with ``drop``: ``blank``, ``duplicate`` (of an earlier image of the document that is not blank) or null."""
+    judged = mostly_blank(rows).withColumn("_sha", F.sha2("content", 256))
+    first = F.min(F.when(~F.col("blank"), F.col("place"))).over(W.partitionBy("doc_id", "_sha"))  # equal images of a document
+    drop = F.when(F.col("blank"), "blank").when(F.col("place") > first, "duplicate")
+    return judged.withColumn("drop", F.when(F.col("content").isNotNull(), drop)).drop("_sha", "blank")
 
 
 def warnings(docs: DataFrame) -> DataFrame:
@@ -324,13 +340,18 @@ UNLABELLED, PAGE_HEAD, CAPTIONS_HEAD = "未识别编号", "\n\n===== Page {} ===
 def manifest(found: DataFrame) -> DataFrame:
     """``doc_id, place`` (from 1)``, file, page`` (from 1)``, label, caption, source, rect_pt`` of ``figures``, by page, top and left.
 
-    Figures that tie there are told apart by their other edges and their label.
+    Figures that tie there are told apart by their other edges and their label. With a column ``content`` (a PNG of the
+    figure) blank images and repeated ones are left out, and ``content`` is kept; nulls stay.
     """
     order = W.partitionBy("doc_id").orderBy("page", F.bround("y0", 0), "x0", "y0", "x1", "y1", "label")  # a document's figures
     place = F.row_number().over(order)
+    image = ["content"] if "content" in found.columns else []
+    if image:
+        seen = shown(found.withColumn("place", place)).where("drop IS NULL").drop("drop", "place")
+        found = seen.select(found.columns)
     file = F.concat(F.lit("figures/fig_"), F.lpad(F.col("place").cast("string"), 3, "0"), F.lit("_p"), F.col("page"), F.lit(".png"))
-    rows = found.select("doc_id", place.alias("place"), (F.col("page") + 1).alias("page"), F.coalesce("label", F.lit(UNLABELLED)).alias("label"), F.coalesce("caption", F.lit("")).alias("caption"), F.when(F.col("cover") > 0.5, "raster").otherwise("vector").alias("source"), F.array(*[F.bround(c, 1) for c in BOX]).alias("rect_pt"))
-    return rows.select("doc_id", "place", file.alias("file"), "page", "label", "caption", "source", "rect_pt")
+    rows = found.select("doc_id", place.alias("place"), (F.col("page") + 1).alias("page"), F.coalesce("label", F.lit(UNLABELLED)).alias("label"), F.coalesce("caption", F.lit("")).alias("caption"), F.when(F.col("cover") > 0.5, "raster").otherwise("vector").alias("source"), F.array(*[F.bround(c, 1) for c in BOX]).alias("rect_pt"), *image)
+    return rows.select("doc_id", "place", file.alias("file"), "page", "label", "caption", "source", "rect_pt", *image)
 
 
 def paper_text(blocks: DataFrame) -> DataFrame:
