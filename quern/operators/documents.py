@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import PLAIN_WORDS, arxiv_unversioned, arxiv_url, latin_words, publisher_urls, url_forms, without_noise, without_tags
+from quern.sources.shared import kept
 
 #: Fixed texts that documents must hold.
 SECTIONS, FIGURES, STATUS, OVERVIEW = ("一、", "三、", "四、"), "二、", "讲解状态说明", "概览级"
@@ -48,10 +49,10 @@ def uncovered(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     A word in another shares all its runs of three letters with it: candidates meet by path and the word's rarest run,
     those of under three letters by path alone.
     """
-    own = terms.select("path", F.lower("term").alias("term")).where("term <> ''").distinct()
-    asked = tokens.where(~F.col("token").isin(*PLAIN_WORDS)).select("path", "token").distinct()
+    own = kept(terms.select("path", F.lower("term").alias("term")).where("term <> ''").distinct())
+    asked = kept(tokens.where(~F.col("token").isin(*PLAIN_WORDS)).select("path", "token").distinct())
     times = lambda df, word: df.select("path", F.explode(_grams(F.col(word))).alias("gram"))
-    seen = times(own.where("char_length(term) >= 3"), "term").unionByName(times(asked, "token")).groupBy("path", "gram").agg(F.count("*").alias("times"))
+    seen = kept(times(own.where("char_length(term) >= 3"), "term").unionByName(times(asked, "token")).groupBy("path", "gram").agg(F.count("*").alias("times")))
 
     def meeting(inner: DataFrame, inner_word: str, outer: DataFrame, outer_word: str) -> DataFrame:
         """``path, token`` of pairs in which the inner word stands in the outer one."""

@@ -302,7 +302,16 @@ def token_counts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAIN = ", ".join(f"'{w}'" for w in text.PLAIN_WORDS)
 
 
-@query(f"WITH {TOKENS}, b AS (SELECT DISTINCT token FROM t WHERE token NOT IN ({PLAIN})), terms AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{{2,}}'))) AS term FROM benchmark), covered AS (SELECT DISTINCT token FROM b JOIN terms ON contains(token, term) OR contains(term, token)) SELECT token FROM b ANTI JOIN covered USING (token)")
+GRAMS = "{name} AS MATERIALIZED (SELECT DISTINCT {word}, substr({word}, i, 3) AS gram FROM (SELECT {word}, unnest(range(1, length({word}) - 1)) AS i FROM {table}))"
+
+
+@query(
+    f"""WITH {TOKENS}, b AS MATERIALIZED (SELECT DISTINCT token FROM t WHERE token NOT IN ({PLAIN})),
+ terms AS MATERIALIZED (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]{{2,}}'))) AS term FROM benchmark),
+ {GRAMS.format(name="bg", word="token", table="b")}, {GRAMS.format(name="tg", word="term", table="terms")},
+ covered AS MATERIALIZED (SELECT DISTINCT token FROM bg JOIN tg USING (gram) WHERE contains(token, term) OR contains(term, token))
+ SELECT token FROM b ANTI JOIN covered USING (token)"""
+)
 def token_gap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     found = documents.token_counts(docs).select(F.lit("all").alias("path"), "token").distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import layout
+from quern.plans import catalog
+from quern.plans import tables as t
 
 BOXES = "doc_id long, page int, region int, x0 double, y0 double, x1 double, y1 double"
 
@@ -19,7 +21,7 @@ def plain_clusters(boxes: list, texts: list, gap: float = layout.GAP) -> list:
     for b in sorted(boxes, key=lambda b: (b[1], b[0], b[3], b[2])):
         for i, c in enumerate(clusters):
             near = max(c[0], b[0] - gap) < min(c[2], b[2] + gap) and max(c[1], b[1] - gap) < min(c[3], b[3] + gap)
-            if near and not any(layout.parts_two(t, c, b) for t in texts):
+            if near and not any(layout.parts_two(w, c, b) for w in texts):
                 clusters[i] = (min(c[0], b[0]), min(c[1], b[1]), max(c[2], b[2]), max(c[3], b[3]))
                 break
         else:
@@ -93,3 +95,79 @@ def test_captions_in_bands(spark: SparkSession) -> None:
             best[r.doc_id, r.region] = min(best.get((r.doc_id, r.region), (1e9, 0)), (r.d, r.block))
         want |= {k: (block, d) for k, (d, block) in best.items()}
     assert got == want and got
+
+
+def plain_figures(page: tuple, boxes: list, blocks: list) -> list:
+    """The figures of a page of images, by loops over all pairs."""
+    width, height = page
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    both = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    fits = []
+    for b in boxes:
+        w, h = b[2] - b[0], b[3] - b[1]
+        if w >= 40 and h >= 40 and w * h >= 3000 and max(w, h) / max(min(w, h), 1) <= 15 and not (w > 0.97 * width and h > 0.97 * height):
+            fits.append(b)
+    kept: list = []
+    for b in sorted(fits, key=lambda b: (-area(b), b)):
+        if all(both(b, k) < 0.85 * max(area(b), 1e-6) for k in kept):
+            kept.append(b)
+    texts = [x for x in blocks if x[1][2] - x[1][0] >= 5 and x[1][3] - x[1][1] >= 5]
+    found = []
+    for r in kept:
+        cover, words = min(1.0, sum(both(r, i) for i in boxes) / area(r)), sum(both(r, w[1]) for w in texts) / area(r)
+        if not (cover < 0.05 and words > 0.5):
+            found.append((r, cover))
+
+    def distance(r: tuple, c: tuple) -> float | None:
+        if min(r[2], c[2]) - max(r[0], c[0]) < 10:
+            return None
+        below, above = c[1] - r[3], r[1] - c[3]
+        if below >= -8:
+            return below + 0.5 if below <= 260 else None
+        if above >= -8:
+            return above + 100.5 if above <= 130 else None
+        reach = max(30.0, 0.3 * (r[3] - r[1]))
+        inside = c[3] >= r[3] - 15 and r[3] - c[1] <= reach or c[1] <= r[1] + 15 and c[3] - r[1] <= reach
+        return 0.0 if inside else None
+
+    if not found:
+        return []
+    left, right = min(r[0] for r, _ in found), max(r[2] for r, _ in found)
+    own: dict = {}
+    free = []
+    for r, cover in found:
+        near = [(d, n) for n, c, _ in blocks if (d := distance(r, c)) is not None]
+        far = [(d, n) for n, c, _ in blocks if (d := distance(r, (left, c[1], right, c[3]))) is not None]
+        if near or far:
+            own.setdefault(min(near or far)[1], []).append((r, cover))
+        else:
+            free.append((*r, cover, None, ""))
+    out = []
+    for n, c, text in blocks:
+        if text.startswith("Table"):
+            continue
+        box = [f(r[k] for r, _ in own[n]) for k, f in enumerate((min, min, max, max))] if n in own else None
+        cover = max(v for _, v in own[n]) if n in own else None
+        thin = box is None or box[2] - box[0] < 0.5 * (c[2] - c[0]) and box[2] - box[0] < 200
+        walls = [o[3] + 2 for m, o, _ in blocks if m != n and o[3] <= c[1] - 2]
+        top = max([36.0, *walls])
+        if thin and min(c[1] - 2, height) - top >= 40:
+            x = [max(c[0], 0.0), top, min(c[2], width), c[1] - 2]
+            box, cover = [min(x[0], box[0]), min(x[1], box[1]), max(x[2], box[2]), max(x[3], box[3])] if box else x, 0.0
+        if box:
+            out.append((*box, cover, text.split(" of")[0].replace(".", ""), text))
+    return out + free
+
+
+def test_figures_of_supplied_pages(spark: SparkSession, sf: str) -> None:
+    pages, boxes, blocks = (df.collect() for df in t.layout(spark, sf))
+    on: dict = {}
+    for r in boxes:
+        on.setdefault((r.doc_id, r.page), ([], []))[0].append((r.x0, r.y0, r.x1, r.y1))
+    for r in blocks:
+        on.setdefault((r.doc_id, r.page), ([], []))[1].append((r.block, (r.x0, r.y0, r.x1, r.y1), r.text))
+    # blocks of a page have numbers of their own; a few supplied pages repeat one
+    once = {p.doc_id for p in pages if len({n for n, *_ in on.get((p.doc_id, p.page), ([], []))[1]}) == len(on.get((p.doc_id, p.page), ([], []))[1])}
+    want = [repr((p.doc_id, *f)) for p in pages if p.doc_id in once for f in plain_figures((p.width, p.height), *on.get((p.doc_id, p.page), ([], [])))]
+    got = [repr(tuple(r)) for r in catalog.QUERIES["figures_lines"](spark, sf).select("doc_id", *layout.BOX, "cover", "label", "caption").collect() if r.doc_id in once]
+    assert sorted(got) == sorted(want) and len(got) > 1000
