@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import PLAIN_WORDS, arxiv_unversioned, arxiv_url, latin_words, publisher_urls, url_forms, without_noise, without_tags
@@ -199,11 +200,32 @@ def first_success(attempts: DataFrame) -> DataFrame:
     return attempts.where("ok").groupBy("doi").agg(F.min_by(F.struct("source", "url"), "place").alias("f")).select("doi", "f.source", "f.url")
 
 
+def acquired(tried: DataFrame) -> DataFrame:
+    """``doi, ok, source, url, is_preprint, attempts`` of rows ``doi, place, source, url, ok, note``: what was tried until the first success.
+
+    ``attempts`` (source, url, ok, note in order of place) ends with it, as nothing after it would have been tried; without
+    one it holds all, and source and url are null. Rows without ``ok`` failed.
+    """
+    ok = F.coalesce("ok", F.lit(False))
+    first = F.min(F.when(ok, F.col("place"))).over(W.partitionBy("doi"))  # a paper's addresses
+    rows = tried.withColumn("_first", first).where("_first IS NULL OR place <= _first")
+    entry = F.struct("place", "source", "url", ok.alias("ok"), "note")
+    kept_ = rows.groupBy("doi").agg(F.array_sort(F.collect_list(entry)).alias("a"))
+    last = F.filter("a", lambda x: x["ok"])
+    at = lambda f: F.try_element_at(last, F.lit(1))[f]
+    out = kept_.select("doi", (F.size(last) > 0).alias("ok"), at("source").alias("source"), at("url").alias("url"), F.transform("a", lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"), x["ok"].alias("ok"), x["note"].alias("note"))).alias("attempts"))
+    return out.select("doi", "ok", "source", "url", F.coalesce(F.col("source") == CHANNELS[-1], F.lit(False)).alias("is_preprint"), "attempts")
+
+
+#: Endings of an article's images.
+IMAGES = ("jpg", "jpeg", "png", "gif")
+
+
 def figure_images(figures: DataFrame, images: DataFrame) -> DataFrame:
     """``pmcid, href, url`` (null: missing): figures' files by base name among image addresses, the first address winning."""
     base = lambda x: F.element_at(F.split(x, "/"), -1)
     first = images.groupBy("pmcid", base("url").alias("base")).agg(F.min_by("url", "pos").alias("url"))
-    return figures.withColumn("base", base("href")).where(F.col("base").rlike(r"(?i)\.(jpe?g|png|gif|tiff?)$")).join(first, ["pmcid", "base"], "left").select("pmcid", "href", "url")
+    return figures.withColumn("base", base("href")).where(F.col("base").rlike(rf"(?i)\.({'|'.join(IMAGES)})$")).join(first, ["pmcid", "base"], "left").select("pmcid", "href", "url")
 
 
 #: The parts of a stored answer on an article that are read.

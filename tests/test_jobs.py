@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
+from quern.operators import documents
 from quern.plans import audio_jobs, paper_jobs, tasks
 from quern.sources.audio import wav16
 
@@ -117,3 +118,26 @@ def test_papers_to_files(spark: SparkSession, tmp_path: Path) -> None:
     found = {r.doc_id: r for r in paper_jobs.summary(pages, boxes, blocks).collect()}
     assert (found[7].figure_count, found[7].captions_found, found[7].warnings) == (2, 1, ["little-text"])
     assert (found[8].figure_count, found[8].text_chars, found[8].warnings) == (0, 4, ["little-text", "no-figures"])
+
+
+def test_articles_to_files(spark: SparkSession, tmp_path: Path) -> None:
+    xml = '<article><fig><label>1</label><caption>C</caption><graphic xlink:href="x/f1.jpg"/></fig><fig><graphic xlink:href="f2.png"/></fig><fig><graphic xlink:href="f3.tif"/></fig><fig><graphic xlink:href="f4.gif"/></fig>' + "word " * 1200 + "</article>"
+    blob = "https://cdn.ncbi.nlm.nih.gov/pmc/blobs/a/"
+    html = f'<img src="{blob}f1.jpg"><img src="{blob}other/f1.jpg"><img src="{blob}f4.gif">'
+    body = json.dumps({"title": "T", "authorString": "A B", "pubYear": "2020"})
+    articles = spark.createDataFrame([("PMC1", "10.1/x", body, xml, html), ("PMC2", None, body, None, None)], "pmcid string, doi string, body string, xml string, html string")
+    stored = spark.createDataFrame([(f"{blob}f1.jpg", b"i" * 2000), (f"{blob}other/f1.jpg", b"o" * 2000), (f"{blob}f4.gif", b"small")], "url string, content binary")
+    got = {r.pmcid: r for r in paper_jobs.rescued(articles, stored, str(tmp_path)).collect()}
+    assert got["PMC1"].figures == ["figures/f1.jpg"] and got["PMC1"].warnings == ["2 images missing: f2.png, f4.gif"] and got["PMC2"].warnings == ["short text"]
+    assert (tmp_path / "PMC1" / "figures" / "f1.jpg").read_bytes() == b"i" * 2000
+    meta = json.loads((tmp_path / "PMC1" / "metadata.json").read_text())
+    assert (meta["doi"], meta["title"], meta["figures"], meta["volume"]) == ("10.1/x", "T", ["figures/f1.jpg"], None)
+    assert len((tmp_path / "PMC1" / "paper_text.txt").read_text()) == got["PMC1"].text_chars and (tmp_path / "PMC2" / "paper_text.txt").read_text() == ""
+
+
+def test_attempts_end_with_the_first_success(spark: SparkSession) -> None:
+    rows = [("a", 0, "arxiv", "u0", False, "404"), ("a", 2, "publisher", "u2", True, "10 bytes"), ("a", 1, "unpaywall", "u1", None, "refused"), ("a", 3, "preprint", "u3", True, "9 bytes"), ("b", 0, "preprint", "v0", True, "5 bytes"), ("c", 0, "arxiv", "w0", False, "403")]
+    got = {r.doi: r for r in documents.acquired(spark.createDataFrame(rows, "doi string, place int, source string, url string, ok boolean, note string")).collect()}
+    assert (got["a"].ok, got["a"].source, got["a"].url, got["a"].is_preprint) == (True, "publisher", "u2", False)
+    assert [tuple(x) for x in got["a"].attempts] == [("arxiv", "u0", False, "404"), ("unpaywall", "u1", False, "refused"), ("publisher", "u2", True, "10 bytes")]
+    assert got["b"].is_preprint and (got["c"].ok, got["c"].url, len(got["c"].attempts)) == (False, None, 1)
