@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The tables that ``cut`` has written in this process.
+_cuts: list[str] = []
 #: Lower-cases A-Z and nothing else.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Lower-cases A-Z; every byte that is not part of an alphanumeric word becomes a space.
@@ -86,16 +88,29 @@ def _remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written as a table to the shared folder and read back: lost executors cost no recomputation of them.
 
-    The table is deleted when the session's Python process ends.
+    The table is deleted when the session's Python process ends, or before that by ``scope``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quern/{uuid.uuid4().hex}"
     with released(spark):
         df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were cut inside; results that read them must have been written by then."""
+    before = len(_cuts)
+    try:
+        yield
+    finally:
+        for path in _cuts[before:]:
+            _remove(spark, path)
+        del _cuts[before:]
+
+
 class Kept(dict):
     """Values by key, made when missing and kept for a while: the last ``keep`` to ``2 * keep`` keys that were asked for."""
 

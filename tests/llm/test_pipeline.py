@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from quern.llm import decontamination, quality_classifier, secret_scan
+from quern.llm import _common, decontamination, quality_classifier, secret_scan, suffix_dedup
 
 from . import plain
 
@@ -95,3 +96,12 @@ def test_secrets_are_confirmed(spark: SparkSession) -> None:
     assert spans[4] == spans[5] == ""
     left = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert left[2] == "see [secret] here" and left[4] == texts[4]
+
+
+def test_tables_of_a_scope_go(spark: SparkSession, odd: DataFrame, tmp_path) -> None:
+    folder = Path(_common.shared_folder(spark).removeprefix("file:")) / "quern"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with _common.scope(spark):
+        suffix_dedup.report(odd).write.parquet(str(tmp_path / "out"))
+        assert set(folder.iterdir()) - before
+    assert set(folder.iterdir()) == before and spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
