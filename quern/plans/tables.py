@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.ordered import running
+from quern.sources.shared import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals as rows ``path, sr, pos, value``: each user's values over time, 100 to the second, however many one user has."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), "event_id", (F.col("value") / 500).cast("float").alias("value"), F.lit(1).cast("long").alias("one"))
-    return running(e, "event_id", {"pos": "one"}, by=["path"]).select("path", F.lit(100).alias("sr"), "pos", "value")
+    return kept(running(e, "event_id", {"pos": "one"}, by=["path"]).select("path", F.lit(100).alias("sr"), "pos", "value"))
 
 
 def vector_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
