@@ -190,9 +190,16 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     least = sets.where("key IS NOT NULL").select(F.explode("prefix").alias("token"), F.xxhash64("key").alias("key"))
     recur = cut(least.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token"))
     tokens = _tokens(docs, bit_set(recur), n, percent)
+    return sets, same, cut(_shared(cut(_one_of_each(tokens, same)), percent))
+
+
+def _one_of_each(tokens: DataFrame, same: DataFrame) -> DataFrame:
+    """``id, tokens`` of each class, from its least document; copies with other ids drop out before anything is dealt by class."""
+    if dict(same.dtypes)["id"] == "bigint":  # one exchange serves the join and the repeated rows
+        one = same.select(F.col("least").alias("doc_id"), "key")
+        return tokens.join(one, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "tokens")
     one = same.select(F.col("key").alias("k"), "least", "id")
-    tokens = cut(tokens.join(one, (tokens.key == one.k) & tokens.doc_id.eqNullSafe(one.least)).select("id", "tokens").dropDuplicates(["id"]))
-    return sets, same, cut(_shared(tokens, percent))
+    return tokens.join(one, (tokens.key == one.k) & tokens.doc_id.eqNullSafe(one.least)).select("id", "tokens").dropDuplicates(["id"])
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85, group: int = 128) -> DataFrame:
