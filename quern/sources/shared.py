@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ours: list[str] = []
+#: The tables that ``kept`` has written in this process, with the session that wrote them.
+_ours: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,22 +28,21 @@ def kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/quern/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _ours.append(path)
+    _ours.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
+def tidy() -> None:
     """Deletes the tables that ``kept`` has written so far; frames that read them end with that."""
     while _ours:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_ours.pop())
+        spark, name = _ours.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
     try:
-        if spark is not None:
-            tidy(spark)
+        tidy()
     except Exception:  # noqa: BLE001  the session has ended, or the interpreter is about to
         return
 

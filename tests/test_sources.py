@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels
 from quern.operators import long_signals, signals
-from quern.sources import audio, file_sink, wav_source
+from quern.sources import audio, file_sink, shared, wav_source
 
 
 @pytest.fixture
@@ -147,3 +147,11 @@ def test_files_in_parts(spark: SparkSession, tmp_path: Path) -> None:
     file_sink.write(parts.select(F.concat("path", F.lit(".wav")).alias("file"), "part", "content"), str(tmp_path))
     for name, y in (("a", x), ("b", x[:100])):
         assert (tmp_path / f"{name}.wav").read_bytes() == audio.wav16(8000, kernels.resampled(y.astype(np.float64), 16000, 8000))
+
+
+def test_kept_tables_go(spark: SparkSession) -> None:
+    rows = shared.kept(spark.range(5))
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file:").replace("//", "/") for f in rows.inputFiles()}
+    assert rows.count() == 5 and Path(path).is_dir()
+    shared.tidy()
+    assert not Path(path).exists()
