@@ -164,7 +164,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         shard, group, run = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "group", "run"))
         cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (group[1:] != group[:-1]) | (run[1:] != run[:-1])) + 1
         cols = [batch.column(c).to_pylist() for c in ("doc_id", "at", "text")]
-        ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "twin"))
+        who = [(c, batch.column(c).to_numpy(zero_copy_only=False)) for c in ("doc_id", "twin") if c in batch.schema.names]
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
             rows = [c[lo:hi] for c in cols]
             if (shard[lo], group[lo]) != at:
@@ -175,7 +175,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             if automaton is None:
                 automaton, passages = Automaton(passages, n), []
             row, start, end = automaton.repeats(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(twins[lo + row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "twin", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[lo + row]) for _, x in who), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], [*(c for c, _ in who), "start", "end"])
 
 
 def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int, twins: bool) -> DataFrame:
@@ -200,11 +200,11 @@ def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int, twins: b
         bits, shards = shared.value
         for piece in pieces(batches, limit=PIECE):
             symbols, h, sizes, text, at, size, anchor, _ = unit.runs(as_bytes(piece.column("text")))
-            ids, twins = piece.column("doc_id").to_pylist(), piece.column("twin").to_pylist()
+            ids, numbers = piece.column("doc_id").to_pylist(), piece.column("twin").to_pylist()
             out: list[tuple[int, int, bool, int, int, int, bytes]] = []
             for d, b, a, i, j in zip(*(x.tolist() for x in _passages(piece.column("firsts"), n)), strict=True):
                 words = b" ".join(symbols[d][i:j])
-                out += [(shard, a // count % GROUPS, False, ids[d], twins[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
+                out += [(shard, a // count % GROUPS, False, ids[d], numbers[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
             if len(size):
                 place, run = np.repeat(at, size) + _spread(size), np.repeat(np.arange(len(size)), size)
                 held = np.flatnonzero(holds(bits, mixed(grams(h, n))[(np.cumsum(sizes) - sizes)[text[run]] + place]))
@@ -213,12 +213,15 @@ def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int, twins: b
                 short = (anchor[run[begin]] >> np.uint64(33)).astype(np.int64)
                 for a, d, i, j in zip(short.tolist(), text[run[begin]].tolist(), place[begin].tolist(), (place[end] + n).tolist(), strict=True):
                     words = b" ".join(symbols[d][i:j])
-                    out += [(shard, a // count % GROUPS, True, ids[d], twins[d], i, words) for shard in shards.of_run(a % count, ids[d] + i)]
+                    out += [(shard, a // count % GROUPS, True, ids[d], numbers[d], i, words) for shard in shards.of_run(a % count, ids[d] + i)]
             cols = zip(*out, strict=True) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "group", "run", "doc_id", "twin", "at", "text"])
+            dealt = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "group", "run", "doc_id", "twin", "at", "text"])
+            yield dealt if twins else dealt.drop_columns(["twin"])
 
-    rows = docs.join(wanted, ["doc_id", "twin"], "left").mapInArrow(deal, "shard long, group int, run boolean, doc_id long, twin int, at int, text binary")
-    return rows.repartition("shard").sortWithinPartitions("shard", "group", "run").mapInArrow(lambda batches: _stretches(batches, n), "doc_id long, twin int, start int, end int")
+    twin = "twin int, " if twins else ""  # a column of zeros need not be shuffled
+    rows = docs.join(wanted, ["doc_id", "twin"], "left").mapInArrow(deal, f"shard long, group int, run boolean, doc_id long, {twin}at int, text binary")
+    found = rows.repartition("shard").sortWithinPartitions("shard", "group", "run").mapInArrow(lambda batches: _stretches(batches, n), f"doc_id long, {twin}start int, end int")
+    return found if twins else found.withColumn("twin", F.lit(0))
 
 
 def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stream: int = 400_000, texts: bool = False) -> DataFrame:
