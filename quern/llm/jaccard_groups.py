@@ -92,6 +92,11 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, key binary, prefix array<long>")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A side of a join by merging, however few its rows: each broadcast takes memory of the driver, and a job has dozens of joins."""
+    return df.hint("merge")
+
+
 def _key(tokens: U64) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -118,7 +123,7 @@ def _shared(tokens: DataFrame, percent: int) -> DataFrame:
     """``id, n, own, tokens, prefix``: sets that can still meet another, with the tokens that recur, rarest first, and the first of them."""
     rows = tokens.select("id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
     times = rows.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
-    again = rows.join(times, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
+    again = rows.join(merged(times), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("t"))
     again = again.select("id", "n", (F.col("n") - F.size("t")).alias("own"), F.transform("t", lambda t: t["token"]).alias("tokens"))
     left = F.expr(f"int(n - ({percent} * n + 99) div 100 + 1 - own)")  # prefix_size, without the set's own tokens
     return again.where(left > 0).withColumn("prefix", F.slice("tokens", F.lit(1), left))
@@ -138,8 +143,8 @@ def _pivot_links(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
         group = F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(turn))))
         grouped = sets.select("id", "n", "own", "tokens", group.alias("group"))
         pivots = grouped.groupBy("group").agg(F.min_by("id", F.struct("own", "id")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        pivots = pivots.join(sets.alias("s"), F.col("pivot") == F.col("s.id")).select("group", F.struct("s.id", "s.n", "s.own", "s.tokens").alias("p"))
-        found = grouped.alias("m").join(pivots, "group").where("m.id <> p.id").where(_linked("m", "p", percent)).select(F.col("m.id").alias("a"), F.col("p.id").alias("b"))
+        pivots = pivots.join(merged(sets.alias("s")), F.col("pivot") == F.col("s.id")).select("group", F.struct("s.id", "s.n", "s.own", "s.tokens").alias("p"))
+        found = grouped.alias("m").join(merged(pivots), "group").where("m.id <> p.id").where(_linked("m", "p", percent)).select(F.col("m.id").alias("a"), F.col("p.id").alias("b"))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -149,19 +154,19 @@ def _far_links(sets: DataFrame, percent: int, group: int) -> DataFrame:
     sets = sets.withColumn("bucket", F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(0)))))
     sizes = sets.groupBy("bucket").agg(F.count("*").alias("members"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / group)).cast("int")
-    sets = sets.join(sizes, "bucket").withColumn("part", part)
+    sets = sets.join(merged(sizes), "bucket").withColumn("part", part)
     first = sets.select("id", "component", "bucket", "part", F.explode("prefix").alias("token"))
     mixed_ = first.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    first = cut(first.join(mixed_, "token"))
+    first = cut(first.join(merged(mixed_), "token"))
     here = [F.col("bucket").alias("g_bucket"), F.col("part").alias("g_part")]
     rows = first.groupBy("token", *here).agg(F.min("component").alias("least"))
-    asked = first.select("token", F.col("id").alias("q"), F.col("component").alias("q_component")).join(rows, "token").where("q_component > least").select("q", "g_bucket", "g_part").distinct()
+    asked = first.select("token", F.col("id").alias("q"), F.col("component").alias("q_component")).join(merged(rows), "token").where("q_component > least").select("q", "g_bucket", "g_part").distinct()
     unions = sets.select(*here, F.explode("tokens").alias("token")).distinct()
     unions = unions.groupBy("g_bucket", "g_part").agg(F.collect_list("token").alias("union"))
     own = sets.select(F.col("id").alias("q"), F.struct("component", "n", "own", "tokens").alias("x"))
-    bounded = asked.join(own, "q").join(unions, ["g_bucket", "g_part"]).where(f"100 * size(array_intersect(x.tokens, union)) >= {percent} * x.n").select("q", "x", "g_bucket", "g_part")
+    bounded = asked.join(merged(own), "q").join(merged(unions), ["g_bucket", "g_part"]).where(f"100 * size(array_intersect(x.tokens, union)) >= {percent} * x.n").select("q", "x", "g_bucket", "g_part")
     members = sets.select(*here, "id", "component", "n", "own", "tokens").alias("m")
-    return bounded.join(members, ["g_bucket", "g_part"]).where(f"x.component > m.component AND {_linked('x', 'm', percent)}").select(F.col("q").alias("a"), F.col("m.id").alias("b"))
+    return bounded.join(merged(members), ["g_bucket", "g_part"]).where(f"x.component > m.component AND {_linked('x', 'm', percent)}").select(F.col("q").alias("a"), F.col("m.id").alias("b"))
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -197,9 +202,9 @@ def _one_of_each(tokens: DataFrame, same: DataFrame) -> DataFrame:
     """``id, tokens`` of each class, from its least document; copies with other ids drop out before anything is dealt by class."""
     if dict(same.dtypes)["id"] == "bigint":  # one exchange serves the join and the repeated rows
         one = same.select(F.col("least").alias("doc_id"), "key")
-        return tokens.join(one, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "tokens")
+        return tokens.join(merged(one), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), "tokens")
     one = same.select(F.col("key").alias("k"), "least", "id")
-    return tokens.join(one, (tokens.key == one.k) & tokens.doc_id.eqNullSafe(one.least)).select("id", "tokens").dropDuplicates(["id"])
+    return tokens.join(merged(one), (tokens.key == one.k) & tokens.doc_id.eqNullSafe(one.least)).select("id", "tokens").dropDuplicates(["id"])
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85, group: int = 128) -> DataFrame:
@@ -218,17 +223,17 @@ def classes(docs: DataFrame, n: int = 4) -> DataFrame:
     """``doc_id, class_id`` (the least id with an equal set)``, copies`` of each document with words."""
     sets = _sets(ids_and_texts(docs), n, 100).where("key IS NOT NULL")
     same = sets.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
-    return sets.join(same, "key").select("doc_id", "class_id", "copies")
+    return sets.join(merged(same), "key").select("doc_id", "class_id", "copies")
 
 
 def _components_of(docs: DataFrame, n: int, percent: int, rounds: int, group: int) -> DataFrame:
     """``doc_id, digest, n_shingles, component`` (the least ``id`` of classes in reach; null without words) of each row."""
     sets, same, some = _prepared(docs, n, percent)
     near = cut(_pivot_links(some, percent, rounds))
-    grouped = some.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = some.join(merged(components(near)), "id", "left").withColumn("component", F.coalesce("component", "id"))
     found = near.unionByName(_far_links(grouped, percent, group))
-    labels = same.join(components(found), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    return sets.select("doc_id", "digest", "n_shingles", "key").join(labels, "key", "left").drop("key")
+    labels = same.join(merged(components(found)), "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    return sets.select("doc_id", "digest", "n_shingles", "key").join(merged(labels), "key", "left").drop("key")
 
 
 def report(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, group: int = 128) -> DataFrame:

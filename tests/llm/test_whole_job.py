@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 from pyspark.sql import SparkSession
 
-from quern.llm import ann_tree, secret_scan
+from quern.llm import ann_tree, jaccard_groups, secret_scan
 
 from . import plain
 from .conftest import prose
@@ -71,3 +71,20 @@ def test_queries_in_small_leaves_find_k(spark: SparkSession) -> None:
     for query in (4000, 4020):
         assert max(Counter(r.vec_id for r in found if r.query_id == query and r.vec_id not in (4000, 4040)).values()) == 1
     assert all(r.query_id != r.vec_id for r in found)
+
+
+def test_jaccard_joins_send_nothing_to_the_driver(spark: SparkSession) -> None:
+    """Joins of few rows are merges too: each broadcast would take memory of the driver, whatever the table's size."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words, "x"]), " ".join([*words[1:], "x"]), "alone and short text here", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    def plans() -> dict[int, str]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {run.executionId(): run.physicalPlanDescription() for run in (runs.apply(i) for i in range(runs.size()))}
+
+    before = max(plans(), default=-1)
+    found = {r.doc_id: r.component_id for r in jaccard_groups.report(rows).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5}
+    own = [p for k, p in plans().items() if k > before]
+    assert any("SortMergeJoin" in p for p in own) and not any("BroadcastExchange" in p for p in own)
