@@ -23,8 +23,8 @@ from quern.sources.shared import kept
 
 #: Fixed limits in points.
 MIN_SIDE, MIN_AREA, MAX_ASPECT, GAP, BELOW, ABOVE = 40, 3000, 15, 30, 260, 130
-#: Points of a side of the cells that boxes meet in.
-CELL = 128.0
+#: Points of a side of the cells that boxes meet in, on pages with more boxes than the second.
+CELL, CROWD = 128.0, 256
 PAGE, BOX = ["doc_id", "page"], ["x0", "y0", "x1", "y1"]
 Box = tuple[float, float, float, float]
 
@@ -39,24 +39,44 @@ def _overlap(a: str, b: str) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
+def crowded(*tables: DataFrame) -> DataFrame:
+    """``doc_id, page, crowd`` (true) of pages with more than ``CROWD`` rows in all tables; few, so that most joins broadcast them."""
+    rows = tables[0].select(*PAGE)
+    for df in tables[1:]:
+        rows = rows.unionByName(df.select(*PAGE))
+    return kept(rows.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*PAGE, F.lit(True).alias("crowd")))
+
+
+def _cells(places: Column) -> Column:
+    """The cells of a row: ``places`` on a crowded page, elsewhere one for the whole page."""
+    return F.explode(F.when(F.col("crowd"), places).otherwise(F.array(F.lit(0))))
+
+
+def _in_cell(cell: str, place: Column) -> Column:
+    """Whether a pair is to be given in this cell."""
+    return F.col("crowd").isNull() | (F.col(cell) == place)
+
+
 def overlapping(left: DataFrame, right: DataFrame, cell: float = CELL) -> DataFrame:
     """All columns of ``left`` (with ``a`` before their names) and ``right`` (``b``) for boxes of a page that share an area.
 
-    A page is laid out in square cells. A box goes to every cell that it touches, and boxes meet in cells; a pair that
-    meets in several is given in one of them, that of the upper left corner of what they share (the reference point). So
-    a page with many boxes is dealt to many tasks and boxes far from each other never meet. ``cell``: points.
+    A crowded page is laid out in square cells. A box goes to every cell that it touches, and boxes meet in cells; a pair
+    that meets in several is given in one of them, that of the upper left corner of what they share (the reference point).
+    So a page with many boxes is dealt to many tasks and boxes far from each other never meet. Boxes of other pages meet by
+    page, each as one row. ``cell``: points.
     """
     low = lambda c: F.floor(F.col(c) / cell).cast("int")
-    span = lambda a, b: F.explode(F.sequence(low(a), low(b)))
+    crowds = crowded(left, right)
 
     def celled(df: DataFrame, p: str) -> DataFrame:
-        named = df.select(*PAGE, *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in PAGE])
-        named = named.where(f"{p}x1 > {p}x0 AND {p}y1 > {p}y0")
-        return named.select("*", span(f"{p}x0", f"{p}x1").alias("cx")).select("*", span(f"{p}y0", f"{p}y1").alias("cy"))
+        named = _named(df, p).where(f"{p}x1 > {p}x0 AND {p}y1 > {p}y0").join(crowds, PAGE, "left")
+        for c, k in (("cx", "x"), ("cy", "y")):
+            named = named.withColumn(c, _cells(F.sequence(low(f"{p}{k}0"), low(f"{p}{k}1"))))
+        return named
 
-    both = celled(left, "a").join(celled(right, "b"), [*PAGE, "cx", "cy"])
+    both = celled(left, "a").join(celled(right, "b").drop("crowd"), [*PAGE, "cx", "cy"])
     corner = lambda c: F.floor(F.greatest(F.col(f"a{c}"), F.col(f"b{c}")) / cell).cast("int")
-    return both.where((_overlap("a", "b") > 0) & (F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0"))).drop("cx", "cy")
+    return both.where((_overlap("a", "b") > 0) & _in_cell("cx", corner("x0")) & _in_cell("cy", corner("y0"))).drop("cx", "cy", "crowd")
 
 
 def _named(df: DataFrame, prefix: str) -> DataFrame:
@@ -204,14 +224,15 @@ def regions(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     found = _by_page(drawn.unionByName(marks), _clusters).select(*PAGE, *BOX).unionByName(images)
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     fits = (w >= MIN_SIDE) & (h >= MIN_SIDE) & (w * h >= MIN_AREA) & (F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0)) <= MAX_ASPECT) & ~((w > 0.97 * F.col("width")) & (h > 0.97 * F.col("height")))
-    found = kept(found.join(pages.select(*PAGE, "width", "height"), PAGE).where(fits).select(*PAGE, *BOX))
-    found = found.select("*", F.count("*").over(W.partitionBy(*PAGE)).alias("n"))
+    found = found.join(pages.select(*PAGE, "width", "height"), PAGE).where(fits).select(*PAGE, *BOX)
+    found = kept(found.select("*", F.count("*").over(W.partitionBy(*PAGE)).alias("n")))  # dealt by page already
     several = _by_page(found.where("n > 1").withColumn("kind", F.lit("region")), lambda _, boxes: not_nested(boxes))
     kept_ = kept(found.where("n = 1").select(*PAGE, F.lit(0).alias("region"), *BOX).unionByName(several))
     key = [*PAGE, "region"]
-    covered = lambda other: overlapping(kept_.select(*key, *BOX), other.select(*PAGE, *BOX)).groupBy(*PAGE, F.col("aregion").alias("region")).agg(F.sum(_overlap("a", "b")).alias("a"))
-    image, text = covered(images).withColumnRenamed("a", "image"), covered(texts).withColumnRenamed("a", "words")
-    out = kept_.join(image, key, "left").join(text, key, "left")
+    others = images.withColumn("image", F.lit(True)).unionByName(texts.select(*PAGE, *BOX, F.lit(False).alias("image")))
+    share = lambda image: F.sum(F.when(F.col("bimage") == F.lit(image), _overlap("a", "b")))
+    covered = overlapping(kept_, others).groupBy(*PAGE, F.col("aregion").alias("region")).agg(share(True).alias("image"), share(False).alias("words"))
+    out = kept_.join(covered, key, "left")
     cover = F.least(F.coalesce("image", F.lit(0.0)) / F.greatest(_area(), F.lit(1e-6)), F.lit(1.0))
     words = F.coalesce("words", F.lit(0.0)) / F.greatest(_area(), F.lit(1e-6))
     return out.select(*key, *BOX, cover.alias("cover"), words.alias("words")).where("NOT (cover < 0.05 AND words > 0.5)").drop("words")
@@ -241,14 +262,15 @@ def assigned(found: DataFrame, heads: DataFrame) -> DataFrame:
     key = [*PAGE, "region"]
     r = found.select(*key, *[F.col(c).alias(f"r{c}") for c in BOX])
     span = found.groupBy(*PAGE).agg(F.min("x0").alias("wx0"), F.max("x1").alias("wx1"))
-    # a caption that can belong to a region overlaps it, ABOVE points over and BELOW under it added; they meet in bands, and
-    # a pair that meets in several counts where what both cover begins
+    # a caption that can belong to a region overlaps it, ABOVE points over and BELOW under it added; on crowded pages they meet
+    # in bands, and a pair that meets in several counts where what both cover begins
+    crowds = crowded(found, heads)
     band = lambda c: F.floor(c / CELL).cast("int")
     top, foot = F.col("ry0") - ABOVE, F.col("ry1") + BELOW
-    bands = lambda a, b: F.explode(F.sequence(band(F.least(a, b)), band(F.greatest(a, b)))).alias("band")
-    of_region = r.select("*", bands(top, foot))
-    of_caption = _named(heads.select(*PAGE, "block", *BOX), "c").select("*", bands(F.col("cy0"), F.col("cy1")))
-    both = of_region.join(of_caption, [*PAGE, "band"]).where(F.col("band") == band(F.greatest(F.least(top, foot), F.least("cy0", "cy1")))).join(span, PAGE)
+    bands = lambda a, b: _cells(F.sequence(band(F.least(a, b)), band(F.greatest(a, b)))).alias("band")
+    of_region = r.join(crowds, PAGE, "left").select("*", bands(top, foot))
+    of_caption = _named(heads.select(*PAGE, "block", *BOX), "c").join(crowds, PAGE, "left").select("*", bands(F.col("cy0"), F.col("cy1"))).drop("crowd")
+    both = of_region.join(of_caption, [*PAGE, "band"]).where(_in_cell("band", band(F.greatest(F.least(top, foot), F.least("cy0", "cy1"))))).join(span, PAGE)
     both = both.withColumn("near", caption_distance("r", "c")).withColumn("cx0", F.col("wx0")).withColumn("cx1", F.col("wx1"))
     both = both.withColumn("far", caption_distance("r", "c") + 250)
     best = both.groupBy(*key).agg(F.min("near").alias("near"), F.min_by("cblock", F.when(F.col("far").isNotNull(), F.struct("far", "cblock"))).alias("fb"), F.min("far").alias("far"), F.min(F.when(F.col("near").isNotNull(), F.struct("near", "cblock"))).alias("n"))
@@ -260,10 +282,10 @@ def figures(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     blocks = kept(blocks)
     heads = kept(captions(blocks))
     found = kept(regions(pages, boxes, blocks))
-    own = kept(assigned(found, heads))
     key = [*PAGE, "region"]
+    own = kept(found.join(assigned(found, heads), key, "left"))
     union = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("cover").alias("cover")]
-    groups = found.join(own, key).groupBy(*PAGE, "block").agg(*union)
+    groups = own.where("distance IS NOT NULL").groupBy(*PAGE, "block").agg(*union)
     c = heads.select(*PAGE, "block", "label", "caption", "is_table", *[F.col(x).alias(f"c{x}") for x in BOX])
     all_ = c.join(groups, [*PAGE, "block"], "left").join(found.select(*PAGE).distinct(), PAGE, "left_semi")
     thin = F.col("x0").isNull() | ((F.col("x1") - F.col("x0") < 0.5 * (F.col("cx1") - F.col("cx0"))) & (F.col("x1") - F.col("x0") < 200))
@@ -284,7 +306,7 @@ def figures(pages: DataFrame, boxes: DataFrame, blocks: DataFrame) -> DataFrame:
         pick(F.greatest(F.col("cy0") - 2, F.coalesce("y1", F.col("cy0") - 2)), F.col("y1")).alias("y1"),
         pick(F.lit(0.0), F.col("cover")).alias("cover"), "label", "caption",
     ).where("x0 IS NOT NULL")
-    free = found.join(own.select(*key), key, "left_anti").select(*PAGE, *BOX, "cover", F.lit(None).cast("string").alias("label"), F.lit("").alias("caption"))
+    free = own.where("distance IS NULL").select(*PAGE, *BOX, "cover", F.lit(None).cast("string").alias("label"), F.lit("").alias("caption"))
     return rows.unionByName(free)
 
 

@@ -97,6 +97,35 @@ def test_captions_in_bands(spark: SparkSession) -> None:
     assert got == want and got
 
 
+def test_crowded_pages(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Pages above the limit go by cells and bands, with the same pairs."""
+    monkeypatch.setattr(layout, "CROWD", 10)
+    test_overlaps_by_cells(spark, 7.0)
+    test_captions_in_bands(spark)
+
+
+def test_boxes_of_ordinary_pages_are_dealt_once(spark: SparkSession) -> None:
+    """A large box on a page with one other is one row of a shuffle, not one for each cell that it touches."""
+    boxes = spark.range(1000).select("id", F.lit(0).alias("page"), F.lit(1).alias("region"), *[F.lit(v).alias(c) for v, c in zip((0.0, 0.0, 1300.0, 1300.0), layout.BOX, strict=True)]).withColumnRenamed("id", "doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(layout.overlapping(boxes, boxes.withColumn("x0", F.lit(1200.0))).collect()) == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    last = max(runs.apply(i).executionId() for i in range(runs.size()))
+    values, nodes, sent = store.executionMetrics(last), store.planGraph(last).allNodes(), 0
+    for i in range(nodes.size()):
+        metrics = nodes.apply(i).metrics()
+        for m in (metrics.apply(k) for k in range(metrics.size())):
+            if m.name() == "shuffle records written" and values.contains(m.accumulatorId()):
+                sent += int(values.apply(m.accumulatorId()).replace(",", ""))
+    assert 2000 <= sent < 10_000
+
+
 def plain_figures(page: tuple, boxes: list, blocks: list) -> list:
     """The figures of a page of images, by loops over all pairs."""
     width, height = page
