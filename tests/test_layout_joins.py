@@ -106,11 +106,11 @@ def test_crowded_pages(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) ->
 
 def test_boxes_of_ordinary_pages_are_dealt_once(spark: SparkSession) -> None:
     """A large box on a page with one other is one row of a shuffle, not one for each cell that it touches."""
-    boxes = spark.range(1000).select("id", F.lit(0).alias("page"), F.lit(1).alias("region"), *[F.lit(v).alias(c) for v, c in zip((0.0, 0.0, 1300.0, 1300.0), layout.BOX, strict=True)]).withColumnRenamed("id", "doc_id")
+    boxes = spark.range(1000).select("id", F.lit(0).alias("page"), F.lit(1).alias("region"), *[(F.col("id") % 7 + v).alias(c) for v, c in zip((0.0, 0.0, 1300.0, 1300.0), layout.BOX, strict=True)]).withColumnRenamed("id", "doc_id")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert len(layout.overlapping(boxes, boxes.withColumn("x0", F.lit(1200.0))).collect()) == 1000
+        assert len(layout.overlapping(boxes, boxes.withColumn("x0", F.col("x0") + 1200)).collect()) == 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
