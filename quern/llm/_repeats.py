@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,18 +81,27 @@ def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
 def with_spans(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     """The documents, each with the list ``spans`` of its own stretches (null: none).
 
-    Those with ids are joined as the operators join them before, so that one exchange of their texts serves both.
+    Those with ids are joined as phrase_automata joins them before, so that one exchange of their texts serves both there.
     """
     spans = stretches.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = docs.where("doc_id IS NOT NULL").join(spans, ["doc_id", "twin"], "left")
     return whole.unionByName(docs.where("doc_id IS NULL").withColumn("spans", F.lit(None).cast("array<struct<start:int,end:int>>")))
 
 
-def kept(size: int, spans: list[dict] | None) -> np.ndarray | None:
-    """A mark for each symbol that no span covers; None if there are no spans."""
-    if not spans:
-        return None
-    change = np.zeros(size + 1, np.int32)
-    np.add.at(change, np.minimum([s["start"] for s in spans], size), 1)
-    np.add.at(change, np.minimum([s["end"] for s in spans], size), -1)
-    return np.cumsum(change[:-1]) == 0
+def spread(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes in turn."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def kept(sizes: Sequence[int], spans: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """For each text of so many symbols a mark for each symbol that no span covers; None if there are no spans."""
+    sizes = np.array(sizes, np.int64)
+    ends = np.cumsum(sizes)
+    number = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    rows, text = spans.flatten(), np.repeat(np.arange(len(sizes)), number)
+    change = np.zeros(int(sizes.sum()) + 1, np.int32)
+    for field, step in (("start", 1), ("end", -1)):
+        np.add.at(change, (ends - sizes)[text] + np.minimum(rows.field(field).to_numpy(), sizes[text]), np.int32(step))
+    free = np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) == 0
+    for some, start, end in zip(number.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+        yield free[start:end] if some else None

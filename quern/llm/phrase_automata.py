@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 from quern.llm._anchors import U64, grams, mixed
 from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, ids_and_texts, pieces, space_words
-from quern.llm._repeats import PIECE, Unit, kept, recurring, told_apart, with_spans
+from quern.llm._repeats import PIECE, Unit, kept, recurring, spread, told_apart, with_spans
 
 #: The letter of what is no word of an automaton, and the first number whose letter would be half a pair.
 NO_WORD, SURROGATES = "\0", 0xD7FF
@@ -93,11 +93,6 @@ class Automaton:
         return run[new], start[new], start[last] + n
 
 
-def _spread(size: NDArray[np.int64]) -> NDArray[np.int64]:
-    """0, 1, ... for each of the sizes in turn."""
-    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-
-
 def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
     """``anchor, window, doc_id, twin, at, times``: each document's windows whose anchor recurs (and a few others), by their first place in it.
 
@@ -112,7 +107,7 @@ def _windows(docs: DataFrame, anchors: DataFrame, unit: Unit) -> DataFrame:
             text, at, size, anchor = text[keep], at[keep], size[keep], anchor[keep]
             if not len(size):
                 continue
-            at, text, anchor = np.repeat(at, size) + _spread(size), np.repeat(text, size), np.repeat(anchor, size)
+            at, text, anchor = np.repeat(at, size) + spread(size), np.repeat(text, size), np.repeat(anchor, size)
             window = mixed(grams(h, unit.n))[(np.cumsum(sizes) - sizes)[text] + at]
             order = np.lexsort((at, window, text))
             at, text, anchor, window = at[order], text[order], anchor[order], window[order]
@@ -206,7 +201,7 @@ def removed(docs: DataFrame, n: int, k: int, phrases: int, stream: int, twins: b
                 words = b" ".join(symbols[d][i:j])
                 out += [(shard, a // count % GROUPS, False, ids[d], numbers[d], i, words) for shard in shards.of_passage(b, ids[d] + i)]
             if len(size):
-                place, run = np.repeat(at, size) + _spread(size), np.repeat(np.arange(len(size)), size)
+                place, run = np.repeat(at, size) + spread(size), np.repeat(np.arange(len(size)), size)
                 held = np.flatnonzero(holds(bits, mixed(grams(h, n))[(np.cumsum(sizes) - sizes)[text[run]] + place]))
                 new = np.append(True, (run[held][1:] != run[held][:-1]) | (np.diff(held) > 1))[: len(held)]
                 begin, end = held[new], held[np.append(new[1:], True)[: len(held)]]
@@ -235,10 +230,10 @@ def report(docs: DataFrame, n: int = 20, k: int = 8, phrases: int = 20_000, stre
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             out = []
-            for text, spans in zip(as_bytes(piece.column("text")), piece.column("spans").to_pylist(), strict=True):
-                words = _words(text)
+            given = [_words(text) for text in as_bytes(piece.column("text"))]
+            for words, keep in zip(given, kept([len(words) for words in given], piece.column("spans")), strict=True):
                 size = len(words)
-                if (keep := kept(size, spans)) is not None:
+                if keep is not None:
                     words = [words[i] for i in np.flatnonzero(keep)]
                 left = b" ".join(words)
                 out.append((size, size - len(words), hashlib.sha256(left).hexdigest(), left.decode() if texts else None))

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.typing import NDArray
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,7 +35,7 @@ from xxhash import xxh3_128_digest
 from quern.llm._anchors import mixed
 from quern.llm._bits import bit_set, holds
 from quern.llm._common import as_bytes, cut, ids_and_texts, pieces
-from quern.llm._repeats import PIECE, Unit, kept, recurring, told_apart, with_spans
+from quern.llm._repeats import PIECE, Unit, kept, recurring, spread, told_apart, with_spans
 
 Ints = NDArray[np.int64]
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -233,17 +234,21 @@ def removed(docs: DataFrame, n: int, k: int, hot: int, limit: int, heavy: int) -
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
-            out = []
-            for doc, twin, text, own in zip(piece.column("doc_id").to_pylist(), piece.column("twin").to_pylist(), as_bytes(piece.column("text")), piece.column("runs").to_pylist(), strict=True):
-                for r in own or []:
-                    if r["hot"]:
-                        out += [(r["anchor"], doc, twin, i, text[i : i + n], True) for i in range(r["at"], r["at"] + r["windows"])]
-                    else:
-                        out.append((r["anchor"], doc, twin, r["at"], text[r["at"] : r["at"] + r["windows"] + n - 1], False))
-            cols = zip(*out, strict=True) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["anchor", "doc_id", "twin", "at", "text", "hot"])
+            texts, own = as_bytes(piece.column("text")), piece.column("runs")
+            row = np.repeat(np.arange(len(own)), pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+            anchor, at, windows, crowd = (own.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "at", "windows", "hot"))
+            # a hot anchor's windows are rows of their own
+            number = np.where(crowd, windows, 1)
+            run = np.repeat(np.arange(len(row)), number)
+            start = at[run] + spread(number)
+            end = start + np.where(crowd, 1, windows)[run] + n - 1
+            part = [texts[i][a:b] for i, a, b in zip(row[run].tolist(), start.tolist(), end.tolist(), strict=True)]
+            ids, twins = (piece.column(c).to_numpy()[row[run]] for c in ("doc_id", "twin"))
+            cols = [pa.array(x) for x in (anchor[run], ids, twins, start.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(part, pa.binary()), pa.array(crowd[run])], ["anchor", "doc_id", "twin", "at", "text", "hot"])
 
     text = docs.join(wanted, ["doc_id", "twin"], "left").mapInArrow(passages, "anchor long, doc_id long, twin int, at int, text binary, hot boolean")
+    text = cut(text)  # three branches read them if anchors are hot; work and shuffles grow alike if not
     sharded = text.where("NOT hot").repartition("anchor").sortWithinPartitions("anchor")
     out = copies.unionByName(sharded.mapInArrow(lambda batches: _shard(batches, n, limit), "doc_id long, twin int, start int, end int"))
     if first.where("hot").limit(1).count():
@@ -265,9 +270,10 @@ def report(docs: DataFrame, n: int = 50, k: int = 20, hot: int = 5000, limit: in
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             out = []
-            for text, spans in zip(as_bytes(piece.column("text")), piece.column("spans").to_pylist(), strict=True):
+            given = as_bytes(piece.column("text"))
+            for text, keep in zip(given, kept([len(text) for text in given], piece.column("spans")), strict=True):
                 left, stretches = text, 0
-                if (keep := kept(len(text), spans)) is not None:
+                if keep is not None:
                     left = np.frombuffer(text, np.uint8)[keep].tobytes()
                     stretches = int((~keep[1:] & keep[:-1]).sum()) + int(not keep[0])
                 out.append((len(text), len(text) - len(left), stretches, hashlib.sha256(left).hexdigest(), left if texts else None))

@@ -6,11 +6,12 @@ import math
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from quern.llm import bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, queries, secret_scan, suffix_dedup, token_counts
+from quern.llm import _repeats, bpe_segments, decontamination, fill_in_middle, jaccard_groups, lm_logbilinear, phrase_automata, queries, secret_scan, suffix_dedup, token_counts
 
 from . import plain
 from .conftest import prose
@@ -132,6 +133,26 @@ def test_texts_without_repeats(odd: DataFrame) -> None:
             assert plain.sha(bytes(row.kept) if not isinstance(row.kept, str) else row.kept) == row.kept_sha256
 
 
+def test_texts_are_read_for_passages_once(odd: DataFrame, odd_rows: list) -> None:
+    """Hot anchors or not, the plan reads the passages from a table and doesn't cut them out of the texts for each branch."""
+    for some in ({}, {"hot": 1}):
+        got = suffix_dedup.report(odd, **some)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow digest(" in plan and "MapInArrow passages(" not in plan
+        assert rows(got, 5) == sorted(plain.byte_repeats(odd_rows))
+
+
+def test_what_spans_leave() -> None:
+    """Of many texts together: overlapping spans, none, null, beyond the end, in a slice."""
+    spans = [[(9, 9)], None, [(0, 2), (1, 3), (1, 3)], [], [(2, 90)], [(0, 4), (4, 5)], [(1, 1)]]
+    sizes = [9, 3, 4, 0, 5, 5, 1]
+    column = pa.array([s and [{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    for first in (0, 2):
+        for size, some, got in zip(sizes[first:], spans[first:], _repeats.kept(sizes[first:], column.slice(first)), strict=True):
+            assert (got is None) == (not some)
+            assert not some or got.tolist() == [not any(a <= i < b for a, b in some) for i in range(size)]
+
+
 def test_links_between_classes(odd: DataFrame, odd_rows: list, supplied: list, spark) -> None:
     """All links between different sets, and who has which set."""
     for docs, given in ((odd, odd_rows), (spark.createDataFrame(supplied, "doc_id long, text string"), supplied)):
